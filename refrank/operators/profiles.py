@@ -95,3 +95,30 @@ def check_kind(kind: str) -> str:
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; allowed: {KINDS}")
     return kind
+
+
+def profiles_from_papers(nested: DataFrame, order: tuple[str, ...] = ("paper_id",)) -> tuple[DataFrame, DataFrame]:
+    """A2: derive profiles from nested papers.
+
+    Every non-NULL author of a paper gets ``write`` = that paper and ``reference`` = every non-NULL
+    id the paper cites. Returns ``(authors(author_id, name), interactions(author_id, kind,
+    paper_id))``; the name is the first spelling in scan order (``order`` columns, then the author's
+    position in the list), picked by a partial-aggregating ``min_by``.
+    """
+    written = nested.select(
+        *order if "paper_id" in order else ("paper_id", *order),
+        "references",
+        F.posexplode("authors").alias("author_pos", "author"),
+    ).where(F.col("author.authorId").isNotNull())
+    author_id = F.col("author.authorId").alias("author_id")
+    writes = written.select(author_id, F.lit("write").alias("kind"), F.col("paper_id"))
+    refs = (
+        written.select(author_id, F.explode("references.paperId").alias("ref"))
+        .where(F.col("ref").isNotNull())
+        .select("author_id", F.lit("reference").alias("kind"), F.col("ref").alias("paper_id"))
+    )
+    edges = writes.unionByName(refs).distinct()
+    names = written.groupBy(author_id).agg(
+        F.min_by(F.col("author.name"), F.struct(*[F.col(c) for c in order], F.col("author_pos"))).alias("name")
+    )
+    return names, edges

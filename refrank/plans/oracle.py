@@ -34,6 +34,21 @@ INTER = """inter AS (
          l.l_partkey AS paper_id
   FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey)"""
 
+NESTED = """nested AS (
+  SELECT p.*, COALESCE(w.authors, []) AS authors,
+         [{'paperId': (p.paper_id * 3 + 1) % n.n},
+          {'paperId': CASE WHEN p.paper_id % 11 = 0 THEN NULL ELSE (p.paper_id * 5 + 2) % n.n END}]
+           AS "references"
+  FROM papers p CROSS JOIN (SELECT count(*) AS n FROM part) n
+  LEFT JOIN (
+    SELECT paper_id,
+           list({'authorId': CASE WHEN author_id % 13 = 0 THEN NULL ELSE author_id END,
+                 'name': 'A' || author_id || '#' || (paper_id % 3)} ORDER BY author_id) AS authors
+    FROM inter WHERE kind = 'write' GROUP BY paper_id) w ON p.paper_id = w.paper_id)"""
+
+RAW = """raw AS (SELECT o_custkey AS paper_id, o_orderkey AS pos, o_orderpriority AS title, o_orderdate
+         FROM orders)"""
+
 PAPER_COLS = (
     "paper_id, title, abstract, year, reference_count, citation_count, influential_citation_count"
 )
@@ -80,14 +95,14 @@ ranked AS (
       AS inf_cite_rank,
     CAST(row_number() OVER (ORDER BY year DESC NULLS LAST, paper_id) AS BIGINT) AS year_rank
   FROM cand)
-SELECT {PAPER_COLS}, round(similarity, 6) AS similarity,
-       cos_rank, ref_rank, cite_rank, inf_cite_rank, year_rank, round({score}, 6) AS rank
+SELECT {PAPER_COLS}, round(similarity, 6) + 0.0 AS similarity,
+       cos_rank, ref_rank, cite_rank, inf_cite_rank, year_rank, round({score}, 6) + 0.0 AS rank
 FROM ranked ORDER BY {score}, paper_id LIMIT {k}"""
 
 
 def recommend_cosine_sql(author_id: int = FLAGSHIP_AUTHOR, k: int = 10) -> str:
     return with_(PAPERS, EMB, INTER, author_vec_cte(author_id)) + f"""
-SELECT {PAPER_COLS}, round(similarity, 6) AS similarity FROM (
+SELECT {PAPER_COLS}, round(similarity, 6) + 0.0 AS similarity FROM (
   SELECT p.*, {cosine_sql('e.embedding', 'avec.q')} AS similarity
   FROM papers p JOIN emb e ON p.paper_id = e.paper_id CROSS JOIN avec
   WHERE p.paper_id NOT IN (SELECT paper_id FROM inter WHERE author_id = {author_id}))

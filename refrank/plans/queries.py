@@ -1,4 +1,5 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, each read from the whole test tables."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, each over the whole test tables, and
+the DuckDB oracle SQL for each (``refrank.plans.oracle`` holds the shared CTEs)."""
 
 from __future__ import annotations
 
@@ -8,59 +9,225 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refrank.plans import oracle, recommend
+from refrank.operators import papers as P
+from refrank.operators import profiles as PR
+from refrank.plans import oracle as O
+from refrank.plans import recommend
 from refrank.sources.testdata import TestTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None):
+    def deco(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+
+    return deco
+
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column so the oracle comparison is not at the mercy of summation order."""
     return df.select(
         *[
-            F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            (F.round(F.col(f.name), places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
 
 
-def q_recommend_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = TestTables(spark, sf_dir)
-    return round_doubles(
-        recommend.recommend_weighted(t.papers, t.paper_embeddings, t.interactions, oracle.FLAGSHIP_AUTHOR)
+def explode_vector(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """(key, idx, value) rows: one per vector component, so values compare as scalars."""
+    return df.select(key, F.posexplode(vec).alias("idx", "value")).withColumn("idx", F.col("idx").cast("bigint"))
+
+
+A = O.FLAGSHIP_AUTHOR
+
+# ---------------------------------------------------------------- C2, C3, T2
+register("recommend_weighted", O.recommend_weighted_sql())(
+    lambda spark, d: round_doubles(
+        recommend.recommend_weighted(*_pei(spark, d), A)
     )
+)
+register("recommend_cosine", O.recommend_cosine_sql())(
+    lambda spark, d: round_doubles(recommend.recommend_to_author(*_pei(spark, d), A))
+)
+
 
+def _pei(spark, d):
+    t = TestTables(spark, d)
+    return t.papers, t.paper_embeddings, t.interactions
 
-def q_recommend_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = TestTables(spark, sf_dir)
-    return round_doubles(
-        recommend.recommend_to_author(t.papers, t.paper_embeddings, t.interactions, oracle.FLAGSHIP_AUTHOR)
+
+def _field_query(name: str, field: str, ascending: bool = False) -> None:
+    register(name, O.order_by_field_sql(field, ascending))(
+        lambda spark, d: recommend.order_by_field(TestTables(spark, d).papers, field, ascending)
     )
 
 
-def _field_query(field: str, ascending: bool = False) -> Query:
-    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return recommend.order_by_field(TestTables(spark, sf_dir).papers, field, ascending)
-
-    return q
-
-
-QUERIES: dict[str, Query] = {
-    "recommend_weighted": q_recommend_weighted,
-    "recommend_cosine": q_recommend_cosine,
-    "top_latest": _field_query("year"),
-    "top_referenced": _field_query("reference_count"),
-    "top_cited": _field_query("citation_count"),
-    "top_influential": _field_query("influential_citation_count"),
-    "order_by_ascending": _field_query("citation_count", ascending=True),
-}
-
-ORACLE: dict[str, str] = {
-    "recommend_weighted": oracle.recommend_weighted_sql(),
-    "recommend_cosine": oracle.recommend_cosine_sql(),
-    "top_latest": oracle.order_by_field_sql("year"),
-    "top_referenced": oracle.order_by_field_sql("reference_count"),
-    "top_cited": oracle.order_by_field_sql("citation_count"),
-    "top_influential": oracle.order_by_field_sql("influential_citation_count"),
-    "order_by_ascending": oracle.order_by_field_sql("citation_count", ascending=True),
-}
+_field_query("top_latest", "year")
+_field_query("top_referenced", "reference_count")
+_field_query("top_cited", "citation_count")
+_field_query("top_influential", "influential_citation_count")
+_field_query("order_by_ascending", "citation_count", ascending=True)
+
+# ---------------------------------------------------------------- A4, A6, J4
+
+
+@register(
+    "author_profile_vector",
+    O.with_(O.EMB, O.INTER)
+    + """SELECT author_id, CAST(i AS BIGINT) AS idx, round(avg(x), 6) + 0.0 AS value FROM (
+  SELECT pp.author_id, unnest(range(len(e.embedding))) AS i, unnest(e.embedding) AS x
+  FROM (SELECT DISTINCT author_id, paper_id FROM inter WHERE kind IN ('write', 'reference', 'liked')) pp
+  JOIN emb e ON e.paper_id = pp.paper_id) u
+GROUP BY author_id, i""",
+)
+def q_author_profile_vector(spark, d):
+    t = TestTables(spark, d)
+    return round_doubles(explode_vector(PR.author_vectors(t.interactions, t.paper_embeddings), "author_id"))
+
+
+@register(
+    "author_profile_coverage",
+    O.with_(O.EMB, O.INTER)
+    + """SELECT pp.author_id, count(*) AS n_papers, count(e.paper_id) AS n_embedded,
+       count(*) - count(e.paper_id) AS n_missing
+FROM (SELECT DISTINCT author_id, paper_id FROM inter WHERE kind IN ('write', 'reference', 'liked')) pp
+LEFT JOIN emb e ON e.paper_id = pp.paper_id GROUP BY pp.author_id""",
+)
+def q_author_profile_coverage(spark, d):
+    t = TestTables(spark, d)
+    return PR.profile_coverage(t.interactions, t.paper_embeddings)
+
+
+# ---------------------------------------------------------------- P9, C5, P5, P3, P2, P4
+
+
+@register(
+    "author_known_papers",
+    O.with_(O.INTER) + f"SELECT DISTINCT author_id, kind, paper_id FROM inter WHERE author_id = {A}",
+)
+def q_author_known_papers(spark, d):
+    return PR.author_known_papers(TestTables(spark, d).interactions, A)
+
+
+@register(
+    "author_page",
+    O.with_(O.PAPERS, O.AUTHORS, O.INTER)
+    + f"""SELECT a.author_id, a.name, i.kind, p.paper_id, p.title, p.year, p.citation_count
+FROM authors a JOIN inter i ON i.author_id = a.author_id JOIN papers p ON p.paper_id = i.paper_id
+WHERE a.author_id = {A}""",
+)
+def q_author_page(spark, d):
+    t = TestTables(spark, d)
+    from refrank.plans.profile_pages import author_page
+
+    return author_page(t.authors, t.interactions, t.papers, A)
+
+
+NAME_QUERY = "customer#00000012"
+
+
+@register(
+    "author_name_search",
+    O.with_(O.AUTHORS) + f"SELECT author_id, name FROM authors WHERE name ILIKE '%{NAME_QUERY}%'",
+)
+def q_author_name_search(spark, d):
+    return PR.search_by_name(TestTables(spark, d).authors, NAME_QUERY)
+
+
+@register("author_lookup", O.with_(O.AUTHORS) + f"SELECT author_id, name FROM authors WHERE author_id = {A}")
+def q_author_lookup(spark, d):
+    return PR.require_author(TestTables(spark, d).authors, A)
+
+
+@register("paper_lookup", O.with_(O.PAPERS) + f"SELECT {O.PAPER_COLS} FROM papers WHERE paper_id = {A}")
+def q_paper_lookup(spark, d):
+    return P.require_paper(TestTables(spark, d).papers, A)
+
+
+@register(
+    "papers_by_id_set",
+    O.with_(O.PAPERS, O.EMB) + f"SELECT {O.PAPER_COLS} FROM papers WHERE paper_id IN (SELECT paper_id FROM emb)",
+)
+def q_papers_by_id_set(spark, d):
+    t = TestTables(spark, d)
+    return P.papers_by_ids(t.papers, t.paper_embeddings.select("paper_id"))
+
+
+# ---------------------------------------------------------------- A1, S5, A2, P10
+
+SPLIT_DATE = "1997-01-01"
+
+
+@register(
+    "ingest_dedup_first_wins",
+    O.with_(O.RAW)
+    + """SELECT paper_id, arg_min(pos, pos) AS pos, arg_min(title, pos) AS title FROM raw GROUP BY paper_id""",
+)
+def q_ingest_dedup_first_wins(spark, d):
+    raw = TestTables(spark, d).raw_papers
+    return P.first_seen(raw, "paper_id", ["file", "pos"]).select("paper_id", "pos", "title")
+
+
+@register(
+    "insert_or_ignore",
+    O.with_(O.RAW)
+    + f""", old AS (SELECT paper_id, arg_min(pos, pos) AS pos, arg_min(title, pos) AS title FROM raw
+            WHERE o_orderdate < TIMESTAMP '{SPLIT_DATE}' GROUP BY paper_id),
+new AS (SELECT paper_id, arg_min(pos, pos) AS pos, arg_min(title, pos) AS title FROM raw
+        WHERE o_orderdate >= TIMESTAMP '{SPLIT_DATE}' GROUP BY paper_id)
+SELECT * FROM old UNION ALL SELECT * FROM new WHERE paper_id NOT IN (SELECT paper_id FROM old)""",
+)
+def q_insert_or_ignore(spark, d):
+    t = TestTables(spark, d)
+    orders = t.raw("orders").select("o_orderkey", "o_orderdate")
+    raw = t.raw_papers.join(orders, F.col("pos") == F.col("o_orderkey")).drop("o_orderkey")
+    cut = F.lit(SPLIT_DATE).cast("timestamp")
+    old = P.first_seen(raw.where(F.col("o_orderdate") < cut).drop("o_orderdate"), "paper_id", ["file", "pos"])
+    new = raw.where(F.col("o_orderdate") >= cut).drop("o_orderdate")
+    appended = P.insert_or_ignore(old, new, "paper_id", ["file", "pos"])
+    return old.unionByName(appended).select("paper_id", "pos", "title")
+
+
+@register(
+    "profiles_from_papers",
+    O.with_(O.PAPERS, O.INTER, O.NESTED)
+    + """, a AS (
+  SELECT paper_id, "references", unnest(authors) AS au, generate_subscripts(authors, 1) AS author_pos FROM nested),
+edges AS (
+  SELECT DISTINCT au.authorId AS author_id, 'write' AS kind, paper_id FROM a WHERE au.authorId IS NOT NULL
+  UNION
+  SELECT DISTINCT author_id, 'reference', ref FROM (
+    SELECT au.authorId AS author_id, unnest("references").paperId AS ref FROM a WHERE au.authorId IS NOT NULL) r
+  WHERE ref IS NOT NULL),
+names AS (SELECT au.authorId AS author_id, arg_min(au.name, paper_id * 100000 + author_pos) AS name
+          FROM a WHERE au.authorId IS NOT NULL GROUP BY au.authorId)
+SELECT e.author_id, n.name, e.kind, e.paper_id FROM edges e JOIN names n ON e.author_id = n.author_id""",
+)
+def q_profiles_from_papers(spark, d):
+    names, edges = PR.profiles_from_papers(TestTables(spark, d).nested_papers)
+    return edges.join(names, "author_id").select("author_id", "name", "kind", "paper_id")
+
+
+@register(
+    "display_projection",
+    O.with_(O.PAPERS, O.INTER, O.NESTED)
+    + """SELECT paper_id, title, array_to_string(list_transform(authors, lambda x: x.name), ', ') AS author_names,
+       array_to_string(list_transform("references", lambda x: CAST(x.paperId AS VARCHAR)), ',') AS reference_ids
+FROM nested""",
+)
+def q_display_projection(spark, d):
+    shown = P.display_projection(TestTables(spark, d).nested_papers)
+    return shown.select(
+        "paper_id",
+        "title",
+        F.array_join("authors", ", ").alias("author_names"),
+        F.array_join(F.transform("references", lambda x: x.cast("string")), ",").alias("reference_ids"),
+    )
