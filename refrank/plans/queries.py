@@ -231,3 +231,84 @@ def q_display_projection(spark, d):
         F.array_join("authors", ", ").alias("author_names"),
         F.array_join(F.transform("references", lambda x: x.cast("string")), ",").alias("reference_ids"),
     )
+
+
+# ---------------------------------------------------------------- F4, F5, R8, A5, C1
+from refrank.functions.text import DEFAULT_DIM, SEGMENT_STEP, SEGMENT_WIDTH  # noqa: E402
+from refrank.operators import embedding as E  # noqa: E402
+
+SEG_SQL = f"""seg AS (
+  SELECT doc_id, CAST(start // {SEGMENT_STEP} AS BIGINT) AS seg_idx,
+         substring(text, start + 1, {SEGMENT_WIDTH}) AS segment
+  FROM (SELECT doc_id, text, unnest(range(0, length(text), {SEGMENT_STEP})) AS start FROM documents))"""
+
+
+def tok_bucket_sql(text_expr: str, keys: str, src: str) -> str:
+    """(keys, bucket) per token of ``text_expr`` in ``src``."""
+    return f"""SELECT {keys}, CAST(CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % {DEFAULT_DIM} AS INTEGER) AS bucket
+  FROM (SELECT {keys}, lower(unnest(string_split_regex({text_expr}, '[^A-Za-z0-9]+'))) AS tok FROM {src})
+  WHERE length(tok) > 0"""
+
+
+@register(
+    "text_concat_null_abstract",
+    O.with_(O.PAPERS) + "SELECT paper_id, title || COALESCE(abstract, '') AS content FROM papers",
+)
+def q_text_concat(spark, d):
+    return TestTables(spark, d).papers.select("paper_id", P.content_text().alias("content"))
+
+
+@register(
+    "text_segments",
+    O.with_(SEG_SQL)
+    + "SELECT doc_id, seg_idx, CAST(length(segment) AS INTEGER) AS seg_len, md5(segment) AS seg_md5 FROM seg",
+)
+def q_text_segments(spark, d):
+    seg = E.text_segments(TestTables(spark, d).documents, "doc_id")
+    return seg.select(
+        "doc_id",
+        F.col("seg_idx").cast("bigint").alias("seg_idx"),
+        F.length("segment").alias("seg_len"),
+        F.md5("segment").alias("seg_md5"),
+    )
+
+
+@register(
+    "hash_embedding",
+    f"SELECT doc_id, bucket, count(*) AS cnt FROM ({tok_bucket_sql('text', 'doc_id', 'documents')}) GROUP BY doc_id, bucket",
+)
+def q_hash_embedding(spark, d):
+    return E.bucket_counts(TestTables(spark, d).documents, ["doc_id"], "text")
+
+
+@register(
+    "segment_pooling",
+    O.with_(SEG_SQL)
+    + f"""SELECT doc_id, bucket, count(*) / {float(DEFAULT_DIM)} AS value
+FROM ({tok_bucket_sql('segment', 'doc_id, seg_idx', 'seg')}) GROUP BY doc_id, bucket""",
+)
+def q_segment_pooling(spark, d):
+    return round_doubles(E.pooled_long(TestTables(spark, d).documents, "doc_id"))
+
+
+KEYWORD = "the energy of ouen ertion"
+
+
+@register(
+    "keyword_search",
+    O.with_(SEG_SQL)
+    + f""", dc AS (SELECT doc_id, bucket, count(*) AS cnt
+       FROM ({tok_bucket_sql('segment', 'doc_id, seg_idx', 'seg')}) GROUP BY doc_id, bucket),
+qc AS (SELECT bucket, count(*) AS cnt FROM ({tok_bucket_sql('q', 'q', "(SELECT '" + KEYWORD + "' AS q)")}) GROUP BY bucket),
+qq AS (SELECT sum(cnt * cnt) AS qq FROM qc),
+nd AS (SELECT doc_id, sum(cnt * cnt) AS dd FROM dc GROUP BY doc_id),
+dt AS (SELECT dc.doc_id, sum(dc.cnt * qc.cnt) AS dot FROM dc JOIN qc ON dc.bucket = qc.bucket GROUP BY dc.doc_id),
+sc AS (SELECT nd.doc_id, CASE WHEN nd.dd = 0 OR qq.qq = 0 THEN 0.0
+                  ELSE COALESCE(dt.dot, 0) / (sqrt(nd.dd) * sqrt(qq.qq)) END AS similarity
+       FROM nd CROSS JOIN qq LEFT JOIN dt ON nd.doc_id = dt.doc_id)
+SELECT doc_id, round(similarity, 6) + 0.0 AS similarity FROM sc ORDER BY similarity DESC, doc_id LIMIT 10""",
+)
+def q_keyword_search(spark, d):
+    from refrank.plans.search import keyword_search
+
+    return round_doubles(keyword_search(TestTables(spark, d).documents, "doc_id", "text", KEYWORD))
