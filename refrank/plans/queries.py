@@ -312,3 +312,120 @@ def q_keyword_search(spark, d):
     from refrank.plans.search import keyword_search
 
     return round_doubles(keyword_search(TestTables(spark, d).documents, "doc_id", "text", KEYWORD))
+
+
+# ---------------------------------------------------------------- D3-D8
+from refrank.operators import mutations as M  # noqa: E402
+
+SEED_PAPER = 0
+SIGNUP_ID_BASE = 1_000_000
+
+
+def _edge_counts(authors: DataFrame, interactions: DataFrame) -> DataFrame:
+    return authors.join(
+        interactions.groupBy("author_id").agg(F.count(F.lit(1)).alias("n_edges")), "author_id", "left"
+    ).select("author_id", "name", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+@register(
+    "profile_upsert",
+    O.with_(O.PAPERS, O.AUTHORS, O.INTER, O.NESTED)
+    + """, a AS (SELECT paper_id, "references", unnest(authors) AS au, generate_subscripts(authors, 1) AS author_pos
+           FROM nested),
+bedges AS (
+  SELECT DISTINCT au.authorId AS author_id, 'write' AS kind, paper_id FROM a WHERE au.authorId IS NOT NULL
+  UNION
+  SELECT DISTINCT author_id, 'reference', ref FROM (
+    SELECT au.authorId AS author_id, unnest("references").paperId AS ref FROM a WHERE au.authorId IS NOT NULL) r
+  WHERE ref IS NOT NULL),
+bnames AS (SELECT au.authorId AS author_id, arg_min(au.name, paper_id * 100000 + author_pos) AS name
+           FROM a WHERE au.authorId IS NOT NULL GROUP BY au.authorId),
+all_authors AS (SELECT author_id, name FROM authors
+                UNION ALL SELECT author_id, name FROM bnames WHERE author_id NOT IN (SELECT author_id FROM authors)),
+all_edges AS (SELECT author_id, kind, paper_id FROM inter UNION SELECT author_id, kind, paper_id FROM bedges)
+SELECT x.author_id, x.name, e.kind, count(*) AS n_papers
+FROM all_authors x JOIN all_edges e ON x.author_id = e.author_id GROUP BY x.author_id, x.name, e.kind""",
+)
+def q_profile_upsert(spark, d):
+    t = TestTables(spark, d)
+    names, edges = PR.profiles_from_papers(t.nested_papers)
+    authors2, inter2 = M.upsert_profiles(t.authors, t.interactions, names, edges)
+    return (
+        authors2.join(inter2, "author_id")
+        .groupBy("author_id", "name", "kind")
+        .agg(F.count(F.lit(1)).alias("n_papers"))
+    )
+
+
+@register(
+    "sign_up_seed",
+    O.with_(O.AUTHORS, O.INTER)
+    + f""", su AS (SELECT {SIGNUP_ID_BASE} + event_id AS author_id, 'user' || user_id || '@' || event_id AS name
+        FROM events WHERE event_type = 'signup'),
+x AS (SELECT * FROM authors UNION ALL SELECT * FROM su WHERE author_id NOT IN (SELECT author_id FROM authors)),
+e AS (SELECT author_id, kind, paper_id FROM inter
+      UNION SELECT author_id, 'write', {SEED_PAPER} FROM su)
+SELECT x.author_id, x.name, count(e.author_id) AS n_edges FROM x LEFT JOIN e ON x.author_id = e.author_id
+GROUP BY x.author_id, x.name""",
+)
+def q_sign_up_seed(spark, d):
+    t = TestTables(spark, d)
+    signups = t.raw("events").where(F.col("event_type") == "signup").select(
+        (F.lit(SIGNUP_ID_BASE) + F.col("event_id")).alias("author_id"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@"), F.col("event_id").cast("string")).alias(
+            "name"
+        ),
+    )
+    authors2, inter2 = M.sign_up(t.authors, t.interactions, signups, [SEED_PAPER])
+    return _edge_counts(authors2, inter2)
+
+
+@register(
+    "like_by_title",
+    O.with_(O.PAPERS, O.EMB, O.INTER, O.author_vec_cte(A))
+    + f""", recs AS (
+  SELECT p.paper_id, p.title, {O.cosine_sql('e.embedding', 'avec.q')} AS similarity
+  FROM papers p JOIN emb e ON p.paper_id = e.paper_id CROSS JOIN avec
+  WHERE p.paper_id NOT IN (SELECT paper_id FROM inter WHERE author_id = {A})
+  ORDER BY similarity DESC, paper_id LIMIT 10),
+chosen AS (SELECT title FROM recs ORDER BY similarity DESC, paper_id LIMIT 2)
+SELECT author_id, kind, paper_id FROM inter WHERE author_id = {A}
+UNION SELECT {A}, 'liked', paper_id FROM recs WHERE title IN (SELECT title FROM chosen)""",
+)
+def q_like_by_title(spark, d):
+    t = TestTables(spark, d)
+    recs = recommend.recommend_to_author(t.papers, t.paper_embeddings, t.interactions, A)
+    chosen = recs.orderBy(F.col("similarity").desc(), "paper_id").limit(2).select("title")
+    liked = P.ids_by_title(recs, chosen)
+    _, inter2 = M.like_papers(t.authors, t.interactions, A, liked)
+    return inter2.where(F.col("author_id") == A)
+
+
+@register(
+    "clear_liked",
+    O.with_(O.INTER) + f"SELECT * FROM inter WHERE NOT (author_id = {A} AND kind = 'liked')",
+)
+def q_clear_liked(spark, d):
+    return M.clear_liked(TestTables(spark, d).interactions, A)
+
+
+@register(
+    "delete_profile",
+    O.with_(O.AUTHORS, O.INTER)
+    + f"""SELECT a.author_id, a.name, count(i.author_id) AS n_edges
+FROM authors a LEFT JOIN inter i ON a.author_id = i.author_id WHERE a.author_id <> {A}
+GROUP BY a.author_id, a.name""",
+)
+def q_delete_profile(spark, d):
+    t = TestTables(spark, d)
+    authors2, inter2 = M.delete_profiles(t.authors, t.interactions, [A])
+    return _edge_counts(authors2, inter2)
+
+
+@register(
+    "free_ids",
+    O.with_(O.AUTHORS)
+    + f"SELECT range AS author_id FROM range({M.ID_SPACE}) WHERE range NOT IN (SELECT author_id FROM authors)",
+)
+def q_free_ids(spark, d):
+    return M.free_ids(TestTables(spark, d).authors)
