@@ -429,3 +429,49 @@ def q_delete_profile(spark, d):
 )
 def q_free_ids(spark, d):
     return M.free_ids(TestTables(spark, d).authors)
+
+
+# ---------------------------------------------------------------- R3, R1, R2
+from refrank.plans import batch as B  # noqa: E402
+
+AVEC_ALL = """avec AS (
+  SELECT author_id, list(v ORDER BY i) AS q FROM (
+    SELECT author_id, i, avg(x) AS v FROM (
+      SELECT pp.author_id, unnest(range(len(e.embedding))) AS i, unnest(e.embedding) AS x
+      FROM (SELECT DISTINCT author_id, paper_id FROM inter WHERE kind IN ('write', 'reference', 'liked')) pp
+      JOIN emb e ON e.paper_id = pp.paper_id) u
+    GROUP BY author_id, i) w
+  GROUP BY author_id)"""
+
+PAIRS_ALL = f"""pairs AS (
+  SELECT a.author_id, e.paper_id, p.reference_count, p.citation_count, p.influential_citation_count, p.year,
+         {O.cosine_sql('e.embedding', 'a.q')} AS similarity
+  FROM avec a CROSS JOIN emb e JOIN papers p ON p.paper_id = e.paper_id
+  WHERE NOT EXISTS (SELECT 1 FROM inter i WHERE i.author_id = a.author_id AND i.paper_id = e.paper_id))"""
+
+
+@register(
+    "global_ranks",
+    O.with_(O.PAPERS)
+    + """SELECT paper_id,
+  CAST(row_number() OVER (ORDER BY reference_count DESC NULLS LAST, paper_id) AS BIGINT) AS ref_rank,
+  CAST(row_number() OVER (ORDER BY citation_count DESC NULLS LAST, paper_id) AS BIGINT) AS cite_rank,
+  CAST(row_number() OVER (ORDER BY influential_citation_count DESC NULLS LAST, paper_id) AS BIGINT) AS inf_cite_rank,
+  CAST(row_number() OVER (ORDER BY year DESC NULLS LAST, paper_id) AS BIGINT) AS year_rank
+FROM papers""",
+)
+def q_global_ranks(spark, d):
+    return B.static_ranks(TestTables(spark, d).papers)
+
+
+@register(
+    "batch_recommend_cosine",
+    O.with_(O.PAPERS, O.EMB, O.INTER, AVEC_ALL, PAIRS_ALL)
+    + """SELECT author_id, paper_id, round(similarity, 6) + 0.0 AS similarity, rn FROM (
+  SELECT author_id, paper_id, similarity,
+         CAST(row_number() OVER (PARTITION BY author_id ORDER BY similarity DESC, paper_id) AS BIGINT) AS rn
+  FROM pairs) WHERE rn <= 10""",
+)
+def q_batch_recommend_cosine(spark, d):
+    out = B.batch_recommend_cosine(*_pei(spark, d))
+    return round_doubles(out.withColumn("rn", F.col("rn").cast("bigint")))
