@@ -71,3 +71,36 @@ def top_k_per_group(
     group never holds more than k times the number of blocks rows."""
     w = Window.partitionBy(*group).orderBy(*[_order_expr(c) for c in order])
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+
+
+def running_count(
+    df: DataFrame,
+    segment: Sequence[str],
+    order: Sequence[Column | str],
+    flag: Column,
+    name: str,
+) -> DataFrame:
+    """Add ``name`` = number of rows of the same segment that come strictly before this row under
+    ``order`` (a total order inside the segment) and have ``flag`` true.
+
+    A segmented, distributed prefix sum: range-partition on (segment, order) so a segment holding a
+    third of the rows is split over many ranges; exclusive running sums inside each (range,
+    segment); per-(range, segment) totals (one row each) prefix-summed across ranges per segment.
+    """
+    keys = [F.col(s) for s in segment] + [_order_expr(c) for c in order]
+    tagged = cut_lineage(
+        df.withColumn("_rc_f", flag.cast("long"))
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_rc_tag", F.monotonically_increasing_id())
+    ).withColumn("_rc_rng", F.shiftright("_rc_tag", 33))
+    local_w = Window.partitionBy("_rc_rng", *segment).orderBy("_rc_tag").rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_rc_local", F.coalesce(F.sum("_rc_f").over(local_w), F.lit(0)))
+    totals = tagged.groupBy("_rc_rng", *segment).agg(F.sum("_rc_f").alias("_rc_tot"))
+    prev_w = Window.partitionBy(*segment).orderBy("_rc_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_rc_rng", *segment, F.coalesce(F.sum("_rc_tot").over(prev_w), F.lit(0)).alias("_rc_off"))
+    return (
+        local.join(offsets, ["_rc_rng", *segment])
+        .withColumn(name, F.col("_rc_off") + F.col("_rc_local"))
+        .drop("_rc_f", "_rc_tag", "_rc_rng", "_rc_local", "_rc_off")
+    )

@@ -475,3 +475,29 @@ def q_global_ranks(spark, d):
 def q_batch_recommend_cosine(spark, d):
     out = B.batch_recommend_cosine(*_pei(spark, d))
     return round_doubles(out.withColumn("rn", F.col("rn").cast("bigint")))
+
+
+@register(
+    "batch_recommend_weighted",
+    O.with_(O.PAPERS, O.EMB, O.INTER, AVEC_ALL, PAIRS_ALL)
+    + """, ranked AS (
+  SELECT *,
+    CAST(row_number() OVER (PARTITION BY author_id ORDER BY similarity DESC, paper_id) AS BIGINT) AS cos_rank,
+    CAST(row_number() OVER (PARTITION BY author_id ORDER BY reference_count DESC NULLS LAST, paper_id) AS BIGINT)
+      AS ref_rank,
+    CAST(row_number() OVER (PARTITION BY author_id ORDER BY citation_count DESC NULLS LAST, paper_id) AS BIGINT)
+      AS cite_rank,
+    CAST(row_number() OVER (PARTITION BY author_id ORDER BY influential_citation_count DESC NULLS LAST, paper_id)
+      AS BIGINT) AS inf_cite_rank,
+    CAST(row_number() OVER (PARTITION BY author_id ORDER BY year DESC NULLS LAST, paper_id) AS BIGINT) AS year_rank
+  FROM pairs),
+scored AS (
+  SELECT *, 0.6::DOUBLE * cos_rank + 0.1::DOUBLE * ref_rank + 0.1::DOUBLE * cite_rank
+            + 0.1::DOUBLE * inf_cite_rank + 0.1::DOUBLE * year_rank AS score FROM ranked)
+SELECT author_id, paper_id, round(similarity, 6) + 0.0 AS similarity, cos_rank, ref_rank, cite_rank,
+       inf_cite_rank, year_rank, round(score, 6) + 0.0 AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY score, paper_id) AS rn FROM scored)
+WHERE rn <= 10""",
+)
+def q_batch_recommend_weighted(spark, d):
+    return round_doubles(B.batch_recommend_weighted(*_pei(spark, d)))
