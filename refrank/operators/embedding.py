@@ -95,6 +95,6 @@ def sparse_cosine_top_k(
     return scored.orderBy(F.col("similarity").desc(), F.col(key).asc()).limit(k)
 
 
-def content_hash(content: str = "content") -> F.Column:
+def content_hash(content: "str | F.Column" = "content") -> F.Column:
     """Memo key of an embedding input (the text itself decides whether to re-embed)."""
-    return F.sha2(F.col(content), 256)
+    return F.sha2(F.col(content) if isinstance(content, str) else content, 256)

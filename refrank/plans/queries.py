@@ -501,3 +501,162 @@ WHERE rn <= 10""",
 )
 def q_batch_recommend_weighted(spark, d):
     return round_doubles(B.batch_recommend_weighted(*_pei(spark, d)))
+
+
+# ---------------------------------------------------------------- S1 roundtrip, R4-R7 (streaming, incremental)
+from refrank.sources import json_papers as J  # noqa: E402
+from refrank.sources.store import append, create_table, scratch_path  # noqa: E402
+from refrank.streaming import incremental as INC  # noqa: E402
+from refrank.streaming.ingest import run_paper_ingest  # noqa: E402
+from refrank.streaming.likes import run_like_stream  # noqa: E402
+
+EDGES_LONG = T.StructType(
+    [
+        T.StructField("author_id", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("paper_id", T.LongType()),
+    ]
+)
+
+
+@register(
+    "json_roundtrip_papers",
+    O.with_(O.PAPERS, O.INTER, O.NESTED)
+    + f"""SELECT {O.PAPER_COLS}, CAST(len(authors) AS INTEGER) AS n_authors,
+  NULLIF(array_to_string(list_transform(authors, lambda x: CAST(x.authorId AS VARCHAR)), ','), '') AS author_ids,
+  NULLIF(array_to_string(list_transform("references", lambda x: CAST(x.paperId AS VARCHAR)), ','), '')
+    AS reference_ids
+FROM nested""",
+)
+def q_json_roundtrip_papers(spark, d):
+    nested = TestTables(spark, d).nested_papers
+    landed = nested.select(
+        F.col("paper_id").cast("string").alias("paperId"),
+        "title",
+        "abstract",
+        "year",
+        F.col("reference_count").alias("referenceCount"),
+        F.col("citation_count").alias("citationCount"),
+        F.col("influential_citation_count").alias("influentialCitationCount"),
+        F.transform("authors", lambda a: F.struct(a["authorId"].cast("string").alias("authorId"), a["name"].alias("name"))).alias("authors"),
+        F.transform("references", lambda r: F.struct(r["paperId"].cast("string").alias("paperId"))).alias("references"),
+    )
+    path = scratch_path(spark, "pages")
+    J.write_paper_pages(landed, path)
+    back = J.to_store_columns(J.read_paper_pages(spark, path))
+    return back.select(
+        F.col("paper_id").cast("bigint").alias("paper_id"),
+        "title",
+        "abstract",
+        "year",
+        "reference_count",
+        "citation_count",
+        "influential_citation_count",
+        F.size("authors").alias("n_authors"),
+        F.nullif(F.array_join(F.col("authors.authorId"), ","), F.lit("")).alias("author_ids"),
+        F.nullif(F.array_join(F.col("references.paperId"), ","), F.lit("")).alias("reference_ids"),
+    )
+
+
+LIKES_SQL = """likes AS (
+  SELECT DISTINCT user_id AS author_id, 'liked' AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS paper_id
+  FROM events WHERE event_type = 'purchase')"""
+
+
+@register("stream_likes", O.with_(LIKES_SQL) + "SELECT author_id, kind, paper_id FROM likes")
+def q_stream_likes(spark, d):
+    store = scratch_path(spark, "likes")
+    create_table(spark, store, EDGES_LONG)
+    run_like_stream(spark, f"{d.rstrip('/')}/events*.parquet", store, scratch_path(spark, "likes-stream"))
+    return spark.read.schema(EDGES_LONG).parquet(store)
+
+
+RAW_SCHEMA = T.StructType(
+    [
+        T.StructField("paper_id", T.LongType()),
+        T.StructField("pos", T.LongType()),
+        T.StructField("title", T.StringType()),
+    ]
+)
+
+
+@register(
+    "stream_ingest_papers",
+    O.with_(O.RAW)
+    + """SELECT paper_id, arg_min(pos, pos) AS pos, arg_min(title, pos) AS title FROM raw GROUP BY paper_id""",
+)
+def q_stream_ingest_papers(spark, d):
+    t = TestTables(spark, d)
+    landing = scratch_path(spark, "landing")
+    orders = t.raw("orders").select("o_orderkey", F.year("o_orderdate").alias("_y"))
+    (
+        t.raw_papers.join(orders, F.col("pos") == F.col("o_orderkey"))
+        .repartition("_y")
+        .select("paper_id", "pos", "title")
+        .write.json(landing)
+    )
+    store = scratch_path(spark, "papers")
+    create_table(spark, store, RAW_SCHEMA)
+    run_paper_ingest(spark, landing, RAW_SCHEMA, store, scratch_path(spark, "ingest-stream"))
+    return spark.read.schema(RAW_SCHEMA).parquet(store)
+
+
+CONTENT_SEG_SQL = f"""cseg AS (
+  SELECT paper_id, CAST(start // {SEGMENT_STEP} AS BIGINT) AS seg_idx,
+         substring(content, start + 1, {SEGMENT_WIDTH}) AS segment
+  FROM (SELECT paper_id, content, unnest(range(0, length(content), {SEGMENT_STEP})) AS start
+        FROM (SELECT paper_id, title || COALESCE(abstract, '') AS content FROM papers)))"""
+
+EMB_SCHEMA = T.StructType(
+    [
+        T.StructField("paper_id", T.LongType()),
+        T.StructField("content_sha", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+@register(
+    "incremental_embedding",
+    O.with_(O.PAPERS, CONTENT_SEG_SQL)
+    + f"""SELECT paper_id, CAST(bucket AS BIGINT) AS bucket, count(*) / {float(DEFAULT_DIM)} AS value
+FROM ({tok_bucket_sql('segment', 'paper_id, seg_idx', 'cseg')}) GROUP BY paper_id, bucket""",
+)
+def q_incremental_embedding(spark, d):
+    papers = TestTables(spark, d).papers
+    store = scratch_path(spark, "embeddings")
+    create_table(spark, store, EMB_SCHEMA)
+
+    def stored():
+        return spark.read.schema(EMB_SCHEMA).parquet(store)
+
+    append(INC.embed_new_content(papers.where(F.col("year") <= 2005), stored()), store)  # first load
+    append(INC.embed_new_content(papers, stored()), store)  # incremental: only unseen content
+    live = INC.latest_embeddings(stored(), papers)
+    return round_doubles(
+        explode_vector(live, "paper_id").where(F.col("value") != 0).select(
+            "paper_id", F.col("idx").alias("bucket"), "value"
+        )
+    )
+
+
+@register(
+    "incremental_profile",
+    O.with_(O.EMB, LIKES_SQL)
+    + """, inter AS (SELECT * FROM (""" + O.INTER.split("AS (", 1)[1] + """ UNION SELECT author_id, kind, paper_id FROM likes)
+SELECT author_id, CAST(i AS BIGINT) AS idx, round(avg(x), 6) + 0.0 AS value FROM (
+  SELECT pp.author_id, unnest(range(len(e.embedding))) AS i, unnest(e.embedding) AS x
+  FROM (SELECT DISTINCT author_id, paper_id FROM inter WHERE kind IN ('write', 'reference', 'liked')) pp
+  JOIN emb e ON e.paper_id = pp.paper_id) u
+GROUP BY author_id, i""",
+)
+def q_incremental_profile(spark, d):
+    from refrank.operators.mutations import new_edges
+    from refrank.session import cut_lineage
+
+    t = TestTables(spark, d)
+    stored = cut_lineage(PR.author_vectors(t.interactions, t.paper_embeddings).select("author_id", "embedding"))
+    batch = t.like_events.select("author_id", F.lit("liked").alias("kind"), "paper_id").distinct()
+    inter2 = t.interactions.unionByName(new_edges(t.interactions, batch))
+    fresh = INC.refresh_profiles(stored, inter2, batch, t.paper_embeddings)
+    return round_doubles(explode_vector(fresh, "author_id"))
