@@ -11,19 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrank.functions.text import DEFAULT_DIM, segments, token_bucket, tokens
+from refrank.session import spread
+from refrank.functions.text import DEFAULT_DIM, TOKEN_SPLIT, segments, token_bucket
 
 
 def text_segments(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, seg_idx, segment) rows; a text of length 0 has no segment."""
-    return df.select(key, F.posexplode(segments(text)).alias("seg_idx", "segment"))
+    return spread(df.select(key, text)).select(key, F.posexplode(segments(text)).alias("seg_idx", "segment"))
 
 
 def bucket_counts(df: DataFrame, keys: list[str], text: str, dim: int = DEFAULT_DIM) -> DataFrame:
-    """F7 (sparse): (*keys, bucket, cnt) — token counts per hash bucket, partial-aggregated."""
+    """F7 (sparse): (*keys, bucket, cnt) — token counts per hash bucket, partial-aggregated.
+
+    Split, explode, then lower/filter/hash as plain projections (whole-stage codegen; no
+    per-element lambda)."""
     return (
-        df.select(*keys, F.explode(tokens(text)).alias("tok"))
-        .select(*keys, token_bucket("tok", dim).alias("bucket"))
+        spread(df.select(*keys, text))
+        .select(*keys, F.explode(F.split(F.col(text), TOKEN_SPLIT)).alias("tok"))
+        .where(F.length("tok") > 0)
+        .select(*keys, token_bucket(F.lower(F.col("tok")), dim).alias("bucket"))
         .groupBy(*keys, "bucket")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
@@ -84,12 +90,19 @@ def sparse_cosine_top_k(
     ``query_counts`` has at most ``dim`` rows (one per bucket): a proven-small broadcast side."""
     q = F.broadcast(query_counts.select("bucket", F.col("cnt").alias("qcnt")))
     qq = query_counts.agg(F.sum(F.col("cnt") * F.col("cnt"))).scalar()
-    norms = doc_counts.groupBy(key).agg(F.sum(F.col("cnt") * F.col("cnt")).alias("dd"))
-    dots = doc_counts.join(q, "bucket").groupBy(key).agg(F.sum(F.col("cnt") * F.col("qcnt")).alias("dot"))
-    scored = norms.join(dots, key, "left").select(
+    # One pass: a left join to the <= dim query buckets gives both the norm and the dot product.
+    sums = (
+        doc_counts.join(q, "bucket", "left")
+        .groupBy(key)
+        .agg(
+            F.sum(F.col("cnt") * F.col("cnt")).alias("dd"),
+            F.sum(F.col("cnt") * F.coalesce(F.col("qcnt"), F.lit(0))).alias("dot"),
+        )
+    )
+    scored = sums.select(
         key,
         F.when((F.col("dd") == 0) | F.coalesce(qq == 0, F.lit(True)), F.lit(0.0))
-        .otherwise(F.coalesce(F.col("dot"), F.lit(0)) / (F.sqrt("dd") * F.sqrt(qq)))
+        .otherwise(F.col("dot") / (F.sqrt("dd") * F.sqrt(qq)))
         .alias("similarity"),
     )
     return scored.orderBy(F.col("similarity").desc(), F.col(key).asc()).limit(k)

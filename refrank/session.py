@@ -54,3 +54,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores when the input has fewer partitions than cores.
+
+    Used before CPU-heavy per-row work (tokenising long texts): a single-row-group file scans as
+    one task. On a cluster the scan already yields many partitions and this is a no-op, so no
+    shuffle is added there. Reads plan metadata only (no job)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
