@@ -111,3 +111,19 @@ def sparse_cosine_top_k(
 def content_hash(content: "str | F.Column" = "content") -> F.Column:
     """Memo key of an embedding input (the text itself decides whether to re-embed)."""
     return F.sha2(F.col(content) if isinstance(content, str) else content, 256)
+
+
+def pool_segment_vectors(df: DataFrame, key: str, vec: str = "embedding", pooling: str = "width") -> DataFrame:
+    """A5 on dense segment vectors (key, vec): element-wise sum divided by the vector width
+    (``'width'``, the original behaviour) or by the number of segments (``'mean'``).
+    Summarizer is a partial aggregate: a text with very many segments is pre-reduced per task."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    if pooling == "mean":
+        agg = Summarizer.mean(array_to_vector(vec))
+        return df.groupBy(key).agg(vector_to_array(agg).alias(vec))
+    if pooling != "width":
+        raise ValueError(f"unknown pooling {pooling!r}")
+    summed = df.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector(vec))).alias("_s"))
+    return summed.select(key, F.transform("_s", lambda x: x / F.size("_s")).alias(vec))

@@ -21,7 +21,7 @@ def read_paper_pages(spark: SparkSession, path: str, schema: T.StructType = PAPE
     with its position, giving a deterministic first-seen order (file name, pos). The page query and
     offsets are parsed from the file name."""
     raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.from_json("value", T.ArrayType(schema)).alias("recs")
+        F.url_decode(F.col("_metadata.file_name")).alias("file"), F.from_json("value", T.ArrayType(schema)).alias("recs")
     )
     return raw.select(
         "file",

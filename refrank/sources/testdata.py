@@ -29,6 +29,8 @@ def _kind_of_flag(flag: Column) -> Column:
 class TestTables:
     """Recommender tables derived from one scale-factor folder."""
 
+    __test__ = False  # not a pytest class
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
