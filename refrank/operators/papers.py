@@ -70,3 +70,9 @@ def content_text(title: Column | str = "title", abstract: Column | str = "abstra
     t = F.col(title) if isinstance(title, str) else title
     a = F.col(abstract) if isinstance(abstract, str) else abstract
     return F.concat(t, F.coalesce(a, F.lit("")))
+
+
+def page(papers: DataFrame, offset: int, n: int, key: str = "paper_id") -> DataFrame:
+    """T4: one bounded page of the table in key order (``ORDER BY key LIMIT n OFFSET offset``).
+    Optional: nothing in the library pages by default."""
+    return papers.orderBy(key).offset(offset).limit(n)

@@ -56,9 +56,10 @@ def read_vector_responses(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("paperId").alias("paper_id"), F.col("embedding").getField("vector").alias("embedding"))
 
 
-def to_store_columns(df: DataFrame) -> DataFrame:
+def to_store_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Landed camelCase fields -> stored snake_case columns (by name, never by position)."""
     return df.select(
+        *keep,
         F.col("paperId").alias("paper_id"),
         "title",
         "abstract",
