@@ -104,3 +104,42 @@ def running_count(
         .withColumn(name, F.col("_rc_off") + F.col("_rc_local"))
         .drop("_rc_f", "_rc_tag", "_rc_rng", "_rc_local", "_rc_off")
     )
+
+
+def global_row_numbers(
+    df: DataFrame, key: str, ranks: Sequence[tuple[str, str, bool]]
+) -> DataFrame:
+    """Several independent exact global row numbers in one distributed pass.
+
+    ``ranks`` = [(name, numeric column, descending)]; each is ``row_number() over (order by column
+    [desc nulls last | asc nulls first], key)``. The rankings are stacked into one long table
+    (rank index, signed value, key) and numbered by a single segmented running count — one range
+    shuffle and one checkpoint instead of one per ranking — then pivoted back to one row per key.
+    Values are compared as doubles (exact for integers below 2^53).
+    """
+    stacked = None
+    for i, (name, col, desc) in enumerate(ranks):
+        v = F.col(col).cast("double")
+        part = df.select(
+            F.col(key),
+            F.lit(i).alias("_gr_i"),
+            # desc nulls last == (-v) asc nulls last; asc nulls first keeps v with nulls first.
+            (-v if desc else v).alias("_gr_v"),
+            F.lit(not desc).alias("_gr_nulls_first"),
+        )
+        stacked = part if stacked is None else stacked.unionByName(part)
+    # NULL placement per ranking: a flag column that sorts before/after every value.
+    null_pos = F.when(F.col("_gr_v").isNull(), F.when(F.col("_gr_nulls_first"), F.lit(0)).otherwise(F.lit(2))).otherwise(
+        F.lit(1)
+    )
+    numbered = running_count(
+        stacked.withColumn("_gr_np", null_pos),
+        ["_gr_i"],
+        [F.col("_gr_np").asc(), F.col("_gr_v").asc(), F.col(key).asc()],
+        F.lit(True),
+        "_gr_rn",
+    )
+    wide = numbered.groupBy(key).pivot("_gr_i", list(range(len(ranks)))).agg(F.first("_gr_rn"))
+    return df.join(
+        wide.select(key, *[(F.col(str(i)) + 1).alias(name) for i, (name, _, _) in enumerate(ranks)]), key
+    )

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from refrank.functions.vectors import DEFAULT_WEIGHTS, check_weights, cosine_to_constant, linear_score
 from refrank.operators.profiles import author_vectors, known_papers
-from refrank.operators.ranking import global_row_number, top_k
+from refrank.operators.ranking import global_row_numbers, top_k
+from refrank.session import cut_lineage
 from refrank.schemas import PAPERS_COLUMNS, RANK_FIELDS
 
 DEFAULT_K = 10
@@ -74,9 +75,10 @@ def rank_weighted(
 ) -> DataFrame:
     """C3 core: five global row numbers over the candidates, fused score, ascending top-k."""
     check_weights(weights)
-    ranked = scored_candidates(papers, embeddings, query, exclude, keep=RANK_FIELDS)
-    for rank_col, field in WEIGHTED_RANKS:
-        ranked = global_row_number(ranked, [F.col(field).desc(), F.col("paper_id").asc()], rank_col)
+    # Candidates written once (they feed the stacked ranking and the join back), then all five
+    # rankings numbered in one distributed pass.
+    cand = cut_lineage(scored_candidates(papers, embeddings, query, exclude, keep=RANK_FIELDS))
+    ranked = global_row_numbers(cand, "paper_id", [(r, field, True) for r, field in WEIGHTED_RANKS])
     ranked = ranked.select(
         "paper_id",
         "similarity",
