@@ -84,9 +84,14 @@ def test_batch_cosine_matches_single_author(spark, tables):
         ]
 
 
-def test_batch_weighted_matches_single_author(spark, tables):
+@pytest.mark.parametrize("single_block_max", [0, 1 << 30])
+def test_batch_weighted_matches_single_author(spark, tables, single_block_max):
+    # 0 forces the certified top-M rounds (starting shallow, so re-runs happen); the large value
+    # takes the single-block kernel.
     t = tables
-    batch = B.batch_recommend_weighted(t.papers, t.paper_embeddings, t.interactions, first_depth=12)
+    batch = B.batch_recommend_weighted(
+        t.papers, t.paper_embeddings, t.interactions, first_depth=12, single_block_max=single_block_max
+    )
     for author in (3, 7, 42):
         one = recommend.recommend_weighted(t.papers, t.paper_embeddings, t.interactions, author)
         want = [(r.paper_id, r.cos_rank, r.ref_rank, r.year_rank) for r in one.collect()]
@@ -129,3 +134,22 @@ def test_stream_likes_equals_batch(spark, tables):
         for r in tables.like_events.select("author_id", "paper_id").distinct().collect()
     }
     assert streamed == batch
+
+
+def test_stacked_rankings_equal_windows(spark):
+    from refrank.operators.ranking import global_row_numbers
+
+    rnd = random.Random(1)
+    rows = [
+        (i, rnd.choice([None, 0, 1, 2, 3]), rnd.random() if rnd.random() > 0.1 else None, rnd.choice([0, 0, 0, 5]))
+        for i in range(1500)
+    ]
+    df = spark.createDataFrame(rows, "id long, a int, b double, c long")
+    got = global_row_numbers(df, "id", [("ra", "a", True), ("rb", "b", True), ("rc", "c", False)])
+    want = df.select(
+        "id",
+        F.row_number().over(Window.orderBy(F.col("a").desc(), "id")).alias("ra"),
+        F.row_number().over(Window.orderBy(F.col("b").desc(), "id")).alias("rb"),
+        F.row_number().over(Window.orderBy(F.col("c").asc(), "id")).alias("rc"),
+    )
+    assert {tuple(r) for r in got.select("id", "ra", "rb", "rc").collect()} == {tuple(r) for r in want.collect()}
