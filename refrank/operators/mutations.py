@@ -22,7 +22,10 @@ def new_edges(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Distinct batch edges not yet stored — the delta to append (idempotent)."""
     cols = list(EDGE_COLUMNS)
     fresh = batch.select(*cols).where(F.col("paper_id").isNotNull()).distinct()
-    return fresh.join(existing.select(*cols), cols, "left_anti")
+    # Only the stored edges of the batch's authors can match: a semi-join on the batch's author
+    # ids (the side AQE may broadcast) trims the store before the anti-join shuffles it.
+    relevant = existing.select(*cols).join(fresh.select("author_id").distinct(), "author_id", "left_semi")
+    return fresh.join(relevant, cols, "left_anti")
 
 
 def new_authors(existing: DataFrame, batch: DataFrame, order: Sequence[str] = ("name",)) -> DataFrame:

@@ -29,7 +29,9 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str, order:
 
     Returns only the rows to append (write them with ``mode('append')``)."""
     fresh = first_seen(incoming, key, order)
-    return fresh.join(existing.select(key), key, "left_anti")
+    # Stored keys that the batch touches (semi-join on the batch's keys), then the anti-join.
+    taken = existing.select(key).join(fresh.select(key), key, "left_semi")
+    return fresh.join(taken, key, "left_anti")
 
 
 def require_paper(papers: DataFrame, paper_id) -> DataFrame:

@@ -63,6 +63,10 @@ def spread(df: DataFrame) -> DataFrame:
     Used before CPU-heavy per-row work (tokenising long texts): a single-row-group file scans as
     one task. On a cluster the scan already yields many partitions and this is a no-op, so no
     shuffle is added there. Reads plan metadata only (no job)."""
+    # Data that already went through a shuffle is spread over the shuffle partitions; asking an
+    # adaptive plan for its partition count would run its stages, so only scans are checked.
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
