@@ -57,8 +57,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus=cpus, partitions=int(cpus) if cpus.isdigit() else 8, app="refrank-bench")
-    # Warm the JVM and the Python workers once (not timed).
+    # Warm the JVM and start the Python workers once (not timed).
     run(TestTables(spark, sf_dir).papers.limit(10))
+    run(spark.range(64).repartition(int(cpus) if cpus.isdigit() else 8).mapInPandas(lambda it: it, "id long"))
     timings: dict[str, float] = {}
     queries = {name: QUERIES[name] for name in HEADLINE}
     queries["global_ranks_naive"] = naive_global_ranks
