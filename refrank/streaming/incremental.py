@@ -9,7 +9,6 @@ touches (left-semi on touched ids); every other author keeps the stored vector.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from refrank.operators.embedding import content_hash, embed_texts
 from refrank.operators.papers import content_text
