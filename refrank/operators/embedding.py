@@ -127,3 +127,39 @@ def pool_segment_vectors(df: DataFrame, key: str, vec: str = "embedding", poolin
         raise ValueError(f"unknown pooling {pooling!r}")
     summed = df.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector(vec))).alias("_s"))
     return summed.select(key, F.transform("_s", lambda x: x / F.size("_s")).alias(vec))
+
+
+class HashEmbedder:
+    """U6 default embedder (R8): hashed token counts, no model, no network."""
+
+    def __init__(self, dim: int = DEFAULT_DIM, pooling: str = "width"):
+        self.dim, self.pooling = dim, pooling
+
+    def embed(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        return embed_texts(df, key, text, self.dim, self.pooling)
+
+
+class BatchEmbedder:
+    """U6 pluggable model: ``fn(list[str]) -> array (n, dim)`` applied to Arrow batches of segments.
+
+    The long-text pipeline stays in Spark around the model: F5 segments (rows), the model on each
+    segment batch inside ``mapInPandas`` (F7), and A5 pooling as a partial-aggregating vector sum.
+    ``fn`` must be picklable; it is shipped to the executors with the task."""
+
+    def __init__(self, fn, dim: int, pooling: str = "width"):
+        self.fn, self.dim, self.pooling = fn, dim, pooling
+
+    def embed(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        import numpy as np
+
+        fn, dim = self.fn, self.dim
+        seg = text_segments(df, key, text)
+        key_type = seg.schema[key].dataType.simpleString()
+
+        def run(batches):
+            for pdf in batches:
+                vecs = np.asarray(fn(pdf["segment"].tolist()), dtype=np.float64).reshape(len(pdf), dim)
+                yield pdf[[key, "seg_idx"]].assign(embedding=list(vecs))
+
+        vectors = seg.mapInPandas(run, f"{key} {key_type}, seg_idx int, embedding array<double>")
+        return pool_segment_vectors(vectors, key, "embedding", self.pooling)

@@ -28,9 +28,4 @@ def find_and_recommend(
     if len(found) != 1:
         raise ValueError(f"{len(found)} authors match {name_text!r}; pick one id")
     author_id = found[0][0]
-    if mode == "cosine":
-        return recommend.recommend_to_author(papers, embeddings, interactions, author_id, k)
-    if mode == "weighted":
-        w = weights or recommend.DEFAULT_WEIGHTS
-        return recommend.recommend_weighted(papers, embeddings, interactions, author_id, w, k)
-    raise ValueError(f"unknown mode {mode!r}")
+    return recommend.recommend(papers, embeddings, interactions, author_id, mode, weights, k)

@@ -104,6 +104,17 @@ def recommend_weighted(
     return rank_weighted(papers, embeddings, q, exclude, weights, k)
 
 
+def recommend(
+    papers, embeddings, interactions, author_id, mode: str = "cosine", weights=None, k: int = DEFAULT_K
+) -> DataFrame:
+    """One entry point, the ranking model chosen by ``mode`` ('cosine' or 'weighted')."""
+    if mode == "cosine":
+        return recommend_to_author(papers, embeddings, interactions, author_id, k)
+    if mode == "weighted":
+        return recommend_weighted(papers, embeddings, interactions, author_id, weights or DEFAULT_WEIGHTS, k)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def order_by_field(papers: DataFrame, field: str, ascending: bool = False, k: int = DEFAULT_K) -> DataFrame:
     """Top-k papers by one numeric field (whitelisted); NULLs last under desc, first under asc."""
     if field not in RANK_FIELDS:

@@ -10,19 +10,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from refrank.operators.embedding import content_hash, embed_texts
+from refrank.operators.embedding import HashEmbedder, content_hash
 from refrank.operators.papers import content_text
 from refrank.operators.profiles import author_vectors
 
 
-def embed_new_content(papers: DataFrame, stored: DataFrame, dim: int = 64) -> DataFrame:
+def embed_new_content(papers: DataFrame, stored: DataFrame, dim: int = 64, embedder=None) -> DataFrame:
     """(paper_id, content_sha, embedding) rows to add — only unseen (paper, content) pairs.
-    ``stored`` has (paper_id, content_sha, embedding)."""
+    ``stored`` has (paper_id, content_sha, embedding); ``embedder`` defaults to the hashed R8 one."""
     content = papers.select("paper_id", content_text().alias("content")).withColumn(
         "content_sha", content_hash("content")
     )
     todo = content.join(stored.select("paper_id", "content_sha"), ["paper_id", "content_sha"], "left_anti")
-    vecs = embed_texts(todo.select("paper_id", "content"), "paper_id", "content", dim)
+    embedder = embedder or HashEmbedder(dim)
+    vecs = embedder.embed(todo.select("paper_id", "content"), "paper_id", "content")
     return todo.select("paper_id", "content_sha").join(vecs, "paper_id")
 
 

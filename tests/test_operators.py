@@ -224,3 +224,33 @@ def test_json_pages_source(spark, tmp_path):
     assert rows[0].query == "machine learning" and rows[0].offset_to == "1"
     stored = to_store_columns(df).orderBy("paper_id").first()
     assert stored.reference_count == 3 and stored.authors[0].name == "A"
+
+
+def _char_model(texts):
+    import numpy as np
+
+    return np.array([[t.count("a"), t.count("b")] for t in texts], dtype=float)
+
+
+def test_batch_embedder_segments_and_pools(spark):
+    from refrank.operators.embedding import BatchEmbedder
+
+    text = "a" * 3000 + "b" * 3000  # 6000 chars -> 3 segments starting at 0, 2750, 5500
+    df = spark.createDataFrame([("d", text), ("e", "ab")], "k string, text string")
+    got = {r.k: r.embedding for r in BatchEmbedder(_char_model, 2).embed(df, "k", "text").collect()}
+    segs = [text[i:i + 5500] for i in range(0, len(text), 2750)]
+    want = [sum(s.count("a") for s in segs) / 2, sum(s.count("b") for s in segs) / 2]
+    assert got["d"] == want and got["e"] == [0.5, 0.5]
+    mean = {r.k: r.embedding for r in BatchEmbedder(_char_model, 2, pooling="mean").embed(df, "k", "text").collect()}
+    assert mean["d"] == [want[0] * 2 / 3, want[1] * 2 / 3]
+
+
+def test_recommend_mode_switch(spark):
+    from refrank.sources.testdata import TestTables
+
+    t = TestTables(spark, "/root/testdata/sf0.001")
+    a = recommend.recommend(t.papers, t.paper_embeddings, t.interactions, 7, mode="weighted").collect()
+    b = recommend.recommend_weighted(t.papers, t.paper_embeddings, t.interactions, 7).collect()
+    assert [r.paper_id for r in a] == [r.paper_id for r in b]
+    with pytest.raises(ValueError):
+        recommend.recommend(t.papers, t.paper_embeddings, t.interactions, 7, mode="other")
