@@ -113,8 +113,8 @@ def global_row_numbers(
 
     ``ranks`` = [(name, numeric column, descending)]; each is ``row_number() over (order by column
     [desc nulls last | asc nulls first], key)``. The rankings are stacked into one long table
-    (rank index, signed value, key) and numbered by a single segmented running count — one range
-    shuffle and one checkpoint instead of one per ranking — then pivoted back to one row per key.
+    (rank index, signed value, key) and numbered by one segmented row number — one range shuffle
+    and one checkpoint instead of one per ranking — then pivoted back to one row per key.
     Values are compared as doubles (exact for integers below 2^53).
     """
     stacked = None
@@ -132,14 +132,39 @@ def global_row_numbers(
     null_pos = F.when(F.col("_gr_v").isNull(), F.when(F.col("_gr_nulls_first"), F.lit(0)).otherwise(F.lit(2))).otherwise(
         F.lit(1)
     )
-    numbered = running_count(
+    numbered = segmented_row_number(
         stacked.withColumn("_gr_np", null_pos),
         ["_gr_i"],
         [F.col("_gr_np").asc(), F.col("_gr_v").asc(), F.col(key).asc()],
-        F.lit(True),
         "_gr_rn",
     )
     wide = numbered.groupBy(key).pivot("_gr_i", list(range(len(ranks)))).agg(F.first("_gr_rn"))
-    return df.join(
-        wide.select(key, *[(F.col(str(i)) + 1).alias(name) for i, (name, _, _) in enumerate(ranks)]), key
+    return df.join(wide.select(key, *[F.col(str(i)).alias(name) for i, (name, _, _) in enumerate(ranks)]), key)
+
+
+def segmented_row_number(
+    df: DataFrame, segment: Sequence[str], order: Sequence[Column | str], name: str
+) -> DataFrame:
+    """``row_number() over (partition by segment order by order)``, distributed and skew-safe, for a
+    *small number of segments* (e.g. the stacked rankings).
+
+    Ranges come from one range shuffle on (segment, order); inside a range a segment's rows are
+    contiguous, so a row's position is its tag minus the smallest tag of its (range, segment). The
+    per-(range, segment) table has at most ranges + segments rows: prefix-summed and broadcast.
+    """
+    keys = [F.col(s) for s in segment] + [_order_expr(c) for c in order]
+    tagged = cut_lineage(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_sr_tag", F.monotonically_increasing_id())
+    ).withColumn("_sr_rng", F.shiftright("_sr_tag", 33))
+    groups = tagged.groupBy("_sr_rng", *segment).agg(
+        F.count(F.lit(1)).alias("_sr_n"), F.min("_sr_tag").alias("_sr_first")
+    )
+    before = Window.partitionBy(*segment).orderBy("_sr_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.select(
+        "_sr_rng", *segment, "_sr_first", F.coalesce(F.sum("_sr_n").over(before), F.lit(0)).alias("_sr_off")
+    )
+    return (
+        tagged.join(F.broadcast(offsets), ["_sr_rng", *segment])
+        .withColumn(name, F.col("_sr_off") + (F.col("_sr_tag") - F.col("_sr_first")) + 1)
+        .drop("_sr_tag", "_sr_rng", "_sr_first", "_sr_off")
     )
