@@ -24,8 +24,12 @@ def paper_stream(spark: SparkSession, landing: str, schema: T.StructType, max_fi
 
 def ingest_into(store_path: str, key: str, order: Sequence[str]):
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        stored = batch.sparkSession.read.parquet(store_path)
-        append(insert_or_ignore(stored, batch, key, order).select(*stored.columns), store_path)
+        batch = batch.persist()  # read twice by the merge; replayed from offsets on failure
+        try:
+            stored = batch.sparkSession.read.parquet(store_path)
+            append(insert_or_ignore(stored, batch, key, order).select(*stored.columns), store_path)
+        finally:
+            batch.unpersist()
 
     return merge
 

@@ -40,9 +40,15 @@ def merge_likes_into(store_path: str):
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        stored = spark.read.parquet(store_path)
-        edges = batch.select("author_id", F.lit(KIND_LIKED).alias("kind"), "paper_id")
-        append(new_edges(stored, edges).select(*EDGE_COLUMNS), store_path)
+        # The merge reads the batch twice (edges, and its authors to trim the store): compute the
+        # micro-batch once. A failed batch is replayed from the source offsets, so this is safe.
+        batch = batch.persist()
+        try:
+            stored = spark.read.parquet(store_path)
+            edges = batch.select("author_id", F.lit(KIND_LIKED).alias("kind"), "paper_id")
+            append(new_edges(stored, edges).select(*EDGE_COLUMNS), store_path)
+        finally:
+            batch.unpersist()
 
     return merge
 
