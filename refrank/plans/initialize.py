@@ -17,10 +17,14 @@ from refrank.streaming.incremental import embed_new_content
 def initialize(spark: SparkSession, landing: str, root: str, dim: int = 64) -> dict[str, DataFrame]:
     root = root.rstrip("/")
     landed = read_paper_pages(spark, landing)
-    papers = _first_wins(landed)
-    papers.write.mode("overwrite").parquet(f"{root}/papers")
+    # First-wins rows keep their scan position (file, pos) until the profiles are derived, so the
+    # first spelling of an author follows the landed order, not the id's string order.
+    firsts = _first_wins(landed)
+    firsts.write.mode("overwrite").parquet(f"{root}/_papers_scan")
+    firsts = spark.read.parquet(f"{root}/_papers_scan")
+    firsts.drop("file", "pos").write.mode("overwrite").parquet(f"{root}/papers")
     papers = spark.read.parquet(f"{root}/papers")
-    names, edges = profiles_from_papers(papers, order=("paper_id",))
+    names, edges = profiles_from_papers(firsts, order=("file", "pos"))
     names.write.mode("overwrite").parquet(f"{root}/authors")
     edges.write.mode("overwrite").parquet(f"{root}/interactions")
     empty = spark.createDataFrame([], "paper_id string, content_sha string, embedding array<double>")
@@ -32,6 +36,7 @@ def initialize(spark: SparkSession, landing: str, root: str, dim: int = 64) -> d
 
 
 def _first_wins(landed: DataFrame) -> DataFrame:
-    """A1 over landed pages: first (file, pos) wins per paper id; stored columns by name."""
+    """A1 over landed pages: first (file, pos) wins per paper id; stored columns by name, plus the
+    winning (file, pos)."""
     stored = to_store_columns(landed, keep=("file", "pos"))
-    return first_seen(stored, "paper_id", ["file", "pos"]).drop("file", "pos")
+    return first_seen(stored, "paper_id", ["file", "pos"])

@@ -660,3 +660,53 @@ def q_incremental_profile(spark, d):
     inter2 = t.interactions.unionByName(new_edges(t.interactions, batch))
     fresh = INC.refresh_profiles(stored, inter2, batch, t.paper_embeddings)
     return round_doubles(explode_vector(fresh, "author_id"))
+
+
+# ---------------------------------------------------------------- C7, T4
+from refrank.plans.initialize import initialize as _initialize  # noqa: E402
+
+PAGE_OFFSET, PAGE_SIZE = 100, 50
+
+
+@register(
+    "initialize_store",
+    O.with_(O.PAPERS, O.INTER, O.NESTED)
+    + """, a AS (
+  SELECT paper_id, "references", unnest(authors) AS au, generate_subscripts(authors, 1) AS author_pos FROM nested),
+edges AS (
+  SELECT DISTINCT au.authorId AS author_id, 'write' AS kind, paper_id FROM a WHERE au.authorId IS NOT NULL
+  UNION
+  SELECT DISTINCT author_id, 'reference', ref FROM (
+    SELECT au.authorId AS author_id, unnest("references").paperId AS ref FROM a WHERE au.authorId IS NOT NULL) r
+  WHERE ref IS NOT NULL),
+names AS (SELECT au.authorId AS author_id, arg_min(au.name, paper_id * 100000 + author_pos) AS name
+          FROM a WHERE au.authorId IS NOT NULL GROUP BY au.authorId)
+SELECT CAST(e.author_id AS VARCHAR) AS author_id, n.name, e.kind, CAST(e.paper_id AS VARCHAR) AS paper_id
+FROM edges e JOIN names n ON e.author_id = n.author_id""",
+)
+def q_initialize_store(spark, d):
+    """C7 end to end: nested papers landed as JSON pages (string ids, as the API lands them), then
+    initialise papers, authors, interactions and embeddings from the pages."""
+    nested = TestTables(spark, d).nested_papers
+    landed = nested.select(
+        F.col("paper_id").alias("_crawl_order"),
+        F.col("paper_id").cast("string").alias("paperId"), "title", "abstract", "year",
+        F.col("reference_count").alias("referenceCount"), F.col("citation_count").alias("citationCount"),
+        F.col("influential_citation_count").alias("influentialCitationCount"),
+        F.transform("authors", lambda a: F.struct(a["authorId"].cast("string").alias("authorId"), a["name"].alias("name"))).alias("authors"),
+        F.transform("references", lambda r: F.struct(r["paperId"].cast("string").alias("paperId"))).alias("references"),
+    )
+    pages = scratch_path(spark, "init-pages")
+    # Pages as an ordered crawl (ranges of the id), so scan order (file, pos) is the fixture's
+    # first-seen order (lowest paper id first).
+    J.write_paper_pages(landed, pages, page_key="_crawl_order", sort_key="_crawl_order")
+    tables = _initialize(spark, pages, scratch_path(spark, "init-store"))
+    return tables["interactions"].join(tables["authors"], "author_id").select("author_id", "name", "kind", "paper_id")
+
+
+@register(
+    "papers_page",
+    O.with_(O.PAPERS) + f"SELECT {O.PAPER_COLS} FROM papers ORDER BY paper_id LIMIT {PAGE_SIZE} OFFSET {PAGE_OFFSET}",
+)
+def q_papers_page(spark, d):
+    return P.page(TestTables(spark, d).papers.select(*O.PAPER_COLS.split(", ")), PAGE_OFFSET, PAGE_SIZE)

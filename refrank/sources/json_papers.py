@@ -21,13 +21,15 @@ def read_paper_pages(spark: SparkSession, path: str, schema: T.StructType = PAPE
     with its position, giving a deterministic first-seen order (file name, pos). The page query and
     offsets are parsed from the file name."""
     raw = spark.read.text(path, wholetext=True).select(
-        F.url_decode(F.col("_metadata.file_name")).alias("file"), F.from_json("value", T.ArrayType(schema)).alias("recs")
+        F.url_decode(F.col("_metadata.file_path")).alias("file"),
+        F.url_decode(F.col("_metadata.file_name")).alias("_name"),
+        F.from_json("value", T.ArrayType(schema)).alias("recs"),
     )
     return raw.select(
         "file",
-        F.regexp_extract("file", PAGE_NAME, 1).alias("query"),
-        F.regexp_extract("file", PAGE_NAME, 2).alias("offset_from"),
-        F.regexp_extract("file", PAGE_NAME, 3).alias("offset_to"),
+        F.regexp_extract("_name", PAGE_NAME, 1).alias("query"),
+        F.regexp_extract("_name", PAGE_NAME, 2).alias("offset_from"),
+        F.regexp_extract("_name", PAGE_NAME, 3).alias("offset_to"),
         F.posexplode("recs").alias("pos", "rec"),
     ).select("file", "query", "offset_from", "offset_to", "pos", "rec.*")
 
@@ -72,17 +74,26 @@ def to_store_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def write_paper_pages(df: DataFrame, path: str, page_size: int = 100) -> None:
+def write_paper_pages(
+    df: DataFrame, path: str, page_size: int = 100, page_key: str | None = None, sort_key: str | None = None
+) -> None:
     """Land papers as JSON-array pages of about ``page_size`` records (builds ingest fixtures).
 
-    Pages are hash buckets of the id, sized from the row count, so every collected page is bounded
-    by the page size; ``partitionBy`` puts each page in its own file."""
-    n = df.count()
-    pages = max(1, -(-n // page_size))
+    With ``page_key`` (numeric) pages are ranges of it, like an ordered crawl: page folders are
+    zero-padded so file paths sort in page order, and records inside a page follow ``sort_key``.
+    Without it pages are hash buckets of the id sized from the row count. Either way every
+    collected page is bounded by the page size; ``partitionBy`` puts each page in its own file."""
+    sort_key = sort_key or "paperId"
+    if page_key is not None:
+        page = F.lpad(F.floor(F.col(page_key) / F.lit(page_size)).cast("string"), 12, "0")
+    else:
+        pages = max(1, -(-df.count() // page_size))
+        page = F.pmod(F.xxhash64("paperId"), F.lit(pages)).cast("string")
+    cols = [c for c in df.columns if c not in {page_key, sort_key} or c == "paperId"]
     (
-        df.withColumn("_page", F.pmod(F.xxhash64("paperId"), F.lit(pages)))
+        df.withColumn("_page", page)
         .groupBy("_page")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("paperId").alias("_k"), F.struct(*df.columns).alias("r")))).alias("_rs"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(sort_key).alias("_k"), F.struct(*cols).alias("r")))).alias("_rs"))
         .select("_page", F.to_json(F.col("_rs").getField("r")).alias("value"))
         .write.mode("overwrite")
         .partitionBy("_page")
