@@ -48,6 +48,12 @@ def explode_vector(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame
 
 A = O.FLAGSHIP_AUTHOR
 
+
+def _pei(spark, d):
+    """(papers, paper_embeddings, interactions) of one scale-factor folder."""
+    t = TestTables(spark, d)
+    return t.papers, t.paper_embeddings, t.interactions
+
 # ---------------------------------------------------------------- C2, C3, T2
 register("recommend_weighted", O.recommend_weighted_sql())(
     lambda spark, d: round_doubles(
@@ -59,11 +65,6 @@ register("recommend_cosine", O.recommend_cosine_sql())(
 )
 
 
-def _pei(spark, d):
-    t = TestTables(spark, d)
-    return t.papers, t.paper_embeddings, t.interactions
-
-
 def _field_query(name: str, field: str, ascending: bool = False) -> None:
     register(name, O.order_by_field_sql(field, ascending))(
         lambda spark, d: recommend.order_by_field(TestTables(spark, d).papers, field, ascending)
