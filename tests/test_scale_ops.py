@@ -153,3 +153,16 @@ def test_stacked_rankings_equal_windows(spark):
         F.row_number().over(Window.orderBy(F.col("c").asc(), "id")).alias("rc"),
     )
     assert {tuple(r) for r in got.select("id", "ra", "rb", "rc").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_batch_weighted_negative_weight_stays_exact(spark, tables):
+    t = tables
+    w = (0.6, -0.1, 0.1, 0.1, 0.1)
+    batch = B.batch_recommend_weighted(
+        t.papers, t.paper_embeddings, t.interactions, weights=w, first_depth=12, single_block_max=0
+    )
+    for author in (7, 42):
+        one = recommend.recommend_weighted(t.papers, t.paper_embeddings, t.interactions, author, weights=w)
+        want = [r.paper_id for r in one.collect()]
+        got = [r.paper_id for r in batch.where(F.col("author_id") == author).orderBy("rank", "paper_id").collect()]
+        assert got == want
