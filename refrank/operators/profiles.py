@@ -32,7 +32,8 @@ def profile_edges(interactions: DataFrame) -> DataFrame:
 
 
 def author_vectors(interactions: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Mean embedding over each author's distinct known papers that have an embedding.
+    """Mean embedding over each author's distinct known papers that have an embedding (a NULL
+    vector counts as none).
 
     Summarizer is a partial-aggregating vector aggregate: a hot author is pre-reduced in every map
     task, so no task ever holds one author's papers as a group. Authors without any embedded paper
@@ -40,7 +41,7 @@ def author_vectors(interactions: DataFrame, embeddings: DataFrame) -> DataFrame:
     """
     return (
         profile_edges(interactions)
-        .join(embeddings.select("paper_id", "embedding"), "paper_id")
+        .join(embeddings.select("paper_id", "embedding").where(F.col("embedding").isNotNull()), "paper_id")
         .groupBy("author_id")
         .agg(
             vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("embedding"),
@@ -51,7 +52,7 @@ def author_vectors(interactions: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def profile_coverage(interactions: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Per author: distinct profile papers, how many have an embedding, how many are missing."""
-    emb_ids = embeddings.select("paper_id", F.lit(1).alias("_has"))
+    emb_ids = embeddings.where(F.col("embedding").isNotNull()).select("paper_id", F.lit(1).alias("_has"))
     return (
         profile_edges(interactions)
         .join(emb_ids, "paper_id", "left")

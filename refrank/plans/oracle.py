@@ -23,7 +23,8 @@ PAPERS = """papers AS (
            COUNT(CASE WHEN l_returnflag = 'R' THEN 1 END) AS influential_citation_count
     FROM lineitem GROUP BY l_partkey) l ON p.p_partkey = l.l_partkey)"""
 
-EMB = """emb AS (SELECT vec_id AS paper_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"""
+EMB = """emb AS (SELECT vec_id AS paper_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings
+         WHERE embedding IS NOT NULL)"""
 
 AUTHORS = """authors AS (SELECT c_custkey AS author_id, c_name AS name FROM customer)"""
 

@@ -49,7 +49,8 @@ def scored_candidates(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """(paper_id, similarity, *keep) for every embedded paper not in ``exclude``."""
-    cand = embeddings.select("paper_id", "embedding").join(papers.select("paper_id", *keep), "paper_id")
+    vectors = embeddings.select("paper_id", "embedding").where(F.col("embedding").isNotNull())
+    cand = vectors.join(papers.select("paper_id", *keep), "paper_id")
     if exclude is not None:
         # Size is data-dependent (one author may know a third of the corpus): no forced broadcast;
         # AQE turns this into a broadcast join only when the runtime size is under its threshold.

@@ -254,3 +254,18 @@ def test_recommend_mode_switch(spark):
     assert [r.paper_id for r in a] == [r.paper_id for r in b]
     with pytest.raises(ValueError):
         recommend.recommend(t.papers, t.paper_embeddings, t.interactions, 7, mode="other")
+
+
+def test_null_embedding_counts_as_not_embedded(spark):
+    from refrank.plans.batch import batch_recommend_cosine
+
+    papers = _papers(spark)
+    emb = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", None), ("c", [1.0, 1.0])], "paper_id string, embedding array<double>"
+    )
+    inter = spark.createDataFrame([("1", "write", "a"), ("1", "write", "b")], "author_id string, kind string, paper_id string")
+    assert recommend.author_query_vector(inter, emb, "1") == [1.0, 0.0]
+    assert [r.paper_id for r in recommend.rank_by_similarity(papers, emb, [1.0, 0.0], None).collect()] == ["a", "c"]
+    assert [r.paper_id for r in batch_recommend_cosine(papers, emb, inter).collect()] == ["c"]
+    cov = PR.profile_coverage(inter, emb).first()
+    assert (cov.n_papers, cov.n_embedded, cov.n_missing) == (2, 1, 1)
