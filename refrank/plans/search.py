@@ -1,4 +1,9 @@
-"""Keyword search — embed the keyword the same way as the corpus, rank every text by cosine."""
+"""Keyword search — embed the keyword the same way as the corpus, rank every text by cosine.
+
+The corpus side is an *index*: the sparse (id, bucket, count) table the embedding job builds once
+(``text_index``) and the caller stores; a search then only scans it (``search_index``). Nothing
+is excluded from a search.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,35 @@ from pyspark.sql import DataFrame
 
 from refrank.functions.text import DEFAULT_DIM
 from refrank.operators import embedding as E
+from refrank.operators.embedding import HashEmbedder
+from refrank.plans import recommend
 
 
-def keyword_search(corpus: DataFrame, key: str, text: str, keyword: str, k: int = 10, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Top-k texts of ``corpus`` by cosine to ``keyword`` (short text: one segment, no pooling).
-    Nothing is excluded. Scoring is sparse; the keyword side has at most ``dim`` rows."""
-    spark = corpus.sparkSession
+def text_index(corpus: DataFrame, key: str, text: str, dim: int = DEFAULT_DIM) -> DataFrame:
+    """Sparse corpus index: per id and bucket, token counts summed over the text's segments."""
+    return E.long_text_counts(corpus, key, text, dim)
+
+
+def search_index(index: DataFrame, key: str, keyword: str, k: int = 10, dim: int = DEFAULT_DIM) -> DataFrame:
+    """Top-k ids of a sparse index by cosine to ``keyword`` (short text: one segment, no pooling;
+    the keyword side has at most ``dim`` rows)."""
+    spark = index.sparkSession
     q = E.bucket_counts(spark.createDataFrame([(keyword,)], "q string"), [], "q", dim)
-    docs = E.long_text_counts(corpus, key, text, dim)
-    return E.sparse_cosine_top_k(docs, q, key, k)
+    return E.sparse_cosine_top_k(index, q, key, k)
+
+
+def keyword_search(corpus: DataFrame, key: str, text: str, keyword: str, k: int = 10, dim: int = DEFAULT_DIM) -> DataFrame:
+    """Build the index from ``corpus`` and search it (one-off use; store the index to reuse it)."""
+    return search_index(text_index(corpus, key, text, dim), key, keyword, k, dim)
+
+
+def search_papers(papers: DataFrame, embeddings: DataFrame, keyword: str, embedder=None, k: int = 10) -> DataFrame:
+    """C1 over the stored paper embeddings: the keyword is embedded with the corpus's embedder
+    (one short text, so one bounded vector) and every embedded paper is ranked by cosine."""
+    spark = papers.sparkSession
+    embedder = embedder or HashEmbedder()
+    rows = embedder.embed(spark.createDataFrame([("q", keyword)], "k string, t string"), "k", "t").take(1)
+    query = list(rows[0]["embedding"]) if rows else []
+    if not query:
+        raise ValueError("the keyword has no token to embed")
+    return recommend.rank_by_similarity(papers, embeddings, query, None, k)

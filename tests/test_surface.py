@@ -143,3 +143,18 @@ def test_stream_ingest_existing_rows_win_across_batches(spark, tmp_path):
     # Re-running with nothing new changes nothing (exactly-once through the stream checkpoint).
     run_paper_ingest(spark, str(landing), schema, store, ckpt, max_files=1)
     assert spark.read.schema(schema).parquet(store).count() == 3
+
+
+def test_index_search_equals_dense_paper_search(spark):
+    from refrank.operators.embedding import HashEmbedder
+    from refrank.operators.papers import content_text
+    from refrank.plans.search import search_index, search_papers, text_index
+
+    t = TestTables(spark, SF)
+    corpus = t.papers.select("paper_id", content_text().alias("content"))
+    keyword = "blue widget ECONOMY"
+    sparse = search_index(text_index(corpus, "paper_id", "content"), "paper_id", keyword).collect()
+    vectors = HashEmbedder().embed(corpus, "paper_id", "content")
+    dense = search_papers(t.papers, vectors, keyword).collect()
+    assert [round(r.similarity, 9) for r in sparse] == [round(r.similarity, 9) for r in dense]
+    assert sparse[0].similarity > 0
