@@ -711,3 +711,13 @@ def q_initialize_store(spark, d):
 )
 def q_papers_page(spark, d):
     return P.page(TestTables(spark, d).papers.select(*O.PAPER_COLS.split(", ")), PAGE_OFFSET, PAGE_SIZE)
+
+
+# ---------------------------------------------------------------- C3 against a static-rank index
+@register("recommend_weighted_indexed", O.recommend_weighted_sql())
+def q_recommend_weighted_indexed(spark, d):
+    from refrank.plans.indexed import recommend_weighted_indexed, static_rank_index
+
+    papers, emb, inter = _pei(spark, d)
+    index = static_rank_index(papers, emb)  # built once per data version in production
+    return round_doubles(recommend_weighted_indexed(papers, emb, inter, A, index))

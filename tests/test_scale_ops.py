@@ -166,3 +166,18 @@ def test_batch_weighted_negative_weight_stays_exact(spark, tables):
         want = [r.paper_id for r in one.collect()]
         got = [r.paper_id for r in batch.where(F.col("author_id") == author).orderBy("rank", "paper_id").collect()]
         assert got == want
+
+
+@pytest.mark.parametrize("depth", [None, 12])
+def test_indexed_weighted_equals_full_ranking(spark, tables, depth):
+    from refrank.plans.indexed import recommend_weighted_indexed, static_rank_index
+
+    t = tables
+    index = static_rank_index(t.papers, t.paper_embeddings)
+    for author in (3, 7, 42):
+        want = recommend.recommend_weighted(t.papers, t.paper_embeddings, t.interactions, author).collect()
+        got = recommend_weighted_indexed(
+            t.papers, t.paper_embeddings, t.interactions, author, index, depth=depth
+        ).collect()
+        cols = ["paper_id", "cos_rank", "ref_rank", "cite_rank", "inf_cite_rank", "year_rank", "rank"]
+        assert [tuple(r[c] for c in cols) for r in got] == [tuple(r[c] for c in cols) for r in want]
