@@ -60,6 +60,23 @@ def main():
     )
     facts("F5/F7/F8 segment token counts: explode + codegen'd projections, partial aggregation",
           long_text_counts(t.documents, "doc_id"))
+    from refrank.operators.blocked import blocked_top_k
+    from refrank.operators.ranking import global_row_numbers
+    from refrank.plans.batch import candidate_vectors
+
+    facts(
+        "W1-W5 stacked: five rankings numbered in one pass (checkpointed ranges, broadcast offsets, pivot)",
+        global_row_numbers(
+            t.papers.select("paper_id", "year", "citation_count"),
+            "paper_id",
+            [("year_rank", "year", True), ("cite_rank", "citation_count", True)],
+        ),
+    )
+    vecs = author_vectors(t.interactions, t.paper_embeddings).select("author_id", "embedding")
+    facts(
+        "R1 blocked top-k: co-grouped (author block, paper block) groups, Arrow to numpy, local top-k only",
+        blocked_top_k(vecs, candidate_vectors(t.papers, t.paper_embeddings), known_papers(t.interactions), 10),
+    )
     spark.stop()
 
 
