@@ -269,3 +269,16 @@ def test_null_embedding_counts_as_not_embedded(spark):
     assert [r.paper_id for r in batch_recommend_cosine(papers, emb, inter).collect()] == ["c"]
     cov = PR.profile_coverage(inter, emb).first()
     assert (cov.n_papers, cov.n_embedded, cov.n_missing) == (2, 1, 1)
+
+
+def test_papers_by_id_set_edges(spark):
+    papers = _papers(spark)
+    assert P.papers_by_ids(papers, []).count() == 0
+    assert sorted(r.paper_id for r in P.papers_by_ids(papers, ["a", "zz", None]).collect()) == ["a"]
+    ids = spark.createDataFrame([("c",), ("c",), ("nope",)], "paper_id string")
+    assert [r.paper_id for r in P.papers_by_ids(papers, ids).collect()] == ["c"]
+
+
+def test_name_search_backslash_is_literal(spark):
+    authors = spark.createDataFrame([("1", "a\\b"), ("2", "ab")], "author_id string, name string")
+    assert {r.author_id for r in PR.search_by_name(authors, "a\\b").collect()} == {"1"}
