@@ -158,3 +158,24 @@ def test_index_search_equals_dense_paper_search(spark):
     dense = search_papers(t.papers, vectors, keyword).collect()
     assert [round(r.similarity, 9) for r in sparse] == [round(r.similarity, 9) for r in dense]
     assert sparse[0].similarity > 0
+
+
+def test_bucketed_store_join_shuffles_only_the_batch(spark):
+    from refrank.operators.mutations import new_edges
+    from refrank.sources.store import write_bucketed
+
+    t = TestTables(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force a shuffle join to inspect
+    try:
+        store = write_bucketed(
+            t.interactions, "interactions_bucketed", scratch_path(spark, "bucketed"), "author_id", 8
+        )
+        batch = spark.createDataFrame([(7, "liked", 1), (8, "liked", 2)], "author_id long, kind string, paper_id long")
+        joined = store.join(batch, "author_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        # Exactly one shuffle: the batch's. The bucketed store is read already partitioned.
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert new_edges(store, batch).count() == 2 - store.join(batch, ["author_id", "kind", "paper_id"]).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS interactions_bucketed")
