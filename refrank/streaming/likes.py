@@ -35,8 +35,11 @@ def like_stream(spark: SparkSession, source: str, watermark: str = "1 hour", max
     )
 
 
-def merge_likes_into(store_path: str):
-    """foreachBatch sink: append the batch's new (author, liked, paper) edges to the store."""
+def merge_likes_into(store_path: str, table: str | None = None):
+    """foreachBatch sink: append the batch's new (author, liked, paper) edges to the store.
+
+    ``table`` names a store bucketed by ``author_id`` (``sources.store.write_bucketed``): it is read
+    through the catalog, so the anti-join shuffles only the micro-batch, and appended in place."""
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -44,22 +47,31 @@ def merge_likes_into(store_path: str):
         # micro-batch once. A failed batch is replayed from the source offsets, so this is safe.
         batch = batch.persist()
         try:
-            stored = spark.read.parquet(store_path)
+            stored = spark.table(table) if table else spark.read.parquet(store_path)
             edges = batch.select("author_id", F.lit(KIND_LIKED).alias("kind"), "paper_id")
-            append(new_edges(stored, edges).select(*EDGE_COLUMNS), store_path)
+            fresh = new_edges(stored, edges).select(*EDGE_COLUMNS)
+            if table:
+                fresh.write.insertInto(table)
+            else:
+                append(fresh, store_path)
         finally:
             batch.unpersist()
 
     return merge
 
 
-def run_like_stream(spark: SparkSession, source: str, store_path: str, checkpoint: str, **kw) -> None:
+def run_like_stream(
+    spark: SparkSession, source: str, store_path: str, checkpoint: str, table: str | None = None, **kw
+) -> None:
     """Process everything available now (exactly-once through the stream checkpoint), then stop."""
     q = (
         like_stream(spark, source, **kw)
-        .writeStream.foreachBatch(merge_likes_into(store_path))
+        .writeStream.foreachBatch(merge_likes_into(store_path, table))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
+    if table:
+        # The stream writes through its own session; drop this session's cached file listing.
+        spark.catalog.refreshTable(table)

@@ -179,3 +179,20 @@ def test_bucketed_store_join_shuffles_only_the_batch(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS interactions_bucketed")
+
+
+def test_like_stream_into_bucketed_store(spark):
+    from refrank.sources.store import write_bucketed
+    from refrank.streaming.likes import run_like_stream
+
+    t = TestTables(spark, SF)
+    empty = spark.createDataFrame([], "author_id long, kind string, paper_id long")
+    path = scratch_path(spark, "likes-bucketed")
+    try:
+        write_bucketed(empty, "likes_bucketed", path, "author_id", 4)
+        run_like_stream(spark, f"{SF}/events*.parquet", path, scratch_path(spark, "likes-bk-ckpt"), table="likes_bucketed")
+        got = {tuple(r) for r in spark.table("likes_bucketed").collect()}
+        want = {(r.author_id, "liked", r.paper_id) for r in t.like_events.select("author_id", "paper_id").distinct().collect()}
+        assert got == want
+    finally:
+        spark.sql("DROP TABLE IF EXISTS likes_bucketed")
