@@ -65,9 +65,12 @@ def profile_coverage(interactions: DataFrame, embeddings: DataFrame) -> DataFram
     )
 
 
-def author_known_papers(interactions: DataFrame, author_id) -> DataFrame:
+def author_known_papers(interactions: DataFrame, author_id, authors: DataFrame | None = None) -> DataFrame:
     """The profile map of one author in long form: distinct (author_id, kind, paper_id), NULL ids
-    dropped. A kind with millions of papers stays millions of rows; nothing is collected."""
+    dropped. A kind with millions of papers stays millions of rows; nothing is collected.
+    With ``authors``, an unknown author raises ValueError (an existing author may know nothing)."""
+    if authors is not None:
+        require_author(authors, author_id)
     return (
         interactions.where((F.col("author_id") == F.lit(author_id)) & F.col("paper_id").isNotNull())
         .select("author_id", "kind", "paper_id")

@@ -115,7 +115,8 @@ def q_author_profile_coverage(spark, d):
     O.with_(O.INTER) + f"SELECT DISTINCT author_id, kind, paper_id FROM inter WHERE author_id = {A}",
 )
 def q_author_known_papers(spark, d):
-    return PR.author_known_papers(TestTables(spark, d).interactions, A)
+    t = TestTables(spark, d)
+    return PR.author_known_papers(t.interactions, A, t.authors)
 
 
 @register(

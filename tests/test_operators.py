@@ -282,3 +282,11 @@ def test_papers_by_id_set_edges(spark):
 def test_name_search_backslash_is_literal(spark):
     authors = spark.createDataFrame([("1", "a\\b"), ("2", "ab")], "author_id string, name string")
     assert {r.author_id for r in PR.search_by_name(authors, "a\\b").collect()} == {"1"}
+
+
+def test_known_papers_unknown_author_raises(spark):
+    authors = spark.createDataFrame([("1", "Ann"), ("2", "Bo")], "author_id string, name string")
+    inter = spark.createDataFrame([("1", "write", "p")], "author_id string, kind string, paper_id string")
+    assert PR.author_known_papers(inter, "2", authors).count() == 0  # exists, knows nothing
+    with pytest.raises(ValueError):
+        PR.author_known_papers(inter, "3", authors)
