@@ -270,7 +270,7 @@ SHAPES = {
     "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,30}$",
     "card": r"^(?:[0-9][ -]?){12,18}[0-9]$",
     "phone": r"^(?:\+|\([0-9]{3}\)|[0-9]{3}[.-][0-9]{3}[.-])",
-    "secret": r"^[A-Za-z0-9+/_-]{6,64}$",
+    "secret": r"^(?![A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}$)(?=.*[A-Za-z])[A-Za-z0-9+/_-]{6,64}$",
 }
 
 
