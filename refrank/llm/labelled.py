@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED = 40_000  # labelled rows that a classifier is fitted on, at most about so many
+MAX_LABELLED = 20_000  # labelled rows that a classifier is fitted on, at most about so many
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

@@ -23,7 +23,7 @@ from refrank.llm.labelled import MAX_LABELLED, held_out, labelled, teachers
 from refrank.llm.rules import WORD, repeated_words
 
 MODULUS, REMAINDER, ACCEPT = 4, 2, 0.7
-TREES, DEPTH, LASSO = 20, 4, 0.0015
+TREES, DEPTH, LASSO = 12, 3, 0.0015
 SEED = 7
 PUNCTUATION = re.compile(r"[.,;:?!]")
 FEATURES = [
@@ -134,7 +134,7 @@ def fit_rules(rows: DataFrame) -> tuple[dict[Rule, float], float]:
     design = rows.select(
         "label", array_to_vector(F.array(*[holds(r).cast("double") for r in rules])).alias("x")
     )
-    lasso = LogisticRegression(labelCol="label", featuresCol="x", elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=80)
+    lasso = LogisticRegression(labelCol="label", featuresCol="x", elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=50)
     fitted = lasso.fit(design)
     kept = {r: float(w) for r, w in zip(rules, fitted.coefficients.toArray(), strict=True) if abs(w) > 1e-9}
     return kept, float(fitted.intercept)

@@ -29,7 +29,7 @@ LEXICON_SIZE = 4000
 MIN_SUPPORT = 5  # toxic documents that hold an entry
 MIN_ODDS = 2.0  # logarithm of the smoothed odds ratio
 NEAR = 5  # words
-ROUNDS, DEPTH, STEP, SEED = 25, 4, 0.25, 11
+ROUNDS, DEPTH, STEP, SEED = 20, 4, 0.25, 11
 
 # Second-person words of the four languages, and signs that stand for letters.
 SECOND_PERSON = frozenset(
