@@ -123,8 +123,8 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, prefix_bits: int =
     """(a, b): pairs of ``distinct`` (fp bigint) whose connected components are those of the links at
     ``max_bits`` or fewer differing bits. ``max_bits`` is even: a ball has half of it as radius."""
     radius, free = max_bits // 2, 64 - prefix_bits
-    if max_bits % 2:
-        raise ValueError("max_bits must be even")
+    if max_bits % 2 or not 1 <= prefix_bits <= 31:
+        raise ValueError("max_bits must be even, prefix_bits from 1 to 31")
     prefixes = [int(m) for m in flip_masks(prefix_bits, radius)]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

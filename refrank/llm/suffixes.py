@@ -135,7 +135,7 @@ def _pack(*columns: np.ndarray) -> bytes:
     """Columns as one compressed blob; wide numbers are stored byte plane by byte plane."""
     out = [np.array([len(columns)], "<i8").tobytes()]
     for c in columns:
-        planes = np.ascontiguousarray(c.reshape(-1, 1).view(np.uint8).reshape(len(c), -1).T) if c.ndim == 1 and c.itemsize > 1 else c
+        planes = np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T
         out += [np.array([c.nbytes], "<i8").tobytes(), c.dtype.str.encode().ljust(8), np.ascontiguousarray(planes).tobytes()]
     return zstandard.compress(b"".join(out), 1)
 
@@ -145,10 +145,8 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
     for _ in range(n):
         size, kind = int.from_bytes(raw[at : at + 8], "little"), np.dtype(bytes(raw[at + 8 : at + 16]).strip().decode())
-        body = np.frombuffer(raw[at + 16 : at + 16 + size], np.uint8)
-        if kind.itemsize > 1 and size:
-            body = np.ascontiguousarray(body.reshape(kind.itemsize, -1).T).view(kind).ravel()
-        out.append(body.view(kind) if kind.itemsize == 1 else body.astype(kind, copy=False) if size else np.empty(0, kind))
+        planes = np.frombuffer(raw[at + 16 : at + 16 + size], np.uint8).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += 16 + size
     return out
 
