@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refrank.operators.papers import first_seen
+from refrank.operators.profiles import require_author
 from refrank.schemas import KIND_LIKED, KIND_WRITE
 
 EDGE_COLUMNS = ("author_id", "kind", "paper_id")
@@ -61,7 +62,8 @@ def sign_up(
 def like_papers(
     authors: DataFrame, interactions: DataFrame, author_id, liked_ids: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Add the chosen paper ids to the author's ``liked`` set."""
+    """Add the chosen paper ids to the author's ``liked`` set; ValueError for an unknown author."""
+    require_author(authors, author_id)
     edges = liked_ids.select(
         F.lit(author_id).cast(interactions.schema["author_id"].dataType).alias("author_id"),
         F.lit(KIND_LIKED).alias("kind"),
@@ -72,7 +74,8 @@ def like_papers(
 
 def clear_liked(interactions: DataFrame, author_id) -> DataFrame:
     """Liked := ∅ for one author; an unknown author is a silent no-op."""
-    return interactions.where(~((F.col("author_id") == F.lit(author_id)) & (F.col("kind") == KIND_LIKED)))
+    theirs = F.col("author_id").eqNullSafe(F.lit(author_id)) & F.col("kind").eqNullSafe(F.lit(KIND_LIKED))
+    return interactions.where(~theirs)
 
 
 def delete_profiles(authors: DataFrame, interactions: DataFrame, ids: DataFrame | Sequence) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +90,7 @@ def delete_profiles(authors: DataFrame, interactions: DataFrame, ids: DataFrame
     return authors.where(keep), interactions.where(keep)
 
 
-# Fixed value: size of the id space new sign-ups draw from (ids "0".."9999").
+# Fixed value: least size of the id space new sign-ups draw from (ids "0".."9999").
 ID_SPACE = 10000
 
 
@@ -100,5 +103,9 @@ def free_ids(authors: DataFrame, id_space: int = ID_SPACE) -> DataFrame:
 
 
 def allocate_ids(authors: DataFrame, n: int, seed: int = 0, id_space: int = ID_SPACE) -> DataFrame:
-    """N distinct unused ids at random, for n sign-ups at once (no retry loop)."""
-    return free_ids(authors, id_space).orderBy(F.rand(seed)).limit(n)
+    """N distinct unused ids at random, for n sign-ups at once (no retry loop).
+
+    The id space grows with the authors, so n free ids are always there: ids outside it are taken by at
+    most as many authors as it has room for besides the n."""
+    space = max(id_space, 2 * (authors.count() + n))
+    return free_ids(authors, space).orderBy(F.rand(seed), "author_id").limit(n)

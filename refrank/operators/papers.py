@@ -27,8 +27,10 @@ def first_seen(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) ->
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Rows already stored win; among new rows the first seen wins; result = stored ∪ new keys.
 
-    Returns only the rows to append (write them with ``mode('append')``)."""
-    fresh = first_seen(incoming, key, order)
+    Returns only the rows to append (write them with ``mode('append')``). A NULL key fails the job: it
+    can neither be looked up nor matched when the batch comes again."""
+    named = F.assert_true(F.col(key).isNotNull(), F.lit(f"NULL {key} in incoming rows"))
+    fresh = first_seen(incoming.where(named.isNull()), key, order)
     # Stored keys that the batch touches (semi-join on the batch's keys), then the anti-join.
     taken = existing.select(key).join(fresh.select(key), key, "left_semi")
     return fresh.join(taken, key, "left_anti")

@@ -433,6 +433,24 @@ def q_free_ids(spark, d):
     return M.free_ids(TestTables(spark, d).authors)
 
 
+@register(
+    "allocated_ids",
+    """SELECT count(DISTINCT user_id) AS n_ids, count(DISTINCT user_id) AS n_distinct, CAST(0 AS BIGINT) AS n_taken
+FROM events""",
+)
+def q_allocated_ids(spark, d):
+    """D8 for as many sign-ups as the events have users: how many ids, how many distinct, how many taken."""
+    t = TestTables(spark, d)
+    n = t.raw("events").agg(F.countDistinct("user_id").alias("n")).first().n
+    ids = M.allocate_ids(t.authors, n)
+    taken = t.authors.select("author_id", F.lit(1).alias("taken"))
+    return ids.join(taken, "author_id", "left").agg(
+        F.count("author_id").alias("n_ids"),
+        F.countDistinct("author_id").alias("n_distinct"),
+        F.count("taken").alias("n_taken"),
+    )
+
+
 # ---------------------------------------------------------------- R3, R1, R2
 from refrank.plans import batch as B  # noqa: E402
 
@@ -505,6 +523,33 @@ def q_batch_recommend_weighted(spark, d):
     return round_doubles(B.batch_recommend_weighted(*_pei(spark, d)))
 
 
+# The plans of large corpora on these tables: paper blocks small enough for several of them.
+SMALL_BLOCK = 128
+
+
+@register("batch_recommend_cosine_blocks", ORACLE["batch_recommend_cosine"])
+def q_batch_recommend_cosine_blocks(spark, d):
+    out = B.batch_recommend_cosine(*_pei(spark, d), paper_block=SMALL_BLOCK)
+    return round_doubles(out.withColumn("rn", F.col("rn").cast("bigint")))
+
+
+@register("batch_recommend_weighted_rounds", ORACLE["batch_recommend_weighted"])
+def q_batch_recommend_weighted_rounds(spark, d):
+    return round_doubles(B.batch_recommend_weighted(*_pei(spark, d), single_block_max=0, paper_block=SMALL_BLOCK))
+
+
+@register("batch_recommend_cosine_string_ids", ORACLE["batch_recommend_cosine"])
+def q_batch_recommend_cosine_string_ids(spark, d):
+    """R1 with the declared id type; zero-padded, so ids of equal similarity keep their order."""
+    text = lambda df, *ids: df.withColumns({c: F.lpad(F.col(c).cast("string"), 19, "0") for c in ids})
+    papers, embeddings, interactions = _pei(spark, d)
+    out = B.batch_recommend_cosine(
+        text(papers, "paper_id"), text(embeddings, "paper_id"), text(interactions, "author_id", "paper_id"),
+        paper_block=SMALL_BLOCK,
+    )
+    return round_doubles(out.withColumns({c: F.col(c).cast("bigint") for c in ("author_id", "paper_id", "rn")}))
+
+
 # ---------------------------------------------------------------- S1 roundtrip, R4-R7 (streaming, incremental)
 from refrank.sources import json_papers as J  # noqa: E402
 from refrank.sources.store import append, create_table, scratch_path  # noqa: E402
@@ -573,6 +618,17 @@ def q_stream_likes(spark, d):
     return spark.read.schema(EDGES_LONG).parquet(store)
 
 
+@register("stream_likes_out_of_order", O.with_(LIKES_SQL) + "SELECT author_id, kind, paper_id FROM likes")
+def q_stream_likes_out_of_order(spark, d):
+    """R4 over several micro-batches whose files arrive newest first: every late like is stored."""
+    landing, store = scratch_path(spark, "late-events"), scratch_path(spark, "late-likes")
+    events = TestTables(spark, d).raw("events")
+    events.repartitionByRange(4, F.col("ts").desc()).sortWithinPartitions(F.col("ts").desc()).write.parquet(landing)
+    create_table(spark, store, EDGES_LONG)
+    run_like_stream(spark, landing, store, scratch_path(spark, "late-stream"), max_files=1)
+    return spark.read.schema(EDGES_LONG).parquet(store)
+
+
 RAW_SCHEMA = T.StructType(
     [
         T.StructField("paper_id", T.LongType()),

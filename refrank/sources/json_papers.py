@@ -1,5 +1,6 @@
 """Paper sources: landed JSON search pages (S1, S3), bulk JSON-lines releases (S2), nested vector
-responses (S4). Always an explicit schema, resolved by field name.
+responses (S4). Always an explicit schema, resolved by field name. Malformed input fails the read: it
+never becomes missing or all-NULL papers.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from refrank.schemas import PAPER_JSON
 
+FAIL = {"mode": "FAILFAST"}
 # Fixed value: landed page names are "<query>-<from>-<to>.json".
 PAGE_NAME = r"^(.*)-(\d+)-(\d+)\.json$"
 
@@ -23,7 +25,7 @@ def read_paper_pages(spark: SparkSession, path: str, schema: T.StructType = PAPE
     raw = spark.read.text(path, wholetext=True).select(
         F.url_decode(F.col("_metadata.file_path")).alias("file"),
         F.url_decode(F.col("_metadata.file_name")).alias("_name"),
-        F.from_json("value", T.ArrayType(schema)).alias("recs"),
+        F.from_json("value", T.ArrayType(schema), FAIL).alias("recs"),
     )
     return raw.select(
         "file",
@@ -37,7 +39,7 @@ def read_paper_pages(spark: SparkSession, path: str, schema: T.StructType = PAPE
 def read_release(spark: SparkSession, path: str, schema: T.StructType = PAPER_JSON, partitions: int | None = None) -> DataFrame:
     """Bulk release, JSON lines (optionally gzip). A gzip file is one split, so the rows are
     spread with a round-robin repartition before any wide work."""
-    df = spark.read.schema(schema).json(path)
+    df = spark.read.schema(schema).options(**FAIL).json(path)
     return df.repartition(partitions) if partitions else df
 
 
@@ -54,7 +56,7 @@ VECTOR_RESPONSE = T.StructType(
 
 def read_vector_responses(spark: SparkSession, path: str) -> DataFrame:
     """(paper_id, embedding) from landed per-paper responses holding ``embedding.vector``."""
-    df = spark.read.schema(VECTOR_RESPONSE).json(path)
+    df = spark.read.schema(VECTOR_RESPONSE).options(**FAIL).json(path)
     return df.select(F.col("paperId").alias("paper_id"), F.col("embedding").getField("vector").alias("embedding"))
 
 

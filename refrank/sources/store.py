@@ -43,7 +43,7 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
-    def _versions(self) -> list[int]:
+    def _versions(self, complete: bool = True) -> list[int]:
         fs, p = _fs(self.spark, self.root)
         if not fs.exists(p):
             return []
@@ -52,7 +52,7 @@ class VersionedTable:
             name = st.getPath().getName()
             if name.startswith("v") and name[1:].isdigit():
                 ok = fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-                if ok:
+                if ok or not complete:
                     out.append(int(name[1:]))
         return sorted(out)
 
@@ -63,7 +63,8 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{versions[-1]:06d}")
 
     def commit(self, df: DataFrame) -> DataFrame:
-        versions = self._versions()
+        # A failed write leaves a folder without a marker: its number is never used again.
+        versions = self._versions(complete=False)
         nxt = (versions[-1] + 1) if versions else 1
         path = f"{self.root}/v{nxt:06d}"
         df.select(*[f.name for f in self.schema.fields]).write.mode("errorifexists").parquet(path)

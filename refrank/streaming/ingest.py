@@ -1,6 +1,6 @@
 """Papers landing as files are ingested continuously with insert-or-ignore semantics.
 
-File stream (JSON, fixed schema) → ``foreachBatch``: first-seen dedup inside the batch (A1), drop
+File stream (JSON, fixed schema, a malformed line fails the batch) → ``foreachBatch``: first-seen dedup inside the batch (A1), drop
 keys already stored (S5), append. Stored rows always win over later arrivals.
 """
 
@@ -16,7 +16,7 @@ from refrank.sources.store import append
 
 
 def paper_stream(spark: SparkSession, landing: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(landing)

@@ -1,8 +1,8 @@
 """A stream of like events becomes ``liked`` edges in the profile store.
 
-readStream (file source) → watermark on event time → ``dropDuplicatesWithinWatermark`` (state is
-bounded by the watermark) → ``foreachBatch`` idempotent merge: only edges not yet stored are
-appended, so a replayed micro-batch or a duplicate arriving after the watermark changes nothing.
+readStream (file source) → ``foreachBatch`` idempotent merge: only edges not yet stored are appended,
+so a replayed micro-batch or a repeated like changes nothing. The store itself is the state: no
+watermark drops a like that arrives late, however old its event is.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from refrank.sources.store import append
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def like_stream(spark: SparkSession, source: str, watermark: str = "1 hour", max_files: int | None = None) -> DataFrame:
+def like_stream(spark: SparkSession, source: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -27,11 +27,8 @@ def like_stream(spark: SparkSession, source: str, watermark: str = "1 hour", max
         .select(
             F.col("user_id").alias("author_id"),
             F.get_json_object("props", "$.k").cast("long").alias("paper_id"),
-            F.col("ts").cast("timestamp").alias("event_time"),
         )
         .where(F.col("paper_id").isNotNull())
-        .withWatermark("event_time", watermark)
-        .dropDuplicatesWithinWatermark(["author_id", "paper_id"])
     )
 
 
