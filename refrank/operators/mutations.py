@@ -105,7 +105,7 @@ def free_ids(authors: DataFrame, id_space: int = ID_SPACE) -> DataFrame:
 def allocate_ids(authors: DataFrame, n: int, seed: int = 0, id_space: int = ID_SPACE) -> DataFrame:
     """N distinct unused ids at random, for n sign-ups at once (no retry loop).
 
-    The id space grows with the authors, so n free ids are always there: ids outside it are taken by at
-    most as many authors as it has room for besides the n."""
-    space = max(id_space, 2 * (authors.count() + n))
+    The id space grows when authors fill it: authors hold at most as many ids as there are of them, so a
+    space of that size and n more has n free ones."""
+    space = max(id_space, authors.count() + n)
     return free_ids(authors, space).orderBy(F.rand(seed), "author_id").limit(n)
