@@ -1,5 +1,5 @@
 """Registered queries of the corpus operators: each applies its operator, with production parameters, to
-its whole table. ``ORACLE`` holds DuckDB SQL where SQL expresses the result."""
+its whole table. ``ORACLE`` (from ``oracle``) holds DuckDB SQL where SQL expresses the result."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from refrank.llm import bpe, decontaminate, lines, pii, quality, rules, simhash, suffixes, toxicity, viterbi
 from refrank.llm.base import read
+from refrank.llm.oracle import ORACLE as ORACLE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -27,7 +29,8 @@ def op2_pii(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines.dedup_lines(read(spark, d, "documents"))
+    # spans as JSON text, which compares alike across engines
+    return lines.dedup_lines(read(spark, d, "documents")).withColumn("removed", F.to_json("removed"))
 
 
 def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
@@ -67,5 +70,3 @@ QUERIES: dict[str, Query] = {
         op9_token_counts, op10_toxicity,
     )
 }
-
-ORACLE: dict[str, str] = {}
