@@ -535,7 +535,7 @@ def q_batch_recommend_cosine_blocks(spark, d):
 
 @register("batch_recommend_weighted_rounds", ORACLE["batch_recommend_weighted"])
 def q_batch_recommend_weighted_rounds(spark, d):
-    return round_doubles(B.batch_recommend_weighted(*_pei(spark, d), single_block_max=0, paper_block=SMALL_BLOCK))
+    return round_doubles(B.batch_recommend_weighted(*_pei(spark, d), paper_block=SMALL_BLOCK))
 
 
 @register("batch_recommend_cosine_string_ids", ORACLE["batch_recommend_cosine"])

@@ -96,5 +96,5 @@ def test_string_ids_with_empty_blocks(spark, block):
     extra = {"paper_block": block} if block else {}
     assert B.batch_recommend_cosine(papers, vectors, edges, 5, **extra).count() == 20
     one = {(r.author_id, r.paper_id) for r in B.batch_recommend_weighted(papers, vectors, edges, k=5).collect()}
-    many = B.batch_recommend_weighted(papers, vectors, edges, k=5, single_block_max=0, paper_block=block or 4096)
+    many = B.batch_recommend_weighted(papers, vectors, edges, k=5, paper_block=block or 4096)
     assert {(r.author_id, r.paper_id) for r in many.collect()} == one and len(one) == 20

@@ -84,14 +84,11 @@ def test_batch_cosine_matches_single_author(spark, tables):
         ]
 
 
-@pytest.mark.parametrize("single_block_max", [0, 1 << 30])
-def test_batch_weighted_matches_single_author(spark, tables, single_block_max):
-    # 0 forces the certified top-M rounds (starting shallow, so re-runs happen); the large value
-    # takes the single-block kernel.
+@pytest.mark.parametrize("paper_block", [64, 1 << 30])
+def test_batch_weighted_matches_single_author(spark, tables, paper_block):
+    # Several paper blocks, and all papers in one.
     t = tables
-    batch = B.batch_recommend_weighted(
-        t.papers, t.paper_embeddings, t.interactions, first_depth=12, single_block_max=single_block_max
-    )
+    batch = B.batch_recommend_weighted(t.papers, t.paper_embeddings, t.interactions, paper_block=paper_block)
     for author in (3, 7, 42):
         one = recommend.recommend_weighted(t.papers, t.paper_embeddings, t.interactions, author)
         want = [(r.paper_id, r.cos_rank, r.ref_rank, r.year_rank) for r in one.collect()]
@@ -159,7 +156,7 @@ def test_batch_weighted_negative_weight_stays_exact(spark, tables):
     t = tables
     w = (0.6, -0.1, 0.1, 0.1, 0.1)
     batch = B.batch_recommend_weighted(
-        t.papers, t.paper_embeddings, t.interactions, weights=w, first_depth=12, single_block_max=0
+        t.papers, t.paper_embeddings, t.interactions, weights=w, paper_block=64
     )
     for author in (7, 42):
         one = recommend.recommend_weighted(t.papers, t.paper_embeddings, t.interactions, author, weights=w)

@@ -83,13 +83,13 @@ def test_hot_author_vectors_cosine_and_weighted(spark, fixture):
     for r in sorted(top, key=lambda r: (r.author_id, r.rn)):
         got_cos.setdefault(r.author_id, []).append(r.paper_id)
     assert got_cos == {a: w[1] for a, w in want.items()}
-    # Weighted model on the certified path (no single block), starting shallow.
-    res = B.batch_recommend_weighted(pdf, edf, idf, k=K, first_depth=6, single_block_max=0).collect()
+    # Weighted model over several paper blocks.
+    res = B.batch_recommend_weighted(pdf, edf, idf, k=K, paper_block=64).collect()
     got_w = {}
     for r in sorted(res, key=lambda r: (r.author_id, r.rank, r.paper_id)):
         got_w.setdefault(r.author_id, []).append(r.paper_id)
     assert got_w == {a: w[2] for a, w in want.items()}
-    # And on the single-block kernel.
+    # And in one block.
     res = B.batch_recommend_weighted(pdf, edf, idf, k=K).collect()
     got_w = {}
     for r in sorted(res, key=lambda r: (r.author_id, r.rank, r.paper_id)):
