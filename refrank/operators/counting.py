@@ -228,9 +228,9 @@ def weighted_top_k(
         vectors.withColumn("paper_id", F.lit(None).cast(id_types[1].dataType)), _count(columns, width),
         [id_types[0], T.StructField("code", T.IntegerType()), *long("n")],
     )
-    # at most (1 + ranks) * BINS entries per author
+    # One shuffle by author serves both sums and the join; at most (1 + ranks) * BINS entries per author.
     held = (
-        counted.groupBy("author_id", "code").agg(F.sum("n").alias("n"))
+        counted.repartition("author_id").groupBy("author_id", "code").agg(F.sum("n").alias("n"))
         .groupBy("author_id").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
     )
     maybe = cells(
