@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refrank.session import cut_lineage
 
@@ -115,16 +116,20 @@ def global_row_numbers(
     [desc nulls last | asc nulls first], key)``. The rankings are stacked into one long table
     (rank index, signed value, key) and numbered by one segmented row number — one range shuffle
     and one checkpoint instead of one per ranking — then pivoted back to one row per key.
-    Values are compared as doubles (exact for integers below 2^53).
+    Values are compared as doubles, then integers of one double exactly.
     """
     stacked = None
     for i, (name, col, desc) in enumerate(ranks):
         v = F.col(col).cast("double")
+        whole = isinstance(df.schema[col].dataType, T.IntegralType)
+        exact = F.col(col).cast("bigint") if whole else F.lit(0).cast("bigint")
         part = df.select(
             F.col(key),
             F.lit(i).alias("_gr_i"),
             # desc nulls last == (-v) asc nulls last; asc nulls first keeps v with nulls first.
             (-v if desc else v).alias("_gr_v"),
+            # ~x = -x - 1 turns the order round without overflow
+            (F.bitwise_not(exact) if desc else exact).alias("_gr_x"),
             F.lit(not desc).alias("_gr_nulls_first"),
         )
         stacked = part if stacked is None else stacked.unionByName(part)
@@ -135,7 +140,7 @@ def global_row_numbers(
     numbered = segmented_row_number(
         stacked.withColumn("_gr_np", null_pos),
         ["_gr_i"],
-        [F.col("_gr_np").asc(), F.col("_gr_v").asc(), F.col(key).asc()],
+        [F.col("_gr_np").asc(), F.col("_gr_v").asc(), F.col("_gr_x").asc(), F.col(key).asc()],
         "_gr_rn",
     )
     wide = numbered.groupBy(key).pivot("_gr_i", list(range(len(ranks)))).agg(F.first("_gr_rn"))
