@@ -36,16 +36,11 @@ def bucket_counts(df: DataFrame, keys: list[str], text: str, dim: int = DEFAULT_
 
 
 def long_text_counts(df: DataFrame, key: str, text: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
-    """F8 (sparse, un-normalised): per id and bucket, counts summed over all of its segments.
+    """F8 (sparse, un-normalised): per id and bucket, counts over all of its segments, in one shuffle.
 
     Summing segment vectors and then dividing by a constant is linear, so the pooled vector is
     these sums / ``dim`` (or / number of segments under ``pooling='mean'``)."""
-    seg = text_segments(df, key, text)
-    return (
-        bucket_counts(seg, [key, "seg_idx"], "segment", dim)
-        .groupBy(key, "bucket")
-        .agg(F.sum("cnt").alias("cnt"))
-    )
+    return bucket_counts(text_segments(df, key, text), [key], "segment", dim)
 
 
 def pooled_long(df: DataFrame, key: str, text: str = "text", dim: int = DEFAULT_DIM, pooling: str = "width") -> DataFrame:
@@ -81,30 +76,38 @@ def embed_texts(df: DataFrame, key: str, text: str = "text", dim: int = DEFAULT_
     return densify(pooled_long(df, key, text, dim, pooling), key, "value", dim)
 
 
-def sparse_cosine_top_k(
-    doc_counts: DataFrame, query_counts: DataFrame, key: str, k: int
-) -> DataFrame:
-    """C1 scoring on sparse integer counts: cosine is scale-free, so integer sums give the same
-    value as the pooled vectors — and bit-identical results in any engine.
+def sparse_rows(df: DataFrame, key: str, text: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
+    """(key, counts map<bucket, count>, dd): one row per text with a token, ``dd`` its squared norm.
 
-    ``query_counts`` has at most ``dim`` rows (one per bucket): a proven-small broadcast side."""
-    q = F.broadcast(query_counts.select("bucket", F.col("cnt").alias("qcnt")))
-    qq = query_counts.agg(F.sum(F.col("cnt") * F.col("cnt"))).scalar()
-    # One pass: a left join to the <= dim query buckets gives both the norm and the dot product.
-    sums = (
-        doc_counts.join(q, "bucket", "left")
-        .groupBy(key)
-        .agg(
-            F.sum(F.col("cnt") * F.col("cnt")).alias("dd"),
-            F.sum(F.col("cnt") * F.coalesce(F.col("qcnt"), F.lit(0))).alias("dot"),
-        )
+    The texts are dealt out by key once; both groupings then find their rows in place. A map holds at
+    most ``dim`` entries."""
+    buckets = (
+        df.select(key, text)
+        .repartition(key)
+        .select(key, F.explode(segments(text)).alias("segment"))
+        .select(key, F.explode(F.split("segment", TOKEN_SPLIT)).alias("tok"))
+        .where(F.length("tok") > 0)
+        .select(key, token_bucket(F.lower("tok"), dim).alias("bucket"))
     )
-    scored = sums.select(
-        key,
-        F.when((F.col("dd") == 0) | F.coalesce(qq == 0, F.lit(True)), F.lit(0.0))
-        .otherwise(F.col("dot") / (F.sqrt("dd") * F.sqrt(qq)))
-        .alias("similarity"),
+    counts = buckets.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("counts"),
+        F.sum(F.col("cnt") * F.col("cnt")).alias("dd"),
     )
+
+
+def sparse_cosine_top_k(rows: DataFrame, query: dict[int, int], key: str, k: int) -> DataFrame:
+    """C1 scoring on sparse integer counts: cosine is scale-free, so integer sums give the same
+    value as the pooled vectors — and bit-identical results in any engine.
+
+    A scan of the rows and a top-k: the query's buckets (at most ``dim``, few for a keyword) are
+    literals, so no row is joined or shuffled."""
+    qq = sum(n * n for n in query.values())
+    dot = F.lit(0).cast("bigint")
+    for bucket, n in sorted(query.items()):
+        dot = dot + F.coalesce(F.col("counts")[bucket], F.lit(0)) * n
+    similarity = dot / (F.sqrt("dd") * F.sqrt(F.lit(qq))) if qq else F.lit(0.0)
+    scored = rows.select(key, similarity.alias("similarity"))
     return scored.orderBy(F.col("similarity").desc(), F.col(key).asc()).limit(k)
 
 

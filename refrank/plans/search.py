@@ -1,31 +1,38 @@
 """Keyword search — embed the keyword the same way as the corpus, rank every text by cosine.
 
-The corpus side is an *index*: the sparse (id, bucket, count) table the embedding job builds once
-(``text_index``) and the caller stores; a search then only scans it (``search_index``). Nothing
+The corpus side is an *index*: one sparse row per text with its norm, which the embedding job builds
+once (``text_index``) and the caller stores; a search then only scans it (``search_index``). Nothing
 is excluded from a search.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame
 
-from refrank.functions.text import DEFAULT_DIM
+from refrank.functions.text import DEFAULT_DIM, TOKEN_SPLIT
 from refrank.operators import embedding as E
 from refrank.operators.embedding import HashEmbedder
 from refrank.plans import recommend
 
 
+def keyword_buckets(keyword: str, dim: int = DEFAULT_DIM) -> dict[int, int]:
+    """Bucket -> token count of a keyword, as ``functions.text.token_bucket`` numbers them."""
+    tokens = [t.lower() for t in re.split(TOKEN_SPLIT, keyword) if t]
+    return dict(Counter(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in tokens))
+
+
 def text_index(corpus: DataFrame, key: str, text: str, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Sparse corpus index: per id and bucket, token counts summed over the text's segments."""
-    return E.long_text_counts(corpus, key, text, dim)
+    """Sparse corpus index: per id, token counts per bucket summed over the text's segments."""
+    return E.sparse_rows(corpus, key, text, dim)
 
 
 def search_index(index: DataFrame, key: str, keyword: str, k: int = 10, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Top-k ids of a sparse index by cosine to ``keyword`` (short text: one segment, no pooling;
-    the keyword side has at most ``dim`` rows)."""
-    spark = index.sparkSession
-    q = E.bucket_counts(spark.createDataFrame([(keyword,)], "q string"), [], "q", dim)
-    return E.sparse_cosine_top_k(index, q, key, k)
+    """Top-k ids of a sparse index by cosine to ``keyword`` (short text: one segment, no pooling)."""
+    return E.sparse_cosine_top_k(index, keyword_buckets(keyword, dim), key, k)
 
 
 def keyword_search(corpus: DataFrame, key: str, text: str, keyword: str, k: int = 10, dim: int = DEFAULT_DIM) -> DataFrame:
