@@ -29,13 +29,6 @@ def segments(text: Column | str, width: int = SEGMENT_WIDTH, step: int = SEGMENT
     )
 
 
-def tokens(text: Column | str) -> Column:
-    """Array of lower-cased ASCII alphanumeric tokens (empty pieces removed)."""
-    return F.filter(
-        F.transform(F.split(_c(text), TOKEN_SPLIT), lambda s: F.lower(s)), lambda s: F.length(s) > 0
-    )
-
-
 def token_bucket(token: Column | str, dim: int = DEFAULT_DIM) -> Column:
     """Bucket of a token: first 32 bits of its MD5, modulo ``dim`` (reproducible in any SQL engine)."""
     return (F.conv(F.substring(F.md5(_c(token)), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")

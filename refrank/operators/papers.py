@@ -78,5 +78,13 @@ def content_text(title: Column | str = "title", abstract: Column | str = "abstra
 
 def page(papers: DataFrame, offset: int, n: int, key: str = "paper_id") -> DataFrame:
     """T4: one bounded page of the table in key order (``ORDER BY key LIMIT n OFFSET offset``).
-    Optional: nothing in the library pages by default."""
+    Optional: nothing in the library pages by default. One task merges offset + n rows: to walk through
+    a large table use :func:`page_after`."""
     return papers.orderBy(key).offset(offset).limit(n)
+
+
+def page_after(papers: DataFrame, last, n: int, key: str = "paper_id") -> DataFrame:
+    """T4 by key: the ``n`` rows after key ``last`` (None: the first page). The bound reaches the scan,
+    and no page costs more than ``n`` rows a task."""
+    rest = papers if last is None else papers.where(F.col(key) > F.lit(last))
+    return rest.orderBy(key).limit(n)

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrank.schemas import KINDS, PROFILE_KINDS
+from refrank.schemas import PROFILE_KINDS
 
 
 def known_papers(interactions: DataFrame, author_id=None) -> DataFrame:
@@ -65,6 +65,12 @@ def profile_coverage(interactions: DataFrame, embeddings: DataFrame) -> DataFram
     )
 
 
+def missing_embeddings(interactions: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(author_id, paper_id) of the distinct profile papers that have no embedding."""
+    stored = embeddings.where(F.col("embedding").isNotNull()).select("paper_id")
+    return profile_edges(interactions).join(stored, "paper_id", "left_anti").select("author_id", "paper_id")
+
+
 def author_known_papers(interactions: DataFrame, author_id, authors: DataFrame | None = None) -> DataFrame:
     """The profile map of one author in long form: distinct (author_id, kind, paper_id), NULL ids
     dropped. A kind with millions of papers stays millions of rows; nothing is collected.
@@ -95,12 +101,6 @@ def search_by_name(authors: DataFrame, text: str, literal: bool = False) -> Data
     return authors.where(F.col("name").ilike(pattern))
 
 
-def check_kind(kind: str) -> str:
-    if kind not in KINDS:
-        raise ValueError(f"unknown kind {kind!r}; allowed: {KINDS}")
-    return kind
-
-
 def profiles_from_papers(nested: DataFrame, order: tuple[str, ...] = ("paper_id",)) -> tuple[DataFrame, DataFrame]:
     """A2: derive profiles from nested papers.
 

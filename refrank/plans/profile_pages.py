@@ -10,15 +10,13 @@ from refrank.plans import recommend
 
 
 def author_page(authors: DataFrame, interactions: DataFrame, papers: DataFrame, author_id) -> DataFrame:
-    """The author row (error when absent) and its known papers hydrated per kind (J5). An author
-    without known papers is one row with NULL paper columns."""
-    me = require_author(authors, author_id)
+    """The author row (error when absent) and its known papers hydrated per kind (J5), with every
+    column of ``papers``. An author without known papers is one row with NULL paper columns."""
+    me = require_author(authors, author_id).select("author_id", "name")
     mine = interactions.where(F.col("author_id") == F.lit(author_id)).select("author_id", "kind", "paper_id")
-    known = mine.join(papers.select("paper_id", "title", "year", "citation_count"), "paper_id")
-    return (
-        me.join(known, "author_id", "left")
-        .select("author_id", "name", "kind", "paper_id", "title", "year", "citation_count")
-    )
+    known = mine.join(papers.drop("author_id", "name", "kind"), "paper_id")
+    rest = [c for c in known.columns if c not in ("author_id", "kind")]
+    return me.join(known, "author_id", "left").select("author_id", "name", "kind", *rest)
 
 
 def find_and_recommend(

@@ -122,7 +122,7 @@ def q_author_known_papers(spark, d):
 @register(
     "author_page",
     O.with_(O.PAPERS, O.AUTHORS, O.INTER)
-    + f"""SELECT a.author_id, a.name, i.kind, p.paper_id, p.title, p.year, p.citation_count
+    + f"""SELECT a.author_id, a.name, i.kind, p.*
 FROM authors a JOIN inter i ON i.author_id = a.author_id JOIN papers p ON p.paper_id = i.paper_id
 WHERE a.author_id = {A}""",
 )

@@ -2,8 +2,8 @@
 
 Plan shape, for every query here:
   papers ⋈ embeddings (J1)  →  anti-join known papers (J2, *before* scoring)  →  similarity (F1)
-  →  ranks / top-k on narrow columns only  →  the k winners joined back to the wide paper columns
-     (broadcast of exactly k rows).
+  →  ranks / top-k on narrow columns only  →  the k winners joined back to every paper column.
+``operators.papers.display_projection`` turns nested authors and references of a result into names and ids.
 The single query vector (D numbers) is the only value that passes through the driver.
 """
 
@@ -18,7 +18,7 @@ from refrank.functions.vectors import DEFAULT_WEIGHTS, check_weights, cosine_to_
 from refrank.operators.profiles import author_vectors, known_papers
 from refrank.operators.ranking import global_row_numbers, top_k
 from refrank.session import cut_lineage
-from refrank.schemas import PAPERS_COLUMNS, RANK_FIELDS
+from refrank.schemas import RANK_FIELDS
 
 DEFAULT_K = 10
 
@@ -59,9 +59,12 @@ def scored_candidates(
 
 
 def _hydrate(top: DataFrame, papers: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Join the k winners (a proven k-row side, broadcast) back to the wide paper columns."""
-    wide = papers.select(*PAPERS_COLUMNS)
-    return wide.join(F.broadcast(top), "paper_id").orderBy(*order)
+    """Join the k winners back to every column of ``papers`` (nested authors and references too).
+
+    The limit tells the planner the size of that side, so it broadcasts a small k by itself. A paper
+    column named like a score gives way to the score."""
+    wide = papers.drop(*[c for c in top.columns if c != "paper_id"])
+    return wide.join(top, "paper_id").orderBy(*order)
 
 
 def rank_by_similarity(papers, embeddings, query, exclude=None, k: int = DEFAULT_K) -> DataFrame:
@@ -121,7 +124,7 @@ def order_by_field(papers: DataFrame, field: str, ascending: bool = False, k: in
     if field not in RANK_FIELDS:
         raise ValueError(f"cannot order by {field!r}; allowed: {RANK_FIELDS}")
     key = F.col(field).asc() if ascending else F.col(field).desc()
-    return top_k(papers.select(*PAPERS_COLUMNS), [key, F.col("paper_id").asc()], k)
+    return top_k(papers, [key, F.col("paper_id").asc()], k)
 
 
 # The four browse pages.

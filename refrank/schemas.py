@@ -7,7 +7,6 @@ KIND_WRITE = "write"
 KIND_REFERENCE = "reference"
 KIND_LIKED = "liked"
 KIND_NOT_LIKED = "not liked"
-KINDS = (KIND_WRITE, KIND_REFERENCE, KIND_LIKED, KIND_NOT_LIKED)
 # Kinds that feed the profile vector; "not liked" is excluded from results but never averaged.
 PROFILE_KINDS = (KIND_WRITE, KIND_REFERENCE, KIND_LIKED)
 
@@ -31,32 +30,7 @@ PAPER_JSON = T.StructType(
     ]
 )
 
-# Stored tables (snake_case names). Ids are strings in production and BIGINT in the test mapping;
-# every operator is written against the column names only.
-PAPERS_COLUMNS = (
-    "paper_id",
-    "title",
-    "abstract",
-    "year",
-    "reference_count",
-    "citation_count",
-    "influential_citation_count",
-)
-EMBEDDING = T.ArrayType(T.DoubleType(), containsNull=False)
-
-PAPER_EMBEDDINGS = T.StructType(
-    [T.StructField("paper_id", T.StringType(), False), T.StructField("embedding", EMBEDDING)]
-)
-AUTHORS = T.StructType(
-    [T.StructField("author_id", T.StringType(), False), T.StructField("name", T.StringType())]
-)
-INTERACTIONS = T.StructType(
-    [
-        T.StructField("author_id", T.StringType(), False),
-        T.StructField("kind", T.StringType(), False),
-        T.StructField("paper_id", T.StringType(), False),
-    ]
-)
+# Ids are strings in production and BIGINT in the test mapping; operators know stored tables by column name.
 
 # Orderable numeric fields of a paper (browse by field and the weighted model).
 RANK_FIELDS = ("year", "reference_count", "citation_count", "influential_citation_count")

@@ -23,6 +23,13 @@ def create_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
+def persist(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` whole into a fresh shared folder and read it back: the next version of a table."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
