@@ -7,7 +7,11 @@ at most ``WIDTH`` bytes, and equal windows of any two documents meet in the buck
 
 1. A scan ships the keys alone, as sorted packed blobs; keys that two documents have set bits of a filter
    of fixed size. The filter only spares work: a record that passes wrongly is compared and found unique.
-2. A second scan ships the records that pass. Each bucket takes its windows in document order, in batches:
+2. A second scan ships the records that pass. A record whose bytes a smaller document has in the same part
+   of the scan is a repeat there and then: its span is sent on and only the smallest document's record
+   goes to the bucket. A key with very many records is hot (bits of a second fixed filter): its windows
+   travel one by one, each by the hash of all its bytes, so different contexts of a common gram spread over
+   all buckets. Each bucket takes its windows in document order, in batches:
    a batch gets its suffix array (windows are suffixes, compared on ``LENGTH`` bytes), is merge-scanned
    against every existing level, then becomes a level itself, and levels of equal rank merge, as the digits
    of a binary counter carry. A window found in a level, or after a smaller document in its own batch, is
@@ -15,7 +19,7 @@ at most ``WIDTH`` bytes, and equal windows of any two documents meet in the buck
 3. Covered spans go back to their documents, packed by document partition, and are cut there.
 
 Records that are the same bytes are merged where they are made and again in the bucket, so a passage that
-a third of all documents share is compared once per bucket, not once per document.
+a third of all documents share reaches its bucket once per part of the scan, not once per document.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -42,6 +47,9 @@ SLICE_BYTES = 1 << 20  # text hashed at a time in a task
 FLUSH_BYTES = 8 << 20  # text per set of blobs
 BUCKET_BYTES = 4 << 20  # text per bucket
 LEAST_BUCKETS = 256
+HOT_RECORDS = 1 << 15  # records of one key that make it hot, at least
+HOT_PER_PART = 4  # and so many per part of the scan (FLUSH_BYTES of text)
+CHUNK_RECORDS = 1 << 19  # records packed at a time
 
 # Odd multipliers for mixing 64-bit words.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -180,40 +188,71 @@ def _flushes(offsets: np.ndarray, data: np.ndarray):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _contexts(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A number per record that tells its contexts apart: its first and last eight bytes."""
+    eight = sliding_window_view(data, 8)
+    head = np.ascontiguousarray(eight[start]).view("<u8").ravel()
+    tail = np.ascontiguousarray(eight[start + count + LENGTH - 9]).view("<u8").ravel()
+    return _mixed(head, 0) ^ _mixed(tail, 1)
+
+
 def _key_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
         data, offsets = _texts(b, 2)
         ids = b.column(0).to_numpy()
-        for key, _, _, doc in _flushes(offsets, data):
+        for key, start, count, doc in _flushes(offsets, data):
             bucket, short = _bucket(key, buckets), _short(key)
             order = np.lexsort((ids[doc], short, bucket))
             bucket, short, owner = bucket[order], short[order], ids[doc][order]
             first = np.concatenate(([True], (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])))
             other = np.concatenate(([False], owner[1:] != owner[:-1])) & ~first
-            # once per key, and once more for a key that two documents of the flush have
+            # once per key; for a key that two documents of the flush have, once more for every
+            # doubling of its different contexts
             run = np.cumsum(first) - 1
             shared = np.zeros(run[-1] + 1, np.int64)
             np.maximum.at(shared, run[other], 1)
+            several = shared[run] == 1
+            of, contexts = run[several], _contexts(data, start[order][several], count[order][several])
+            by = np.lexsort((contexts, of))
+            of, contexts = of[by], contexts[by]
+            again = np.concatenate(([False], (of[1:] == of[:-1]) & (contexts[1:] == contexts[:-1])))[: len(of)]
+            n = np.bincount(of[~again], minlength=len(shared))
+            shared *= np.maximum(1, np.log2(np.maximum(n, 1)).astype(np.int64))
             bucket, short = np.repeat(bucket[first], 1 + shared), np.repeat(short[first], 1 + shared)
             rows = [(k, _pack(np.diff(short[s], prepend=np.uint64(0)))) for k, s in _by_bucket(bucket)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
 
-def _shared_bits(table: pa.Table, bits: int) -> pa.Table:
-    """Filter bits of the keys that occur twice or more in a bucket, as sorted positions."""
-    keys = np.sort(np.concatenate([np.cumsum(_unpack(x.as_py())[0], dtype=np.uint64) for x in table.column("blob")]))
-    twice = np.unique(_filter_bit(keys[1:][keys[1:] == keys[:-1]], bits))
-    return pa.table({"blob": pa.array([_pack(np.diff(twice, prepend=0))], pa.binary())})
-
-
-def _merge_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of a representative per distinct row, class of each row); rows are compared byte by byte."""
+def _shared_bits(table: pa.Table, bits: int, hot: int) -> pa.Table:
+    """Filter bits of the keys of a bucket that two documents may have, and of its hot keys, as sorted
+    positions. A key that a blob has ``1 + k`` times stands for about ``2**k`` records."""
+    keys, records = [], []
+    for x in table.column("blob"):
+        key, times = np.unique(np.cumsum(_unpack(x.as_py())[0], dtype=np.uint64), return_counts=True)
+        keys.append(key)
+        records.append(np.int64(1) << (times - 1))
+    key, records = np.concatenate(keys), np.concatenate(records)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    total = np.add.reduceat(records[order], first)
+    at = [_pack(np.diff(np.unique(_filter_bit(key[first][total >= n], bits)), prepend=0)) for n in (2, hot)]
+    return pa.table({"shared": pa.array(at[:1], pa.binary()), "hot": pa.array(at[1:], pa.binary())})
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
     words = rows.view("<u8")
     h = np.zeros(len(rows), np.uint64)
     for k in range(words.shape[1]):
         h = _mixed(h ^ words[:, k], k % 4)
+    return h
+
+
+def _merge_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a representative per distinct row, class of each row); rows are compared byte by byte."""
+    words, h = rows.view("<u8"), _row_hash(rows)
     order = np.argsort(h, kind="stable")
     same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (words[order][1:] == words[order][:-1]).all(axis=1)))
     classes = np.empty(len(rows), np.int64)
@@ -224,7 +263,22 @@ def _merge_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _TAIL = np.where(np.arange(WIDTH)[None, :] < (np.arange(SPAN + 1) + LENGTH - 1)[:, None], 255, 0).astype(np.uint8)
 
 
-def _record_blobs(batches: Iterator[pa.RecordBatch], buckets: int, passing: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _bit_set(field: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _packed_spans(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, size: np.ndarray, partitions: int):
+    """(document partition, blob) of spans of at most 255 bytes."""
+    where = tags.astype(np.int64) % partitions
+    order = np.lexsort((start, tags, where))
+    where, ids, tags, start, size = where[order], ids[order], tags[order], start[order], size[order]
+    for p, s in _by_bucket(where):
+        yield p, _pack(ids[s], tags[s], start[s].astype(np.int32), size[s].astype(np.uint8))
+
+
+def _record_blobs(batches: Iterator[pa.RecordBatch], buckets: int, passing: np.ndarray, heavy: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, NULL, records) for the buckets to compare, and (partition, partition, spans) of repeats that
+    are already found."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -234,34 +288,64 @@ def _record_blobs(batches: Iterator[pa.RecordBatch], buckets: int, passing: np.n
         view = sliding_window_view(padded, WIDTH)
         for key, start, count, doc in _flushes(offsets, data):
             bit = _filter_bit(_short(key), bits)
-            ok = (passing[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            key, start, count, doc = key[ok], start[ok], count[ok], doc[ok]
-            if not len(key):
-                continue
-            rows = view[start] & _TAIL[count]
-            one, classes = _merge_equal(rows)
-            bucket = _bucket(key[one], buckets)
-            by = np.lexsort((_short(key[one]), bucket))  # distinct records, by bucket and key
-            place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by))
-            one, bucket = one[by], bucket[by]
-            nth = place[classes]
-            members = np.argsort(nth, kind="stable")
-            nth, where = nth[members], (start - offsets[doc])[members]
-            doc = doc[members]
-            blobs, names = [], []
-            for k, s in _by_bucket(bucket):
-                m = slice(*np.searchsorted(nth, [s.start, s.stop]))
-                short = _short(key[one[s]])
-                blobs.append(
-                    _pack(
-                        rows[one[s]].reshape(-1), count[one[s]].astype(np.uint8), np.diff(short, prepend=np.uint64(0)),
-                        np.diff(nth[m], prepend=s.start).astype(np.uint8) if len(nth[m]) else np.empty(0, np.uint8),
-                        ids[doc[m]], tags[doc[m]], where[m].astype(np.int32),
-                    )
-                )
-                names.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            ok = _bit_set(passing, bit)
+            key, start, count, doc, hot = key[ok], start[ok], count[ok], doc[ok], _bit_set(heavy, bit[ok])
+            upto = np.cumsum(np.where(hot, count, 1))
+            a = 0
+            while a < len(key):
+                z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK_RECORDS, side="right")))
+                part = slice(a, z)
+                yield _chunk_blobs(view, offsets, ids, tags, key[part], start[part], count[part], doc[part], hot[part], buckets)
+                a = z
+
+
+def _chunk_blobs(view, offsets, ids, tags, key, start, count, doc, hot, buckets: int) -> pa.RecordBatch:
+    n = np.where(hot, count, 1)  # a hot run is taken apart into its windows
+    run = np.repeat(np.arange(len(key)), n)
+    start = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    key, doc, hot, count = key[run], doc[run], hot[run], np.where(hot, 1, count)[run]
+    rows = view[start] & _TAIL[count]
+    key[hot] = _row_hash(np.ascontiguousarray(rows[hot]))
+    start = start - offsets[doc]
+    one, classes = _merge_equal(rows)
+    least = np.full(len(one), LONG_MAX, np.int64)
+    np.minimum.at(least, classes, ids[doc])
+    found = ids[doc] > least[classes]
+    # found windows of one run are one span
+    joined = found[1:] & found[:-1] & (run[1:] == run[:-1])
+    lead, last = found & ~np.concatenate(([False], joined)), found & ~np.concatenate((joined, [False]))
+    size = start[last] + count[last] + LENGTH - 1 - start[lead]
+    spans = list(_packed_spans(ids[doc[lead]], tags[doc[lead]], start[lead], size, buckets))
+    bucket = _bucket(key[one], buckets)
+    by = np.lexsort((_short(key[one]), bucket))  # distinct records, by bucket and key
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    one, bucket = one[by], bucket[by]
+    left = np.flatnonzero(~found)
+    nth = place[classes[left]]
+    members = np.argsort(nth, kind="stable")
+    nth, where, doc = nth[members], start[left][members], doc[left][members]
+    blobs, names = [], []
+    for k, s in _by_bucket(bucket):
+        m = slice(*np.searchsorted(nth, [s.start, s.stop]))
+        short = _short(key[one[s]])
+        blobs.append(
+            _pack(
+                rows[one[s]].reshape(-1), count[one[s]].astype(np.uint8), np.diff(short, prepend=np.uint64(0)),
+                np.diff(nth[m], prepend=s.start).astype(np.uint8) if len(nth[m]) else np.empty(0, np.uint8),
+                ids[doc[m]], tags[doc[m]], where[m].astype(np.int32),
+            )
+        )
+        names.append(k)
+    parts = [p for p, _ in spans]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(names + parts, pa.int32()),
+            pa.array([None] * len(names) + parts, pa.int32()),
+            pa.array(blobs + [x for _, x in spans], pa.binary()),
+        ],
+        ["bucket", "part", "blob"],
+    )
 
 
 class IndexFamily:
@@ -312,7 +396,12 @@ def _repeats(rows: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.n
 
 
 def _bucket_spans(table: pa.Table, partitions: int) -> pa.Table:
-    """Covered spans of one bucket, packed by document partition."""
+    """Covered spans of one bucket, packed by document partition, with those that came as spans."""
+    ready = table.column("part").is_valid()
+    passed = table.filter(ready).select(["part", "blob"])
+    table = table.filter(pc.invert(ready))
+    if not table.num_rows:
+        return passed
     cols = [[] for _ in range(7)]
     base = 0
     for blob in table.column("blob"):
@@ -347,14 +436,9 @@ def _bucket_spans(table: pa.Table, partitions: int) -> pa.Table:
     part = np.stack([start[who] + run_a[k], start[who] + run_z[k] + LENGTH], axis=1)
     spans = np.concatenate([whole, part]).astype(np.int32)
     member = np.concatenate([np.flatnonzero(later), who])
-    where = tags[member].astype(np.int64) % partitions
-    order = np.lexsort((spans[:, 0], tags[member], where))
-    member, where, spans = member[order], where[order], spans[order]
-    names, blobs = [], []
-    for p, s in _by_bucket(where):
-        names.append(p)
-        blobs.append(_pack(ids[member[s]], tags[member[s]], spans[s, 0].copy(), (spans[s, 1] - spans[s, 0]).astype(np.uint8)))
-    return pa.table({"part": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    made = list(_packed_spans(ids[member], tags[member], spans[:, 0], spans[:, 1] - spans[:, 0], partitions))
+    found = pa.table({"part": pa.array([p for p, _ in made], pa.int32()), "blob": pa.array([x for _, x in made], pa.binary())})
+    return pa.concat_tables([passed.cast(found.schema), found])
 
 
 def _merge_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -401,13 +485,15 @@ def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
     )
 
 
-def repeated_bytes(docs: DataFrame, filter_bits: int = FILTER_BITS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_bytes(
+    docs: DataFrame, filter_bits: int = FILTER_BITS, bucket_bytes: int = BUCKET_BYTES, hot_records: int = HOT_RECORDS
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed array<struct<start, stop>>) per input row.
 
     Texts are UTF-8 bytes, NULL as empty; offsets are bytes of the original text, half open. Rows with one
     doc_id do not remove each other's bytes; a NULL doc_id comes after every id. Texts shorter than a
-    window keep all their bytes. An empty table gives an empty result. ``filter_bits`` and ``bucket_bytes``
-    set memory, not results."""
+    window keep all their bytes. An empty table gives an empty result. ``filter_bits``,
+    ``bucket_bytes`` and ``hot_records`` set memory, not results."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -416,22 +502,24 @@ def repeated_bytes(docs: DataFrame, filter_bits: int = FILTER_BITS, bucket_bytes
     ).select("*", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33).cast("int").alias("tag"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(LEAST_BUCKETS, total // bucket_bytes)
+    hot = max(hot_records, HOT_PER_PART * (total // FLUSH_BYTES))
     scan = rows.select("rank", "tag", "text")
 
     keys = scan.mapInArrow(lambda it: _key_blobs(it, buckets), "bucket int, blob binary")
-    bits = keys.groupBy("bucket").applyInArrow(lambda t: _shared_bits(t, filter_bits), "blob binary")
-    passing = np.zeros(filter_bits // 8, np.uint8)
-    for row in bits.toLocalIterator():  # one bucket's packed positions at a time into the fixed-size filter
-        at = np.cumsum(_unpack(bytes(row.blob))[0])
-        np.bitwise_or.at(passing, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    shared = spark.sparkContext.broadcast(zstandard.compress(passing.tobytes(), 1))
+    bits = keys.groupBy("bucket").applyInArrow(lambda t: _shared_bits(t, filter_bits, hot), "shared binary, hot binary")
+    fields = np.zeros((2, filter_bits // 8), np.uint8)
+    for row in bits.toLocalIterator():  # one bucket's packed positions at a time into filters of fixed size
+        for field, blob in zip(fields, (row.shared, row.hot), strict=True):
+            at = np.cumsum(_unpack(bytes(blob))[0])
+            np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    shared = spark.sparkContext.broadcast(zstandard.compress(fields.tobytes(), 1))
 
     def records(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(zstandard.decompress(shared.value), np.uint8)
-        return _record_blobs(it, buckets, held, filter_bits)
+        passing, heavy = np.frombuffer(zstandard.decompress(shared.value), np.uint8).reshape(2, -1)
+        return _record_blobs(it, buckets, passing, heavy, filter_bits)
 
     spans = (
-        scan.mapInArrow(records, "bucket int, blob binary")
+        scan.mapInArrow(records, "bucket int, part int, blob binary")
         .groupBy("bucket")
         .applyInArrow(lambda t: _bucket_spans(t, buckets), "part int, blob binary")
     )

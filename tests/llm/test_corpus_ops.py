@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -411,6 +412,48 @@ def test_index_family_levels_grow_geometrically():
         assert ranks == sorted(ranks, reverse=True) and len(set(ranks)) == len(ranks) <= n.bit_length()
 
 
+@pytest.mark.parametrize("hot", [1, 2, 40])
+def test_suffix_dedup_of_hot_keys_equals_brute_force(spark, hot):
+    """A gram in very many contexts, a passage that every document has, copies, and rows of one id."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdef"), 6))
+    gram, passage = "the common gram of all of them", " ".join(word() for _ in range(30))
+    rows = []
+    for k in range(90):
+        own = [" ".join(word() for _ in range(9)) for _ in range(4)]
+        rows.append((int(rng.integers(0, 60)), f"{own[0]} {gram} {own[1]} {gram} {own[2]} {passage if k % 3 else ''} {own[3]}"))
+    rows += [(100 + k, rows[3][1]) for k in range(20)] + [(None, rows[4][1]), (7, "x" * 200), (8, "x" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = suffixes.repeated_bytes(df, hot_records=hot).collect()
+    last = 10**18  # where a NULL id comes
+    want = slow_repeats([(last if i is None else i, t.encode()) for i, t in rows])
+    assert sorted((last if r.doc_id is None else r.doc_id, *tuple(r)[1:5]) for r in got) == want
+
+
+def test_hot_keys_spread_over_buckets():
+    """Records of one common gram in different contexts share a bucket only until the key is hot."""
+    rng = np.random.default_rng(6)
+    sides = ["".join(rng.choice(list("abcdefgh"), 40)) for _ in range(600)]
+    for n in range(1000):  # a gram whose hash is the smallest of nearly every window that holds it
+        texts = [f"{a} a gram #{n:06d}. {b}" for a, b in zip(sides[::2], sides[1::2], strict=True)]
+        keys = Counter(k for t in texts for k in set(suffixes.window_keys(np.frombuffer(t.encode(), np.uint8)).tolist()))
+        if max(keys.values()) >= 270:
+            break
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(300), pa.int64()), pa.array(range(300), pa.int32()), pa.array(texts)], ["rank", "tag", "text"]
+    )
+    bits = 1 << 16
+    every, none = np.full(bits // 8, 255, np.uint8), np.zeros(bits // 8, np.uint8)
+
+    def largest(heavy) -> int:
+        found = pa.Table.from_batches(list(suffixes._record_blobs(iter([batch]), 64, every, heavy, bits)))
+        return max(len(suffixes._unpack(x.as_py())[1]) for x in found.column("blob"))
+
+    assert largest(none) >= 270  # the gram's records are in one bucket
+    windows = sum(len(t) - suffixes.LENGTH + 1 for t in texts)
+    assert largest(every) < 1.5 * windows / 64  # an even share
+
+
 def test_suffix_dedup_awkward(awkward):
     rows = suffixes.repeated_bytes(awkward).collect()
     assert len(rows) == len(AWKWARD)
