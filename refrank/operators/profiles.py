@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrank.schemas import PROFILE_KINDS
+from refrank.schemas import KIND_REFERENCE, KIND_WRITE, PROFILE_KINDS
 
 
 def known_papers(interactions: DataFrame, author_id=None) -> DataFrame:
@@ -115,13 +115,15 @@ def profiles_from_papers(nested: DataFrame, order: tuple[str, ...] = ("paper_id"
         F.posexplode("authors").alias("author_pos", "author"),
     ).where(F.col("author.authorId").isNotNull())
     author_id = F.col("author.authorId").alias("author_id")
-    writes = written.select(author_id, F.lit("write").alias("kind"), F.col("paper_id"))
-    refs = (
-        written.select(author_id, F.explode("references.paperId").alias("ref"))
-        .where(F.col("ref").isNotNull())
-        .select("author_id", F.lit("reference").alias("kind"), F.col("ref").alias("paper_id"))
+    # One explode for both kinds: the paper itself, then what it cites.
+    none = F.array().cast(written.select("references.paperId").schema["paperId"].dataType)
+    known = F.concat(F.array("paper_id"), F.coalesce(F.col("references.paperId"), none))
+    edges = (
+        written.select(author_id, F.posexplode(known).alias("pos", "paper_id"))
+        .where(F.col("paper_id").isNotNull())
+        .select("author_id", F.when(F.col("pos") == 0, F.lit(KIND_WRITE)).otherwise(F.lit(KIND_REFERENCE)).alias("kind"), "paper_id")
+        .distinct()
     )
-    edges = writes.unionByName(refs).distinct()
     names = written.groupBy(author_id).agg(
         F.min_by(F.col("author.name"), F.struct(*[F.col(c) for c in order], F.col("author_pos"))).alias("name")
     )
