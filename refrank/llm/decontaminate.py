@@ -3,18 +3,14 @@
 Texts are sequences of lower-cased words. An item of L words is found where some stretch of a document is
 within ``floor(TOLERANCE * L)`` word edits of it.
 
-* The CGK embedding walks a sequence with random bits: step j emits the current word and moves on if the
-  bit of (j, word) is set. Two sequences at a small edit distance walk in step after each edit with good
-  odds, so their embeddings are close in Hamming distance. The walk from a position does not depend on the
-  window's length, so items of one size class share it.
-* Bit-sampling LSH takes ``SAMPLED`` steps of the embedding as a signature. ``REPEATS`` independent walks
-  and samples reach the target recall; equal signatures are candidates.
-* Every candidate is checked with the exact edit distance to the best stretch around it.
-
-Windows start at every word, but a walk starts only where a match is possible: by the q-gram lemma a
-stretch within d edits of an item shares at least L - 1 - 2 d word pairs with it, so positions whose
-window holds fewer pairs of the benchmark than any item of the class needs are passed over. That bound
-loses nothing.
+* Seeds: an item with d edits allowed is cut into d + 1 pieces of 3 words or more. An edit touches one piece
+  at most, so every stretch within d edits holds one piece unchanged, and its start is within d words of
+  where that piece puts the item's start. Runs of words that equal a piece's head are candidates.
+* Pairs: by the q-gram lemma such a stretch also shares at least L - 1 - 2 d word pairs with the item;
+  candidates whose surroundings hold fewer are passed over.
+* What is left is checked with the exact edit distance to the best stretch around it.
+
+Neither bound loses a match, wherever the edits lie.
 """
 
 from __future__ import annotations
@@ -31,11 +27,10 @@ from refrank.llm.base import id_text, row_key
 
 TOLERANCE = 0.2
 MIN_WORDS = 8  # shorter items are no evidence of a leak
-SAMPLED = 4
-REPEATS = 48
 BLOCK_ITEMS = 5000  # items searched for in one pass over the documents
 BLOCK_WORDS = 1_000_000  # and their words, at most; together the bound of what is broadcast
 SEED = 20240607
+CHUNK = 1 << 20  # candidates, or words around them, looked at in one go
 WORD = re.compile(r"\w+")
 
 
@@ -43,9 +38,8 @@ def edits_allowed(n: int) -> int:
     return int(TOLERANCE * n + 1e-9)
 
 
-def best_stretch(item: list[int], words: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """(distance, start, stop) of the stretch of ``words`` nearest to ``item``, if within ``most`` edits;
-    the leftmost end, then the latest start, among equals."""
+def _last_row(item: list[int], words: list[int]) -> list[tuple[int, int]]:
+    """(edits, start) of the stretch nearest to ``item`` for every end in ``words``."""
     n = len(words)
     row = [(0, k) for k in range(n + 1)]  # (edits, minus nothing) with the stretch's start
     for i, w in enumerate(item, 1):
@@ -58,124 +52,160 @@ def best_stretch(item: list[int], words: np.ndarray, most: int) -> tuple[int, in
             if left[0] + 1 < best[0]:
                 best = (left[0] + 1, left[1])
             row.append(best)
+    return row
+
+
+def best_stretch(item: list[int], words: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """(distance, start, stop) of the stretch of ``words`` nearest to ``item``, if within ``most`` edits;
+    the leftmost end, then the latest start, among equals."""
+    row = _last_row(item, words)
     cost, stop = min((c[0], k) for k, c in enumerate(row))
     return (cost, row[stop][1], stop) if cost <= most else None
 
 
+def stretches(item: list[int], words: list[int], most: int) -> Iterator[tuple[int, int, int]]:
+    """(distance, start, stop) of stretches of ``words`` within ``most`` edits of ``item`` that do not
+    overlap: the nearest first, as in ``best_stretch``, then the nearest in what is left."""
+    parts = [(0, len(words))]
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo < len(item) - most:
+            continue
+        taken = bytearray(hi - lo)
+        for (cost, start), stop in sorted(((c, k) for k, c in enumerate(_last_row(item, words[lo:hi])) if c[0] <= most), key=lambda x: (x[0][0], x[1])):
+            if not any(taken[start:stop]):
+                taken[start:stop] = b"\1" * (stop - start)
+                yield cost, lo + start, lo + stop
+        if any(taken):
+            parts += [(lo + m.start(), lo + m.end()) for m in re.finditer(rb"\0+", taken)]
+
+
 class Searcher:
-    """Signatures of one block of items; one per worker process."""
+    """Seeds and word pairs of one block of items; one per worker process."""
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int = REPEATS, sampled: int = SAMPLED):
-        self.repeats = repeats
+    def __init__(self, items: list[tuple[int, str]]):
         words = [(k, WORD.findall(t.lower())) for k, t in items]
         words = [(k, w) for k, w in words if len(w) >= MIN_WORDS]
         self.vocabulary: dict[str, int] = {}
         self.items = [
             (k, np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)) for k, w in words
         ]
-        size = len(self.vocabulary) + 1  # 0 is any word that no item has
+        self.size = len(self.vocabulary) + 1  # 0 is any word that no item has
         rng = np.random.default_rng(SEED)
-        self.symbol = rng.integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.size = size
-        pairs = [a[:-1] * size + a[1:] for _, a in self.items]
+        self.symbol = rng.integers(1, 1 << 63, self.size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.length = np.array([len(a) for _, a in self.items], np.int64)
+        self.most = np.array([edits_allowed(len(a)) for _, a in self.items], np.int64)
+        # pairs, and (item, pair) as one number
+        pairs = [a[:-1] * self.size + a[1:] for _, a in self.items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-        classes: dict[int, list[int]] = {}
-        for k, (_, a) in enumerate(self.items):
-            classes.setdefault(len(a).bit_length() - 1, []).append(k)
-        self.longest = max((len(a) for _, a in self.items), default=0)
-        self.pad = self.longest + edits_allowed(self.longest) + 2
-        self.classes = []
-        for bits, members in sorted(classes.items()):
-            lengths = [len(self.items[k][1]) for k in members]
-            steps = int(1.25 * (1 << bits))
-            need = min(n - 1 - 2 * edits_allowed(n) for n in lengths)
-            width = max(lengths) + edits_allowed(max(lengths)) - 1  # pairs in the longest stretch
-            moves = rng.integers(1, 1 << 63, (repeats, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            sample = np.array([np.sort(rng.choice(steps, sampled, replace=False)) for _ in range(repeats)])
-            self.classes.append((need, width, moves, sample, self._index(members, moves, sample)))
-
-    def _signatures(self, ids: np.ndarray, starts: np.ndarray, moves: np.ndarray, sample: np.ndarray) -> np.ndarray:
-        """Sampled steps of one CGK walk from every start, as one number each; ``ids`` has a zero tail."""
-        at, out = starts.copy(), np.zeros(len(starts), np.uint64)
-        picked = set(sample.tolist())
-        end = len(ids) - 1
-        for j in range(int(sample[-1]) + 1):
-            symbol = self.symbol[ids[at]]
-            if j in picked:
-                out = (out ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(31)
-            np.minimum(at + ((symbol * moves[j]) >> np.uint64(63)).astype(np.int64), end, out=at)
-        return out
-
-    def _index(self, members: list[int], moves: np.ndarray, sample: np.ndarray):
-        pad = np.zeros(self.pad, np.int64)
-        line, starts = [], []
-        at = 0
-        for k in members:
-            starts.append(at)
-            line += [self.items[k][1], pad]
-            at += len(self.items[k][1]) + self.pad
-        ids, starts, index = np.concatenate(line), np.array(starts), []
-        for t in range(self.repeats):
-            sig = self._signatures(ids, starts, moves[t], sample[t])
+        own = [k * len(self.pairs) + np.searchsorted(self.pairs, p) for k, p in enumerate(pairs)]
+        self.own = np.unique(np.concatenate(own)) if own else np.empty(0, np.int64)
+        # size of the seed -> hashes in order, with the item and the seed's place in it
+        seeds: dict[int, list[tuple[int, int]]] = {}
+        for k, (n, d) in enumerate(zip(self.length.tolist(), self.most.tolist(), strict=True)):
+            seeds.setdefault(n // (d + 1), []).extend((k, j * n // (d + 1)) for j in range(d + 1))
+        self.seeds = []
+        for q, places in sorted(seeds.items()):
+            runs = np.array([self.items[k][1][o : o + q] for k, o in places])
+            place = np.array(places, np.int64)
+            sig = self._hash([runs[:, j] for j in range(q)])
             order = np.argsort(sig, kind="stable")
-            index.append((sig[order], np.array(members)[order]))
-        return index
+            self.seeds.append((q, sig[order], place[order, 0], place[order, 1]))
+
+    def _hash(self, columns: list[np.ndarray]) -> np.ndarray:
+        """One number for each run of words, the j-th words in column j."""
+        out = np.zeros(len(columns[0]), np.uint64)
+        for ids in columns:
+            out = (out ^ self.symbol[ids]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(31)
+        return out
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, distance, words, start, stop): matches, offsets in characters of the text."""
         if not self.items or not texts:
             return []
         get = self.vocabulary.get
-        pad = [0] * self.pad
         line: list[int] = []
-        begin = []
+        begin = [0]
         for t in texts:
-            begin.append(len(line))
             line += [get(w, 0) for w in WORD.findall(t.lower())]
-            line += pad
-        ids = np.array(line, np.int64)
-        begin = np.array([*begin, len(line)])
-        pair = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.size + ids[1:], -1)
-        known = np.zeros(len(pair), bool)
-        maybe = np.flatnonzero(pair >= 0)
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, pair[maybe]), len(self.pairs) - 1)
-            known[maybe] = self.pairs[at] == pair[maybe]
-        total = np.concatenate(([0], np.cumsum(known)))
-        found: set[tuple[int, int]] = set()
-        for need, width, moves, sample, index in self.classes:
-            reach = np.minimum(np.arange(len(pair)) + width, len(pair))
-            starts = np.flatnonzero(total[reach] - total[:-1] >= max(need, 1))
-            if not len(starts):
-                continue
-            for t, (sigs, members) in enumerate(index):
-                sig = self._signatures(ids, starts, moves[t], sample[t])
-                lo, hi = np.searchsorted(sigs, sig), np.searchsorted(sigs, sig, side="right")
-                hit = np.flatnonzero(hi > lo)
-                for n in hit.tolist():
-                    for k in members[lo[n] : hi[n]].tolist():
-                        found.add((k, int(starts[n])))
-        return self._verify(texts, ids, begin, known, total, sorted(found))
-
-    def _verify(self, texts, ids, begin, known, total, found):
-        out, done = [], {}
-        for k, p in found:
-            if p < done.get(k, -1):  # inside a match of this item that is already reported
-                continue
+            line.append(0)  # no run goes on into the next text
+            begin.append(len(line))
+        ids, begin = np.array(line, np.int64), np.array(begin)
+        pair = np.full(len(ids), -1, np.int64)  # number of the pair that starts here
+        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        value = ids[both] * self.size + ids[both + 1]
+        at = np.minimum(np.searchsorted(self.pairs, value), max(len(self.pairs) - 1, 0))
+        known = self.pairs[at] == value if len(self.pairs) else np.zeros(len(value), bool)
+        pair[both[known]] = at[known]
+        return self._verify(texts, ids, begin, self._regions(ids, begin, pair))
+
+    def _candidates(self, ids: np.ndarray, pair: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place of a seed, where the item would start) of every seed found, in bounded parts."""
+        for q, sigs, items, offsets in self.seeds:
+            n = max(len(ids) - q + 1, 0)
+            ok = ids[:n] > 0
+            for j in range(q - 1):  # a seed's pairs are pairs of the block
+                ok &= pair[j : n + j] >= 0
+            at = np.flatnonzero(ok)
+            sig = self._hash([ids[at + j] for j in range(q)])
+            lo, hi = np.searchsorted(sigs, sig), np.searchsorted(sigs, sig, side="right")
+            at, lo, many = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends, a = np.cumsum(many), 0
+            while a < len(at):
+                z = max(int(np.searchsorted(ends, ends[a] - many[a] + CHUNK, side="right")), a + 1)
+                count = many[a:z]
+                seed = np.repeat(lo[a:z] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                place = np.repeat(at[a:z], count)
+                yield items[seed], place, place - offsets[seed]
+                a = z
+
+    def _regions(self, ids: np.ndarray, begin: np.ndarray, pair: np.ndarray) -> list[list[int]]:
+        """(text, item, start, stop) of stretches of words, apart for each item, that hold all its matches."""
+        kept = []
+        for items, place, start in self._candidates(ids, pair):
+            text = np.searchsorted(begin, place, side="right") - 1
+            text, items, start = np.unique(np.stack([text, items, start]), axis=1)
+            n, d = self.length[items], self.most[items]
+            lo = np.maximum(start - d, begin[text])
+            hi = np.minimum(start + n + 2 * d, begin[text + 1] - 1)
+            ok = self._shared(items, lo, hi, pair) >= n - 1 - 2 * d
+            kept.append(np.stack([text, items, lo, hi])[:, ok])
+        out: list[list[int]] = []
+        found = np.concatenate(kept, axis=1) if kept else np.empty((4, 0), np.int64)
+        for t, k, a, z in found[:, np.lexsort(found[::-1])].T.tolist():
+            if out and out[-1][:2] == [t, k] and a < out[-1][3]:
+                out[-1][3] = max(out[-1][3], z)
+            else:
+                out.append([t, k, a, z])
+        return out
+
+    def _shared(self, items: np.ndarray, lo: np.ndarray, hi: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """How many pairs between ``lo`` and ``hi`` are pairs of the item."""
+        out = np.zeros(len(items), np.int64)
+        size = np.maximum(hi - 1 - lo, 0)
+        ends, a = np.cumsum(size), 0
+        while a < len(items):
+            z = max(int(np.searchsorted(ends, ends[a] - size[a] + CHUNK, side="right")), a + 1)
+            n = size[a:z]
+            at = np.repeat(lo[a:z] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            row = np.repeat(np.arange(a, z), n)
+            row, at = row[pair[at] >= 0], at[pair[at] >= 0]
+            key = items[row] * len(self.pairs) + pair[at]
+            spot = np.minimum(np.searchsorted(self.own, key), max(len(self.own) - 1, 0))
+            out += np.bincount(row[self.own[spot] == key], minlength=len(items))
+            a = z
+        return out
+
+    def _verify(self, texts: list[str], ids: np.ndarray, begin: np.ndarray, regions: list[list[int]]):
+        out = []
+        for d, k, lo, hi in regions:
             name, item = self.items[k]
-            most = edits_allowed(len(item))
-            d = int(np.searchsorted(begin, p, side="right")) - 1
-            lo = max(int(begin[d]), p - most, done.get(k, 0))
-            hi = min(int(begin[d + 1]) - self.pad, p + len(item) + 2 * most)
-            if hi - lo < len(item) - most or total[max(hi - 1, lo)] - total[lo] < len(item) - 1 - 2 * most:
-                continue
-            got = best_stretch(item.tolist(), ids[lo:hi].tolist(), most)
-            if got:
-                done[k] = lo + got[2]
-                spans = [m.span() for m in WORD.finditer(texts[d])] if texts[d].lower() else []
-                a, z = lo + got[1] - int(begin[d]), lo + got[2] - int(begin[d]) - 1
-                out.append((d, name, got[0], len(item), spans[a][0] if a < len(spans) else 0, spans[z][1] if z < len(spans) else len(texts[d])))
+            got = sorted(stretches(item.tolist(), ids[lo:hi].tolist(), edits_allowed(len(item))), key=lambda g: g[1])
+            spans = [m.span() for m in WORD.finditer(texts[d])] if got else []
+            for cost, start, stop in got:
+                a, z = lo + start - int(begin[d]), lo + stop - int(begin[d]) - 1
+                out.append((d, name, cost, len(item), spans[a][0] if a < len(spans) else 0, spans[z][1] if z < len(spans) else len(texts[d])))
         return out
 
 

@@ -315,6 +315,37 @@ def test_decontamination_recall_and_precision(spark, texts):
     assert {d for d, _ in found} <= set(planted)
 
 
+@pytest.mark.parametrize("lead", [0, 3, 30])
+@pytest.mark.parametrize("where", ["front", "end", "spread", "mixed"])
+def test_decontamination_finds_all_within_the_tolerance(where, lead):
+    """Every item with floor(0.2 L) edits, wherever they lie, at document start and later, up to 400 words."""
+    rng = random.Random(lead)
+    vocab = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(8, 60) if k % 3 else rng.randint(101, 400)))) for k in range(90)]
+    rows = []
+    for _, text in items:
+        words = text.split()
+        n = int(0.2 * len(words) + 1e-9)
+        gone = {"front": range(n), "end": range(len(words) - n, len(words)), "spread": rng.sample(range(len(words)), n)}
+        left = edited(words, n, rng, vocab) if where == "mixed" else [w for k, w in enumerate(words) if k not in gone[where]]
+        rows.append(" ".join(rng.choices(vocab, k=lead) + left + rng.choices(vocab, k=30)))
+    found = decontaminate.Searcher(items).find(rows)
+    assert {k for k, _ in items} <= {f[1] for f in found if f[0] == f[1]}
+    for d, k, distance, n, a, z in found:
+        assert n == len(items[k][1].split()) and distance <= int(0.2 * n + 1e-9)
+        assert slow_distance(items[k][1].split(), rows[d][a:z].split()) == distance
+
+
+def test_decontamination_reports_each_stretch_once():
+    item = "one two three four five six seven eight nine ten"
+    other = item.replace("four", "4")
+    rows = [f"{item} {item} and {other} {item}", f"{other} x y z", "nothing of it", ""]
+    found = decontaminate.Searcher([(7, item), (8, "a b c d e f g h")]).find(rows)
+    assert [(f[0], f[1], f[2], rows[f[0]][f[4] : f[5]]) for f in found] == [
+        (0, 7, 0, item), (0, 7, 0, item), (0, 7, 1, other), (0, 7, 0, item), (1, 7, 1, other)
+    ]
+
+
 def test_decontamination_awkward(spark, awkward):
     bench = spark.createDataFrame([(1, "same words here again and again same words here")], "item_id long, text string")
     got = decontaminate.benchmark_matches(awkward, bench).collect()
