@@ -15,6 +15,8 @@ Neither bound loses a match, wherever the edits lie.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -209,10 +211,11 @@ class Searcher:
         return out
 
 
-_SEARCHERS: dict[tuple, Searcher] = {}
+_SEARCHERS: dict[str, Searcher] = {}
 
 
-def _searcher(items: list[tuple[int, str]], key: tuple) -> Searcher:
+def _searcher(items: list[tuple[int, str]], key: str) -> Searcher:
+    """The searcher of a block; ``key`` is a digest of its items, as workers outlive a benchmark."""
     if key not in _SEARCHERS:
         _SEARCHERS.clear()
         _SEARCHERS[key] = Searcher(items)
@@ -248,9 +251,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = id_text(docs).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
     result = spark.createDataFrame([], FOUND)
     for n, block in enumerate(_blocks(benchmark)):
+        digest = hashlib.sha256(pickle.dumps(block)).hexdigest()
         shared = spark.sparkContext.broadcast(block)  # at most BLOCK_ITEMS items and BLOCK_WORDS words
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, key=(spark.sparkContext.applicationId, shared.value and id(shared), n)) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, key=digest) -> Iterator[pa.RecordBatch]:
             searcher = _searcher(shared.value, key)
             for b in batches:
                 got = [m for a in range(0, b.num_rows, 512) for m in _moved(searcher.find(b.column(2).slice(a, 512).to_pylist()), a)]

@@ -346,6 +346,17 @@ def test_decontamination_reports_each_stretch_once():
     ]
 
 
+def test_decontamination_of_two_benchmarks_in_one_application(spark, monkeypatch):
+    """A reused worker does not search for the items of the benchmark before, even if object ids recur."""
+    monkeypatch.setattr(decontaminate, "id", lambda x: 1, raising=False)
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for k, text in enumerate(texts * 2):
+        bench = spark.createDataFrame([(k, text)], "item_id long, text string")
+        got = decontaminate.benchmark_matches(df, bench).collect()
+        assert [(r.doc_id, r.item_id) for r in got] == [(k % 2, k)]
+
+
 def test_decontamination_awkward(spark, awkward):
     bench = spark.createDataFrame([(1, "same words here again and again same words here")], "item_id long, text string")
     got = decontaminate.benchmark_matches(awkward, bench).collect()
