@@ -30,18 +30,25 @@ DATE = (
 )
 SSN = r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
+KEYWORD = r"(?i:password|passwd|secret|api_key|token)"
 SECRET = (
-    r"(?<![0-9A-Za-z])AKIA[A-Z0-9]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
-    r"|(?<=(?i:password|passwd|secret|api_key|token)[=:])[A-Za-z0-9+/_-]{6,64}"
+    r"(?<![0-9A-Za-z])AKIA[A-Z0-9]{16}(?![0-9A-Za-z])"
+    # after the separator, which blanks and quotes may stand around; a bare word after a colon and blanks
+    # may be prose, and counts if it has a digit
+    r"|(?<=[=:\"' \t])(?<=[=:][ \t]{0,4}[\"']?)"  # few places get past this, which is cheap
+    rf"(?:(?<={KEYWORD}[\"']?[ \t]{{0,4}}=[ \t]{{0,4}}[\"']?)|(?<={KEYWORD}[\"']?[ \t]{{0,4}}:[ \t]{{0,4}}[\"'])"
+    rf"|(?<={KEYWORD}[\"']?[ \t]{{0,4}}:)|(?<={KEYWORD}[\"']?[ \t]{{0,4}}:[ \t]{{1,4}})(?=[A-Za-z+/_-]*[0-9]))"
+    r"[A-Za-z0-9+/_-]{6,64}"
 )
 CARD = r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])"
 PHONE = (
     r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])"
 )
-KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "iban": IBAN, "secret": SECRET, "card": CARD, "phone": PHONE}
+KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "hex": HEX, "iban": IBAN, "secret": SECRET, "card": CARD, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-POSSIBLE = "[0-9@]|(?i:password|passwd|secret|api_key|token)[=:]"
+POSSIBLE = rf"[0-9@]|{KEYWORD}[\"']?[ \t]{{0,4}}[=:]"
 
 
 def _digest(key: str, kind: str, nth: Column, of: Column) -> Column:
@@ -255,9 +262,9 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     aws = F.concat(F.lit("AKIA"), permuted(F.substr(m, F.lit(5), F.length(m)), key, "secret"))
-    return F.when(m.rlike("^AKIA[A-Z0-9]{16}$"), aws).when(m.rlike("^[0-9a-f]+$"), permuted(m, key, "secret", 6)).otherwise(
-        permuted(m, key, "secret")
-    )
+    return F.when(m.rlike("^AKIA[A-Z0-9]{16}$"), aws).when(m.rlike("^[0-9a-f]+$"), permuted(m, key, "secret", 6)).when(
+        m.rlike("^[0-9A-F]{32,64}$"), F.upper(permuted(F.lower(m), key, "secret", 6))
+    ).otherwise(permuted(m, key, "secret"))
 
 
 MAKE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "iban": _iban, "secret": _secret, "card": _card, "phone": _phone}
@@ -267,10 +274,10 @@ SHAPES = {
     "ip": rf"^(?:{OCTET}\.){{3}}{OCTET}$",
     "date": r"^(?:[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4})$",
     "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,30}$",
+    "iban": r"^(?![0-9A-F]{32,64}$)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,30}$",
     "card": r"^(?:[0-9][ -]?){12,18}[0-9]$",
     "phone": r"^(?:\+|\([0-9]{3}\)|[0-9]{3}[.-][0-9]{3}[.-])",
-    "secret": r"^(?![A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}$)(?=.*[A-Za-z])[A-Za-z0-9+/_-]{6,64}$",
+    "secret": r"^(?!(?![0-9A-F]{32,64}$)[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}$)(?=.*[A-Za-z])[A-Za-z0-9+/_-]{6,64}$",
 }
 
 

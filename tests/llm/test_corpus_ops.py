@@ -229,6 +229,23 @@ def test_pii_whole_texts_and_awkward_rows(spark, docs, texts, awkward):
     assert "Python" not in pii.pseudonymise(docs, "k")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_secrets_in_capitals_and_after_blanks_and_quotes(spark):
+    small = "9233a8ec00ff17d2c4b5a6978877665544332211"
+    capitals, lower, other, iban_like, prose, *keyed = one(
+        spark, f'SET TOKEN = "{small.upper()}" AND GO ON.', f'set token = "{small}" and go on.', f"{small.upper()[::-1]}",
+        "KEY AB12" + "0123456789ABCDEF" * 2 + " OK, AB12" + "89ABCDEF" * 4 + " AND, AB12" + "89ABCDEF" * 3 + "0123 THE END",
+        "a secret: nothing to tell", "password = hunter", "API_KEY : 'Zebra_tree'", '"token":"abcdefgh"', "passwd: hunter22", "secret=abcdef",
+    )
+    assert re.fullmatch(r'SET TOKEN = "[0-9A-F]{40}" AND GO ON\.', capitals) and small.upper() not in capitals
+    assert lower == capitals.lower() and small not in lower
+    assert re.fullmatch("[0-9A-F]{40}", other) and other not in (small.upper()[::-1], capitals[13:53])
+    assert re.fullmatch("KEY [0-9A-F]{36} OK, [0-9A-F]{36} AND, [0-9A-F]{32} THE END", iban_like)
+    assert not any(x in iban_like for x in ("0123456789ABCDEF", "89ABCDEF89", "EF0123"))
+    assert prose == "a secret: nothing to tell"
+    for got, private in zip(keyed, ("hunter", "Zebra_tree", "abcdefgh", "hunter22", "abcdef"), strict=True):
+        assert private not in got and len(got) >= len(private) + 7
+
+
 # ------------------------------------------------------------------ 3 lines
 
 
