@@ -42,6 +42,7 @@ GRAM = 16
 SPAN = LENGTH - GRAM + 1  # grams in a window; the most windows in a record
 WIDTH = 88  # bytes kept for a record: SPAN - 1 + LENGTH, rounded up to whole 64-bit words
 FILTER_BITS = 1 << 27  # of the shared-key filter, whatever the input's size: 16 MB
+SEGMENT_BITS = 1 << 18  # of a filter, put together in one task
 BATCH_WINDOWS = 1 << 17  # windows in a new batch of the index family
 SLICE_BYTES = 1 << 20  # text hashed at a time in a task
 FLUSH_BYTES = 8 << 20  # text per set of blobs
@@ -242,6 +243,48 @@ def _shared_bits(table: pa.Table, bits: int, hot: int) -> pa.Table:
     return pa.table({"shared": pa.array(at[:1], pa.binary()), "hot": pa.array(at[1:], pa.binary())})
 
 
+def _by_segment(batches: Iterator[pa.RecordBatch], size: int, segments: int) -> Iterator[pa.RecordBatch]:
+    """(segment, blob): the positions of each bucket within each segment of the shared and the hot filter."""
+    for b in batches:
+        segment, blob = [], []
+        for field, column in enumerate(b.columns):
+            for x in column:
+                at = np.cumsum(_unpack(x.as_py())[0]).astype(np.int64)
+                for n, rows in _by_bucket(at // size):
+                    segment.append(field * segments + n)
+                    blob.append(_pack((at[rows] - n * size).astype(np.uint32)))
+        yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(blob, pa.binary())], ["segment", "blob"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(segment, blob): each segment's bits, as one compressed blob; a task holds its segments, no positions."""
+    made: dict[int, np.ndarray] = {}
+    for b in batches:
+        for n, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            at = _unpack(x.as_py())[0]
+            np.bitwise_or.at(made.setdefault(n, np.zeros(size // 8, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
+    for n, field in made.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n], pa.int32()), pa.array([zstandard.compress(field.tobytes(), 1)], pa.binary())], ["segment", "blob"]
+        )
+
+
+def _filters(bits: DataFrame, filter_bits: int) -> np.ndarray:
+    """The shared and the hot filter, from the buckets' packed positions. Segments are put together on
+    Spark; what comes to the driver is the two filters themselves, whatever the number of shared keys."""
+    size = min(SEGMENT_BITS, filter_bits)
+    segments = -(-filter_bits // size)
+    dense = (
+        bits.mapInArrow(lambda it: _by_segment(it, size, segments), "segment int, blob binary")
+        .repartition("segment")
+        .mapInArrow(lambda it: _segments(it, size), "segment int, blob binary")
+    )
+    fields = np.zeros((2 * segments, size // 8), np.uint8)
+    for row in dense.collect():  # at most 2 * segments rows
+        fields[row.segment] = np.frombuffer(zstandard.decompress(bytes(row.blob)), np.uint8)
+    return fields.reshape(2, -1)[:, : filter_bits // 8]
+
+
 def _row_hash(rows: np.ndarray) -> np.ndarray:
     words = rows.view("<u8")
     h = np.zeros(len(rows), np.uint64)
@@ -507,11 +550,7 @@ def repeated_bytes(
 
     keys = scan.mapInArrow(lambda it: _key_blobs(it, buckets), "bucket int, blob binary")
     bits = keys.groupBy("bucket").applyInArrow(lambda t: _shared_bits(t, filter_bits, hot), "shared binary, hot binary")
-    fields = np.zeros((2, filter_bits // 8), np.uint8)
-    for row in bits.toLocalIterator():  # one bucket's packed positions at a time into filters of fixed size
-        for field, blob in zip(fields, (row.shared, row.hot), strict=True):
-            at = np.cumsum(_unpack(bytes(blob))[0])
-            np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    fields = _filters(bits, filter_bits)
     shared = spark.sparkContext.broadcast(zstandard.compress(fields.tobytes(), 1))
 
     def records(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

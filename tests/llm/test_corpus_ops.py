@@ -457,6 +457,25 @@ def test_suffix_dedup_equals_brute_force(spark, texts, monkeypatch):
     assert sorted(tuple(r)[:5] for r in small.collect()) == want
 
 
+def test_filters_are_put_together_by_segment(spark, monkeypatch):
+    """Equal to all positions OR-ed in one place; the driver gets one row a segment, not one a bucket."""
+    monkeypatch.setattr(suffixes, "SEGMENT_BITS", 1 << 10)
+    rng = np.random.default_rng(2)
+    bits, rows, want = 1 << 13, [], np.zeros((2, 1 << 13), np.uint8)
+    for _ in range(60):
+        at = [np.unique(rng.integers(0, bits, n)).astype(np.uint64) for n in (300, 2)]
+        for field, x in zip(want, at, strict=True):
+            field[x.astype(np.int64)] = 1
+        rows.append(tuple(bytearray(suffixes._pack(np.diff(x, prepend=np.uint64(0)))) for x in at))
+    rows.append(tuple(bytearray(suffixes._pack(np.empty(0, np.uint64))) for _ in range(2)))
+    df = spark.createDataFrame(rows, "shared binary, hot binary").repartition(5)
+    read, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda d: read.append(collect(d)) or read[-1])
+    got = suffixes._filters(df, bits)
+    assert (np.unpackbits(got, axis=1, bitorder="little") == want).all()
+    assert [len(r) for r in read] == [16]
+
+
 def test_index_family_levels_grow_geometrically():
     rng = np.random.default_rng(0)
     family, seen = suffixes.IndexFamily(), {}
