@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from refrank.llm.components import star_components
 SEED = 42
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-PREFIX_BITS = 14
+PREFIX_BITS = 14  # at least; see prefix_bits_for
+PREFIX_ROWS = 1 << 20  # of an average prefix, at most
 CHUNK = 1 << 21  # variants expanded at a time in a task
 
 
@@ -119,6 +121,12 @@ def ball_links(fps: np.ndarray, owners: np.ndarray, used: np.ndarray, free: int,
     return [_meet(np.concatenate(values), np.concatenate(who))]
 
 
+def prefix_bits_for(distinct: int, max_bits: int = MAX_BITS) -> int:
+    """Bits of the shuffle key at which a prefix has ``PREFIX_ROWS`` rows or fewer on average."""
+    sent = lambda p: distinct * sum(comb(p, j) for j in range(max_bits // 2 + 1))
+    return next((p for p in range(PREFIX_BITS, 31) if sent(p) <= PREFIX_ROWS * 2**p), 31)
+
+
 def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, prefix_bits: int = PREFIX_BITS) -> DataFrame:
     """(a, b): pairs of ``distinct`` (fp bigint) whose connected components are those of the links at
     ``max_bits`` or fewer differing bits. ``max_bits`` is even: a ball has half of it as radius."""
@@ -174,15 +182,18 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, prefix_bits: int =
 
 
 def simhash_groups(
-    docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, prefix_bits: int = PREFIX_BITS
+    docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, prefix_bits: int | None = None
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id, row_key, keep) per input row.
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``max_bits`` differing bits
     (NULL where the whole group has no id). ``keep`` marks the one row key of each group that stays:
     the smallest id, then the smallest row key. Empty and NULL texts have fingerprint zero and are
-    linked like any other; repeated rows share a row key. An empty table gives an empty result."""
+    linked like any other; repeated rows share a row key. An empty table gives an empty result.
+    ``prefix_bits`` follows the number of distinct fingerprints if not given; it sets memory, not results."""
     rows = materialise(fingerprints(docs, words))
+    if prefix_bits is None:
+        prefix_bits = prefix_bits_for(rows.agg(F.approx_count_distinct("fp").alias("n")).first().n, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
     by_fp = rows.groupBy("fp").agg(first)
     roots = star_components(near_links(rows.select("fp").distinct(), max_bits, prefix_bits))

@@ -132,6 +132,19 @@ def test_ball_links_keep_every_component(spark, prefix, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_prefixes_grow_in_number_with_the_fingerprints(spark, docs, monkeypatch):
+    for n in (0, 1, 10**6, 10**8, 10**9, 10**10, 10**11):
+        p = simhash.prefix_bits_for(n)
+        assert 14 <= p <= 31 and n * (1 + p + p * (p - 1) // 2) / 2**p <= simhash.PREFIX_ROWS
+    assert simhash.prefix_bits_for(10**6) == 14 < simhash.prefix_bits_for(10**9)
+    want = {tuple(r) for r in simhash.simhash_groups(docs).collect()}
+    used, links = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda d, m, p: used.append(p) or links(d, m, p))
+    monkeypatch.setattr(simhash, "PREFIX_ROWS", 1 / 8)
+    assert {tuple(r) for r in simhash.simhash_groups(docs).collect()} == want
+    assert used[0] > 14
+
+
 def test_split_work_finds_the_same_links(monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
