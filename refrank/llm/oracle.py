@@ -55,6 +55,60 @@ FROM docs LEFT JOIN done USING (r)
 """
 
 
+# A-Z and their lower case, for engines that lower-case more than those.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+JACCARD = rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+gram AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM docs),
+size AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
+sized AS (SELECT r, s, n FROM gram JOIN size USING (r)),
+pair AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS both
+         FROM sized a JOIN sized b ON a.s = b.s AND a.r < b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.r, b.r),
+link AS (SELECT a, b FROM pair WHERE 100 * both >= 90 * (m + n - both)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(r, other) AS (SELECT r, r FROM docs UNION SELECT reach.r, b FROM reach JOIN both_ways ON other = a),
+least AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = other GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM docs JOIN least USING (r) LEFT JOIN size USING (r)
+"""
+
+NEGATIVES = """
+WITH part AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+              FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+score AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS s
+          FROM part a JOIN part r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (SELECT anchor_id, other AS positive_id, s AS positive_score FROM score WHERE same
+             QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other)::INTEGER AS rank,
+       other AS negative_id, positive_score, s AS negative_score
+FROM positive JOIN score USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * s AND 100 * s <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other) <= 5
+"""
+
+RANKED = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
+       regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+') AS t FROM documents),
+item AS (SELECT row_number() OVER () AS i, item_id,
+       regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+') AS t FROM benchmark),
+whole AS (SELECT count(*) AS total, sum(len(t))::BIGINT AS length FROM docs WHERE len(t) > 0),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY r, term),
+weight AS (SELECT term, floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, whole GROUP BY term, total),
+sized AS (SELECT r, doc_id, 100 - 25 + ((25 * len(t)::BIGINT * total) // length) AS m FROM docs, whole WHERE len(t) > 0),
+asked AS (SELECT i, unnest(t) AS term FROM item),
+score AS (SELECT i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM asked JOIN weight USING (term) JOIN held USING (term) JOIN sized USING (r) GROUP BY i, r),
+best AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank
+         FROM score JOIN sized USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM best JOIN item USING (i) WHERE rank <= 20
+"""
+
+
 def _rules() -> str:
     fences = "\n".join(
         f"""{r}_own AS (SELECT lang, source, count(*) AS total, {_quartiles(r)} FROM good GROUP BY lang, source),
@@ -107,4 +161,11 @@ def _spread(rate: str) -> str:
     return f"{REACH} * greatest(q[2] - q[1], {RATES[rate][1]})"
 
 
-ORACLE = {"op3_lines": LINES, "op6_suffixes": SUFFIXES, "op8_rules": _rules()}
+ORACLE = {
+    "op3_lines": LINES,
+    "op6_suffixes": SUFFIXES,
+    "op8_rules": _rules(),
+    "op11_jaccard": JACCARD,
+    "op12_negatives": NEGATIVES,
+    "op13_ranked": RANKED,
+}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrank.llm import bpe, decontaminate, lines, pii, quality, rules, simhash, suffixes, toxicity, viterbi
+from refrank.llm import bpe, decontaminate, jaccard, lines, negatives, pii, quality, ranked, rules, simhash, suffixes, toxicity, viterbi
 from refrank.llm.base import read
 from refrank.llm.oracle import ORACLE as ORACLE
 
@@ -63,10 +63,23 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, d, "documents"), read(spark, d, "labels"))
 
 
+def op11_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.jaccard_groups(read(spark, d, "documents")).drop("row_key")
+
+
+def op12_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, d, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return ranked.ranked_search(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_pii, op3_lines, op4_decontaminate, op5_quality, op6_suffixes, op7_bpe, op8_rules,
-        op9_token_counts, op10_toxicity,
+        op9_token_counts, op10_toxicity, op11_jaccard, op12_negatives, op13_ranked,
     )
 }
