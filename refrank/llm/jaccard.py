@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,10 @@ WORDS = 3
 PERCENT = 90
 BAND = 1.25  # largest size of a band over its smallest
 SPARE = 10  # one more segment than needed for so many; what a probe may leave out
-HOT = 256
+HOT = 1024
 RUN = 1 << 20  # rows of a segment that are counted; more are only known to be so many
 BLOCK = 512
+SMALL = 32  # members of a bucket whose hopeful pairs go straight to verification
 SKETCH = 256  # bits
 FILTER = 1 << 22  # positions of a row or digest filter
 SEG = 24  # bits of a slot that number the segment
@@ -340,21 +341,30 @@ def neighbours(docs: DataFrame, classes: DataFrame, wide: DataFrame, words: int,
     shared = docs.sparkSession.sparkContext.broadcast(_filter(asked.select(F.col("sig").alias("v"))))  # FILTER bits
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        octets, wanted = shared.value, spots.value
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for cid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = shingle_hashes(text, words)
-                if len(h) and bands(percent)[probed(len(h), percent)[0]][2]:
-                    band = probed(len(h), percent)[0]
-                    seg, sums = segments(h, band, percent)
-                    sigs = np.concatenate([digests(sums, band, np.arange(len(sums)), 1), digests(sums[seg] - h, band, seg, 2)])
-                    sigs = sigs.view(np.int64)
-                    sigs = sigs[_passes(shared.value, sigs)]
-                    if len(sigs):
-                        yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([key] * len(sigs))], ["sig", "row_key"])
-
-    key = row_key(F.col("doc_id"), F.col("text"))
-    rows = id_text(docs).select(key.alias("row_key"), "text").mapInArrow(answer, "sig long, row_key string")
-    held = rows.join(classes.select("cid", "row_key"), "row_key").select("sig", "cid").distinct()
+                band = probed(len(h), percent)[0]
+                mine = wanted[band]
+                seg, sums = segments(h, band, percent)
+                at = np.flatnonzero(np.isin(seg, mine))
+                sigs = np.concatenate([digests(sums[mine], band, mine, 1), digests(sums[seg[at]] - h[at], band, seg[at], 2)])
+                sigs = np.unique(sigs).view(np.int64)
+                sigs = sigs[_passes(octets, sigs)]
+                if len(sigs):
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.full(len(sigs), cid))], ["sig", "cid"])
+
+    # only sets of the bands asked for can answer, with the segments asked for
+    by_band: dict[int, set[int]] = {}
+    for r in wide.join(classes.select("cid", "n"), "cid").select("n", "slot").distinct().toLocalIterator():
+        by_band.setdefault(probed(r.n, percent)[r.slot >> SEG], set()).add(r.slot & (1 << SEG) - 1)
+    spots = docs.sparkSession.sparkContext.broadcast(  # at most the segments of the bands
+        {k: np.array(sorted(v), np.int64) for k, v in by_band.items()}
+    )
+    sizes = [(F.col("n") >= bands(percent)[k][0]) & (F.col("n") <= bands(percent)[k][1]) for k in by_band]
+    able = classes.where(reduce(lambda x, y: x | y, sizes))
+    held = class_texts(docs, classes, able).mapInArrow(answer, "sig long, cid long")
     of_class = classes.select("cid", "n", "sketch")
     probes = asked.distinct().join(of_class, "cid").select("sig", "cid", "n", "sketch", F.lit(True).alias("probe"), F.lit(False).alias("indexed"))
     index = held.join(of_class, "cid").select("sig", "cid", "n", "sketch", F.lit(False).alias("probe"), F.lit(True).alias("indexed"))
@@ -440,10 +450,32 @@ def cross_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
             yield p, other
 
 
+def short_pairs(t: pa.Table, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hopeful pairs of rows of short groups, all groups at once: row against row at distance 1, 2, ..."""
+    n, probe, indexed, comp = (t[c].to_numpy() for c in ("n", "probe", "indexed", "comp"))
+    marks, found = _marks(t["sketch"]), []
+    at = np.arange(len(group))
+    for step in range(1, len(group)):
+        at = at[: np.searchsorted(at, len(group) - step)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        other = at + step
+        ok = (probe[at] & indexed[other] | probe[other] & indexed[at]) & (comp[at] != comp[other])
+        hit = at[ok]
+        hit = hit[may_link(n, marks, hit, hit + step, percent)]
+        found.append((hit, hit + step))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def across(members: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """(a, b): links that join components of ``roots`` (node, root) inside a bucket.
 
-    A bucket of more than ``block`` members is split by class; every pair of parts is a group of its own."""
+    A bucket of more than ``block`` members is split by class; every pair of parts is a group of its own. Groups
+    of ``SMALL`` members or fewer give their hopeful pairs to :func:`verified`; a larger one is verified in a
+    task of its own that keeps components and compares no two members it knows to be connected."""
     rooted = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     rooted = materialise(rooted.withColumn("comp", F.coalesce("root", "cid")).drop("root"))
     live = (
@@ -454,51 +486,74 @@ def across(members: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataF
     )
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = (
-        rooted.join(live, "sig")
-        .withColumn("part", part)
-        .withColumn("other", other)
-        .withColumn("i", F.least("part", "other"))
-        .withColumn("j", F.greatest("part", "other"))
-        .drop("parts", "part", "other")
-    )
+    split = rooted.join(live, "sig").withColumn("part", part).withColumn("other", other)
+    # two groups with one hash would only be compared needlessly
+    group = F.xxhash64("sig", F.least("part", "other"), F.greatest("part", "other")).alias("group")
+    fields = ["cid", "n", "sketch", "probe", "indexed", "comp"]
+    shape = "group long, cid long, n long, sketch binary, probe boolean, indexed boolean, comp long"
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, "group"):
+            t = t.combine_chunks()
+            cuts = _cuts(t["group"].to_numpy())
+            size = np.repeat(np.diff(cuts), np.diff(cuts))
+            few = t.take(pa.array(np.flatnonzero(size <= SMALL)))
+            a, b = short_pairs(few, few["group"].to_numpy(), percent)
+            if len(a):
+                pairs = few.take(pa.array(a)).append_column("other", few["cid"].take(pa.array(b)))
+                yield from pairs.combine_chunks().to_batches(max_chunksize=1 << 15)
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if y - x > SMALL:
+                    own = t.slice(x, y - x)
+                    seen = np.zeros(y - x, bool)
+                    for p, others in cross_pairs(own, percent):
+                        seen[p] = seen[others] = True
+                    left = own.take(pa.array(np.flatnonzero(seen)))
+                    yield from left.append_column("other", pa.nulls(left.num_rows, pa.int64())).combine_chunks().to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, "group"):
+            t = t.combine_chunks()
+            cuts = _cuts(t["group"].to_numpy())
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                out = joining(t.slice(x, y - x), words, percent)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out])], ["a", "b"])
+
+    ordered = split.select(group, *fields).repartition("group").sortWithinPartitions("group")
+    found = materialise(ordered.mapInArrow(hopeful, shape + ", other long"))
+    pairs = found.where("other is not null").select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b"))
+    short = verified(materialise(pairs.distinct()), docs, classes, words, percent)
+    left = found.where("other is null").select("group", *fields)
+    texts = class_texts(docs, classes, left)
+    long = left.join(texts, "cid").repartition("group").sortWithinPartitions("group", "cid")
+    return short.union(long.select("group", *fields, "text").mapInArrow(link, "a long, b long").distinct())
 
-    def hopeful(t: pa.Table) -> pa.Table:
-        seen = np.zeros(t.num_rows, bool)
-        for p, other in cross_pairs(t, percent):
-            seen[p] = seen[other] = True
-        return t.take(pa.array(np.flatnonzero(seen)))
 
-    shape = MEMBER + ", comp long, i int, j int"
-    ordered = split.select("sig", "cid", "n", "sketch", "probe", "indexed", "comp", "i", "j")
-    left = materialise(ordered.groupBy("sig", "i", "j").applyInArrow(hopeful, shape))
-    texts = class_texts(docs, classes, left)
+def joining(t: pa.Table, words: int, percent: int) -> list[tuple[int, int]]:
+    """Verified links of one group that join two components; members known to be connected are not compared."""
+    cid, comp, text = t["cid"].to_pylist(), t["comp"].to_pylist(), t["text"]
+    sets: dict[int, set] = {}
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
 
-    def join(t: pa.Table) -> pa.Table:
-        cid, comp, text = t["cid"].to_pylist(), t["comp"].to_pylist(), t["text"]
-        sets: dict[int, set] = {}
-        root: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
-
-        def of(k: int) -> set:
-            if k not in sets:
-                sets[k] = shingle_set(text[k].as_py(), words)
-            return sets[k]
-
-        out = []
-        for p, other in cross_pairs(t, percent):
-            for s in other.tolist():
-                x, y = top(comp[p]), top(comp[s])
-                if x != y and linked(of(p), of(s), percent):
-                    root[max(x, y)] = min(x, y)
-                    out.append((cid[p], cid[s]))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-    return left.join(texts, "cid").groupBy("sig", "i", "j").applyInArrow(join, "a long, b long").distinct()
+    def of(k: int) -> set:
+        if k not in sets:
+            sets[k] = shingle_set(text[k].as_py(), words)
+        return sets[k]
+
+    out = []
+    for p, other in cross_pairs(t, percent):
+        for s in other.tolist():
+            x, y = top(comp[p]), top(comp[s])
+            if x != y and linked(of(p), of(s), percent):
+                root[max(x, y)] = min(x, y)
+                out.append((cid[p], cid[s]))
+    return out
 
 
 def jaccard_groups(
