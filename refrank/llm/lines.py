@@ -1,70 +1,140 @@
-"""Substring deduplication by line hashing.
-
-Every line is normalised (lower case, white space runs to one blank, digits kept), lines of ``min_words``
-words or more are digested, digests are grouped over the whole corpus, and the earliest occurrence, by
-(doc_id, character offset), stays. All later ones are cut, with their offsets in the original text kept.
+"""Substring deduplication by hashing lines and clauses.
+
+A text is cut into pieces twice: at line ends, and at punctuation followed by white space, where a line break is
+white space like any other. From every piece on, a unit is the shortest run of pieces of one kind with ``MIN_WORDS``
+words or ``MIN_CHARS`` characters, so that short lines and clauses count with their neighbours. Units are normalised (lower
+case, white space runs to one blank), digested and grouped over the whole corpus; the earliest occurrence of
+each, by (doc_id, row, character offset), stays. The union of all later ones is cut, with the offsets in the
+original text kept. A passage that recurs in mid-line or with other line breaks shares its clauses; what is not
+found of it is the part of a clause at either end.
+
+Most units occur once, so a first pass only counts 64-bit hashes of units, and the second ships the 128-bit digests
+and places of those whose hash falls on a repeated one, by a filter of fixed size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrank.llm.base import LONG_MAX, id_text, row_key
+from refrank.llm.base import LONG_MAX, id_text, materialise, row_key
 
 MIN_WORDS = 8
+MIN_CHARS = 64
+FILTER_BITS = 1 << 26
+SEGMENT = 1 << 16
+
+# White space as str.split has it, marks that end a clause before white space, marks that always do.
+BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+MARKS, WIDE_MARKS = ".,;:!?…", "。！？、，；："
+LINE_END = re.compile(r"\n")
+CLAUSE_END = re.compile(f"[{MARKS}]+[{BLANK}]+|[{WIDE_MARKS}]+[{BLANK}]*")
 
 
-def line_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of every line long enough; the end takes in the line break."""
+def pieces(text: str, end: re.Pattern[str]) -> list[tuple[int, str]]:
+    """(start, normalised text) of every piece with a word."""
     out, at = [], 0
-    for line in text.split("\n"):
-        end = at + len(line)
-        words = line.lower().split()
-        if len(words) >= min_words:
-            digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            out.append((at, min(end + 1, len(text)), digest))
-        at = end + 1
+    for m in end.finditer(text):
+        words = text[at : m.end()].lower().split()
+        if words:
+            out.append((at, " ".join(words)))
+        at = m.end()
+    words = text[at:].lower().split()
+    if words:
+        out.append((at, " ".join(words)))
     return out
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(rank, row_key, digest, start, stop) per unit; ``rank`` is the doc_id, NULL after every id."""
+def runs(text: str, end: re.Pattern[str], min_words: int, min_chars: int) -> Iterator[tuple[int, int, str]]:
+    """(start, stop, normalised text) of the shortest run from every piece on that is long enough.
+
+    A run stops where the next piece with a word starts. Blanks between pieces count for nothing."""
+    found = pieces(text, end)
+    words = np.cumsum([0] + [p.count(" ") + 1 for _, p in found])
+    chars = np.cumsum([0] + [len(p) for _, p in found])
+    last = np.minimum(np.searchsorted(words, words[:-1] + min_words), np.searchsorted(chars, chars[:-1] + min_chars))
+    for i, z in enumerate(last.tolist()):
+        if z > len(found):
+            return
+        stop = found[z][0] if z < len(found) else len(text)
+        yield found[i][0], stop, found[i][1] if z == i + 1 else " ".join(p for _, p in found[i:z])
+
+
+def text_units(text: str, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, bytes]]:
+    """(start, stop, normalised text in UTF-8 after a byte for its kind) of all units of a text."""
+    for kind, end in ((b"l", LINE_END), (b"c", CLAUSE_END)):
+        for start, stop, unit in runs(text, end, min_words, min_chars):
+            yield start, stop, kind + unit.encode("utf-8", "surrogatepass")
+
+
+def repeated_hashes(docs: DataFrame, min_words: int, min_chars: int, bits: int) -> np.ndarray:
+    """Packed filter of ``bits`` positions: those of the 64-bit hashes that more than one unit has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = b.column(0), b.column(1)
-            row, start, stop, digest = [], [], [], []
+            hashes = [xxhash.xxh3_64_intdigest(u) for t in b.column(0).to_pylist() for *_, u in text_units(t, min_words, min_chars)]
+            different, times = np.unique(np.array(hashes, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(different.view(np.int64)), pa.array(times.astype(np.int32))], ["h", "n"])
+
+    def pack(group: pa.Table) -> pa.Table:
+        octets = np.zeros(SEGMENT, np.uint8)
+        octets[group["p"].to_numpy() % SEGMENT] = 1
+        return pa.table({"s": group["s"].slice(0, 1), "octets": pa.array([np.packbits(octets, bitorder="little").tobytes()])})
+
+    again = id_text(docs).select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    spots = again.select(F.pmod("h", F.lit(bits)).alias("p")).distinct().withColumn("s", F.expr(f"p div {SEGMENT}"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in spots.groupBy("s").applyInArrow(pack, "s long, octets binary").toLocalIterator():  # bits / 8 bytes in all
+        out[r.s * SEGMENT // 8 : (r.s + 1) * SEGMENT // 8] = np.frombuffer(bytes(r.octets), np.uint8)
+    return out
+
+
+def units(docs: DataFrame, passing: np.ndarray, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(rank, row, digest, start, stop) of the units that may recur; ``rank`` is the doc_id, NULL after every id."""
+    shared = docs.sparkSession.sparkContext.broadcast(passing)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        octets = shared.value
+        bits = 8 * len(octets)
+        for b in batches:
+            row, start, stop, text = [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
-                for a, z, d in line_units(t, min_words):
+                for a, z, u in text_units(t, min_words, min_chars):
                     row.append(k)
                     start.append(a)
                     stop.append(z)
-                    digest.append(d)
-            at = pa.array(np.array(row, np.int64))
+                    text.append(u)
+            h = np.array([xxhash.xxh3_64_intdigest(u) for u in text], np.uint64).view(np.int64) % bits
+            left = np.flatnonzero((octets[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
+            at = pa.array(np.array(row, np.int64)[left])
+            digest = [hashlib.blake2b(text[k], digest_size=16).digest() for k in left.tolist()]
+            place = [pa.array(np.array(x, np.int32)[left]) for x in (start, stop)]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(at), keys.take(at), pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())],
-                ["rank", "row_key", "digest", "start", "stop"],
+                [b.column(0).take(at), b.column(1).take(at), pa.array(digest, pa.binary()), *place],
+                ["rank", "row", "digest", "start", "stop"],
             )
 
-    rows = id_text(docs).select(
-        F.coalesce("doc_id", F.lit(LONG_MAX)).alias("rank"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text"
-    )
-    return rows.mapInArrow(run, "rank long, row_key string, digest binary, start int, stop int")
+    key = F.unhex(row_key(F.col("doc_id"), F.col("text")))
+    rows = id_text(docs).select(F.coalesce("doc_id", F.lit(LONG_MAX)).alias("rank"), key.alias("row"), "text")
+    return rows.mapInArrow(run, "rank long, row binary, digest binary, start int, stop int")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row_key, spans array<struct<start, stop>>): the units of each distinct row that are cut.
+def repeated_spans(
+    docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS
+) -> DataFrame:
+    """(row, spans array<struct<start, stop>>): the units of each distinct row that are cut.
 
     Occurrences of a digest are counted and their minimum taken with map-side combining; only digests that
-    occur again go back to their units, by a join that adaptive execution can split on a hot line."""
-    found = units(docs, min_words)
-    place = F.struct("rank", "row_key", "start")
+    occur again go back to their units, by a join that adaptive execution can split on a hot unit."""
+    found = materialise(units(docs, repeated_hashes(docs, min_words, min_chars, bits), min_words, min_chars))
+    place = F.struct("rank", "row", "start")
     again = (
         found.groupBy("digest")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -74,39 +144,47 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return (
         found.join(again, "digest")
         .where(place != F.col("first"))
-        .groupBy("row_key")
+        .groupBy("row")
         .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS
+) -> DataFrame:
     """(doc_id, n_chars, n_removed, n_spans, removed array<struct<start, stop>>, text) per input row.
 
-    Offsets are characters of the original text, half open; ``text`` is what stays. Identical rows (same id
-    and text) count as one occurrence and get the same result. Empty and NULL texts come back empty."""
-    rows = id_text(docs).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    Offsets are characters of the original text, half open; spans that touch are one; ``text`` is what stays.
+    Identical rows (same id and text) count as one occurrence and get the same result. Texts without a unit,
+    empty and NULL ones among them, come back whole. ``bits`` sets the work of the second pass, not results."""
+    rows = id_text(docs).withColumn("row", F.unhex(row_key(F.col("doc_id"), F.col("text"))))
+    span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, chars, gone = [], [], []
+            out, chars, gone, cuts = [], [], [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                at, parts, n = 0, [], 0
+                merged: list[dict[str, int]] = []
                 for s in spans or []:
+                    if merged and s["start"] <= merged[-1]["stop"]:
+                        merged[-1]["stop"] = max(merged[-1]["stop"], s["stop"])
+                    else:
+                        merged.append(dict(s))
+                at, parts = 0, []
+                for s in merged:
                     parts.append(text[at : s["start"]])
-                    n += s["stop"] - s["start"]
                     at = s["stop"]
                 parts.append(text[at:])
                 out.append("".join(parts))
                 chars.append(len(text))
-                gone.append(n)
+                gone.append(sum(s["stop"] - s["start"] for s in merged))
+                cuts.append(merged)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(chars, pa.int64()), pa.array(gone, pa.int64()), b.column(2), pa.array(out, pa.string())],
+                [b.column(0), pa.array(chars, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, pa.list_(span)), pa.array(out, pa.string())],
                 ["doc_id", "n_chars", "n_removed", "removed", "text"],
             )
 
-    joined = rows.join(repeated_spans(docs, min_words), "row_key", "left").select(
-        "doc_id", "text", F.coalesce("spans", F.expr("array()").cast("array<struct<start:int,stop:int>>")).alias("removed")
-    )
+    joined = rows.join(repeated_spans(docs, min_words, min_chars, bits), "row", "left").select("doc_id", "text", "spans")
     done = joined.mapInArrow(
         cut, "doc_id long, n_chars long, n_removed long, removed array<struct<start:int,stop:int>>, text string"
     )

@@ -1,8 +1,10 @@
 """DuckDB SQL of the corpus operators whose results plain SQL can express, written apart from their method:
-order statistics instead of sketches, whole lines instead of digests, windows instead of suffix arrays."""
+order statistics instead of sketches, units as text instead of digests, windows instead of suffix arrays."""
 
 from __future__ import annotations
 
+from refrank.llm.lines import MARKS, WIDE_MARKS
+from refrank.llm.lines import MIN_CHARS as LINE_CHARS
 from refrank.llm.lines import MIN_WORDS as LINE_WORDS
 from refrank.llm.rules import MAX_REPEAT_PERCENT, MIN_ROWS, MIN_WORDS, RATES, REACH
 from refrank.llm.suffixes import LENGTH
@@ -14,25 +16,39 @@ SYMBOL = r"[#*$%&|<>]"
 
 LINES = rf"""
 WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM docs),
-nth AS (SELECT doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut),
-line AS (SELECT doc_id, text, i, parts[i] AS line, i = len(parts) AS last,
-                trim(regexp_replace(lower(parts[i]), '{BLANKS}', ' ', 'g'), ' ') AS unit FROM nth),
-placed AS (SELECT *, sum(length(line) + CASE WHEN last THEN 0 ELSE 1 END)
-                     OVER (PARTITION BY doc_id, text ORDER BY i) AS stop,
-                  length(line) + CASE WHEN last THEN 0 ELSE 1 END AS n,
-                  unit <> '' AND len(string_split(unit, ' ')) >= {LINE_WORDS} AS counts FROM line),
-judged AS (SELECT *, counts AND row_number() OVER (
-                     PARTITION BY counts, unit
-                     ORDER BY doc_id NULLS LAST, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || text), i) > 1 AS gone
-           FROM placed),
-done AS (SELECT doc_id, text, sum(n) FILTER (gone) AS n_removed, count(*) FILTER (gone) AS n_spans,
-                list({{'start': (stop - n)::INTEGER, 'stop': stop::INTEGER}} ORDER BY i) FILTER (gone) AS removed,
-                string_agg(line || CASE WHEN last THEN '' ELSE chr(10) END, '' ORDER BY i) FILTER (NOT gone) AS rest
-         FROM judged GROUP BY doc_id, text)
-SELECT d.doc_id, length(coalesce(d.text, '')) AS n_chars, coalesce(n_removed, 0)::BIGINT AS n_removed, n_spans,
-       coalesce(to_json(removed)::VARCHAR, '[]') AS removed, coalesce(rest, '') AS text
-FROM documents d JOIN done ON d.doc_id IS NOT DISTINCT FROM done.doc_id AND coalesce(d.text, '') = done.text
+cut AS (SELECT 'l' AS kind, doc_id, text, string_split(regexp_replace(text, '(\n)', '\1' || chr(1), 'g'), chr(1)) AS parts FROM docs
+        UNION ALL SELECT 'c', doc_id, text, string_split(regexp_replace(text,
+          '([{MARKS}]+{BLANKS}|[{WIDE_MARKS}]+{BLANKS.rstrip("+")}*)', '\1' || chr(1), 'g'), chr(1)) FROM docs),
+nth AS (SELECT kind, doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS k FROM cut),
+placed AS (SELECT kind, doc_id, text, k, (sum(length(parts[k])) OVER (PARTITION BY kind, doc_id, text ORDER BY k))::BIGINT - length(parts[k]) AS start,
+                trim(regexp_replace(lower(parts[k]), '{BLANKS}', ' ', 'g'), ' ') AS p FROM nth),
+piece AS (SELECT kind, doc_id, text, start, p, row_number() OVER own AS i, coalesce(lead(start) OVER own, length(text)) AS stop,
+                 sum(len(string_split(p, ' '))) OVER own AS words, sum(length(p)) OVER own AS chars,
+                 len(string_split(p, ' ')) AS w, length(p) AS c
+          FROM placed WHERE p <> '' WINDOW own AS (PARTITION BY kind, doc_id, text ORDER BY k)),
+reach AS (SELECT a.kind, a.doc_id, a.text, a.i, a.start, min(b.i) AS j
+          FROM piece a JOIN piece b ON a.kind = b.kind AND a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.text = b.text
+            AND b.i BETWEEN a.i AND a.i + {LINE_WORDS}
+          WHERE b.words - a.words + a.w >= {LINE_WORDS} OR b.chars - a.chars + a.c >= {LINE_CHARS}
+          GROUP BY a.kind, a.doc_id, a.text, a.i, a.start),
+unit AS (SELECT r.kind, r.doc_id, r.text, r.start, max(b.stop) AS stop, string_agg(b.p, ' ' ORDER BY b.i) AS unit
+         FROM reach r JOIN piece b ON r.kind = b.kind AND r.doc_id IS NOT DISTINCT FROM b.doc_id AND r.text = b.text
+           AND b.i BETWEEN r.i AND r.j GROUP BY r.kind, r.doc_id, r.text, r.i, r.start),
+judged AS (SELECT *, row_number() OVER (PARTITION BY kind, unit
+                     ORDER BY doc_id NULLS LAST, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || text), start) > 1 AS gone FROM unit),
+spans AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, text ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM judged WHERE gone),
+islands AS (SELECT *, sum(CASE WHEN before >= start THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, text ORDER BY start, stop) AS n FROM spans),
+merged AS (SELECT doc_id, text, n, min(start) AS start, max(stop) AS stop FROM islands GROUP BY doc_id, text, n),
+kept AS (SELECT *, substr(text, coalesce(lag(stop) OVER own, 0) + 1, start - coalesce(lag(stop) OVER own, 0)) AS rest,
+                lead(start) OVER own IS NULL AS last FROM merged WINDOW own AS (PARTITION BY doc_id, text ORDER BY start)),
+done AS (SELECT doc_id, text, sum(stop - start) AS n_removed, count(*) AS n_spans,
+                list({{'start': start::INTEGER, 'stop': stop::INTEGER}} ORDER BY start) AS removed,
+                string_agg(rest || CASE WHEN last THEN substr(text, stop + 1) ELSE '' END, '' ORDER BY start) AS rest
+         FROM kept GROUP BY doc_id, text)
+SELECT d.doc_id, length(coalesce(d.text, '')) AS n_chars, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       coalesce(to_json(removed)::VARCHAR, '[]') AS removed, coalesce(rest, d.text, '') AS text
+FROM documents d LEFT JOIN done ON d.doc_id IS NOT DISTINCT FROM done.doc_id AND coalesce(d.text, '') = done.text
 """
 
 SUFFIXES = f"""
@@ -65,9 +81,9 @@ gram AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3
          ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM docs),
 size AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
 sized AS (SELECT r, s, n FROM gram JOIN size USING (r)),
-pair AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS both
+pair AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS common
          FROM sized a JOIN sized b ON a.s = b.s AND a.r < b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.r, b.r),
-link AS (SELECT a, b FROM pair WHERE 100 * both >= 90 * (m + n - both)),
+link AS (SELECT a, b FROM pair WHERE 100 * common >= 90 * (m + n - common)),
 both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(r, other) AS (SELECT r, r FROM docs UNION SELECT reach.r, b FROM reach JOIN both_ways ON other = a),
 least AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = other GROUP BY reach.r)

@@ -262,30 +262,91 @@ def test_secrets_in_capitals_and_after_blanks_and_quotes(spark):
 # ------------------------------------------------------------------ 3 lines
 
 
-def test_line_dedup_equals_brute_force(docs, texts):
-    seen, want = set(), {}
-    for i in sorted(texts):
-        at, spans = 0, []
-        for line in texts[i].split("\n"):
-            words = line.lower().split()
-            if len(words) >= lines.MIN_WORDS:
-                if tuple(words) in seen:
-                    spans.append((at, min(at + len(line) + 1, len(texts[i]))))
-                seen.add(tuple(words))
-            at += len(line) + 1
-        want[i] = spans
-    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+CLAUSES = re.compile(r"[.,;:!?…]+\s+|[。！？、，；：]+\s*")
+
+
+def slow_spans(all_texts):
+    """{doc_id: merged spans}, unit by unit: runs of lines and of clauses, the first occurrence of each stays."""
+    seen, out = set(), {}
+    for i in sorted(all_texts):
+        text, gone = all_texts[i], set()
+        here = []
+        for kind, ends in (("l", [m.end() for m in re.finditer("\n", text)]), ("c", [m.end() for m in CLAUSES.finditer(text)])):
+            cuts = [0, *ends, len(text)]
+            parts = [(a, " ".join(text[a:z].lower().split())) for a, z in zip(cuts, cuts[1:], strict=False)]
+            parts = [p for p in parts if p[1]]
+            for k in range(len(parts)):
+                for z in range(k + 1, len(parts) + 1):
+                    run = [p for _, p in parts[k:z]]
+                    if len(" ".join(run).split(" ")) >= lines.MIN_WORDS or sum(map(len, run)) >= lines.MIN_CHARS:
+                        here.append((parts[k][0], parts[z][0] if z < len(parts) else len(text), kind + " ".join(run)))
+                        break
+        for a, z, unit in sorted(here):
+            if unit in seen:
+                gone.update(range(a, z))
+            seen.add(unit)
+        spans, marks = [], sorted(gone)
+        for c in marks:
+            if spans and spans[-1][1] == c:
+                spans[-1][1] = c + 1
+            else:
+                spans.append([c, c + 1])
+        out[i] = [tuple(s) for s in spans]
+    return out
+
+
+@pytest.mark.parametrize("bits", [lines.FILTER_BITS, lines.SEGMENT])
+def test_line_dedup_equals_brute_force(docs, texts, bits):
+    want = slow_spans(texts)
+    got = {r.doc_id: r for r in lines.dedup_lines(docs, bits=bits).collect()}
     assert {i: [tuple(s) for s in r.removed] for i, r in got.items()} == want
     assert any(want.values())
     for i, r in got.items():
         gone = "".join(texts[i][a:z] for a, z in want[i])
         assert len(r.text) == len(texts[i]) - len(gone) and r.n_removed == len(gone)
+        assert r.n_spans == len(want[i])
+
+
+def test_line_dedup_catches_passages_in_mid_line_and_rewrapped(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        out = []
+        for k in range(n):
+            out.append(rng.choice(vocabulary) + (rng.choice(".,") if rng.random() < 0.15 or k == n - 1 else ""))
+        return out
+
+    passages = [prose(rng.randint(55, 90)) for _ in range(30)]
+    rows, planted = [], {}
+    for k, passage in enumerate(passages):
+        rows.append((k, " ".join(prose(40) + passage + prose(40))))
+        middle = " ".join(prose(33)[:-1] + ["so"] + passage + prose(25))
+        words = prose(30) + passage + prose(30)
+        wrapped = "\n".join(" ".join(words[a : a + 11]) for a in range(0, len(words), 11))
+        rows += [(100 + k, middle), (200 + k, wrapped)]
+        planted[100 + k] = planted[200 + k] = len(" ".join(passage))
+    rows += [(1000 + k, " ".join(prose(150))) for k in range(50)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shares = [got[i] / n for i, n in planted.items()]
+    assert min(shares) > 0.3 and sum(shares) / len(shares) > 0.8
+    assert not any(got[1000 + k] for k in range(50)) and not any(got[k] for k in range(30))
+
+
+def test_line_dedup_short_lines_and_scripts_without_blanks(spark):
+    poem = "the fog\ncomes on\nlittle cat feet\nit sits\nlooking over\nharbor"
+    chinese = "我们今天去公园散步看到了很多漂亮的花和树木，孩子们在草地上快乐地奔跑玩耍，老人们坐在长椅上聊天下棋，天气晴朗微风吹来让人心情舒畅非常愉快。"
+    rows = [(1, poem), (2, "some other words before it all\n" + poem), (3, chinese), (4, "前言部分不同的内容在这里。" + chinese), (5, "the fog")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == poem and got[3] == chinese and got[5] == "the fog"
+    assert "little cat feet" not in got[2] and "老人们" not in got[4] and got[4].startswith("前言")
 
 
 def test_line_dedup_awkward(awkward):
     rows = lines.dedup_lines(awkward).collect()
     assert len(rows) == len(AWKWARD)
-    assert sorted(r.n_spans for r in rows) == [0] * 10 + [1]  # only doc 6 repeats a line of another row
+    # doc 6 repeats a line of another row; doc 7 repeats nothing
+    assert sorted(r.n_spans for r in rows) == [0] * 10 + [1]
     assert lines.dedup_lines(awkward.where("false")).count() == 0
 
 
