@@ -191,7 +191,7 @@ def build_index(rows: DataFrame, dim: int, total: int) -> Index:
     spot = F.xxhash64("vec_id", "label")
     share = F.pmod(spot, F.lit(1 << 20)) < 1 + (SAMPLE << 22) // max(1, total)  # about 4 * SAMPLE rows are ordered
     sample = rows.where(share).orderBy(spot, "vec_id").limit(SAMPLE).select("q").toPandas()
-    points = np.array(sample["q"].tolist(), np.float64).reshape(-1, dim)
+    points = np.array(sample["q"].tolist() or [[0.0] * dim], np.float64).reshape(-1, dim)
     leaf_sample = max(LEAF_SAMPLE, len(points) * LEAF_ROWS // max(1, total))
     tree = fit_tree(points, leaf_sample)
 

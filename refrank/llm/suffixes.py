@@ -35,7 +35,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrank.llm.base import LONG_MAX
+from refrank.llm.base import LONG_MAX, materialise
+from refrank.operators.ranking import global_row_number
 
 LENGTH = 50
 GRAM = 16
@@ -528,6 +529,21 @@ def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
     )
 
 
+def _tagged(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, rank, text) with ``tag``: 31 bits of a hash, and a number of their own below zero for different
+    texts of one rank (a NULL or repeated doc_id) whose hashes collide. Equal rows share a tag."""
+    hashed = rows.withColumn("tag", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33).cast("int"))
+    hashed = hashed.withColumn("key", F.md5("text"))
+    sides = hashed.groupBy("rank", "tag").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    clash = materialise(sides.where("low <> high").select("rank", "tag"))
+    if not clash.limit(1).count():
+        return hashed.drop("key")
+    texts = hashed.select("rank", "tag", "key").join(clash, ["rank", "tag"]).distinct()
+    own = global_row_number(texts, ["rank", "tag", "key"], "nth").select("rank", "tag", "key", (-F.col("nth")).cast("int").alias("own"))
+    tag = F.coalesce("own", "tag").alias("tag")
+    return hashed.join(materialise(own), ["rank", "tag", "key"], "left").select("doc_id", "rank", "text", tag)
+
+
 def repeated_bytes(
     docs: DataFrame, filter_bits: int = FILTER_BITS, bucket_bytes: int = BUCKET_BYTES, hot_records: int = HOT_RECORDS
 ) -> DataFrame:
@@ -542,7 +558,8 @@ def repeated_bytes(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LONG_MAX)).alias("rank"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).select("*", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33).cast("int").alias("tag"))
+    )
+    rows = _tagged(rows)
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(LEAST_BUCKETS, total // bucket_bytes)
     hot = max(hot_records, HOT_PER_PART * (total // FLUSH_BYTES))

@@ -738,3 +738,22 @@ def test_ties_go_to_the_longest_piece():
     counter = viterbi.Counter([("a", -2.0), ("bc", -6.0), ("abc", -8.0), ("b", -50.0), ("c", -50.0)])
     assert counter.run("abc") == (1, -8.0)
     assert counter.run("abcbc") == (2, -14.0)
+
+
+def test_suffix_rows_with_colliding_tags_keep_their_bytes(spark):
+    """Texts without an id whose 31-bit tags collide: one repeats a passage, the other repeats nothing."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(80))
+    other = "".join(rng.choice("klmnopqrst ") for _ in range(120))
+    tag = lambda text: xxhash.xxh64_intdigest(text.encode(), 42) >> 33  # noqa: E731  as Spark hashes a NULL and a text
+    first = {tag(f"{passage}{k}"): f"{passage}{k}" for k in range(150_000)}
+    hits = [(first[tag(t)], t) for t in (f"{other}{k}" for k in range(150_000)) if tag(t) in first]
+    assert hits
+    rows = [(1, passage), *[(None, t) for pair in hits[:3] for t in pair], (2, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tags = df.where("doc_id is null").select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33).alias("t"))
+    assert tags.distinct().count() == len(hits[:3])  # they do collide
+    got = suffixes.repeated_bytes(df).collect()
+    removed = sorted((r.n_bytes, r.n_removed) for r in got)
+    want = sorted((len(t), 80 if i is None and t.startswith(passage) else 0) for i, t in rows)
+    assert removed == want
