@@ -1,16 +1,20 @@
 """Benchmark passages in documents, under edits.
 
-Texts are sequences of lower-cased words. An item of L words is found where some stretch of a document is
-within ``floor(TOLERANCE * L)`` word edits of it.
-
-* Seeds: an item with d edits allowed is cut into d + 1 pieces of 3 words or more. An edit touches one piece
-  at most, so every stretch within d edits holds one piece unchanged, and its start is within d words of
-  where that piece puts the item's start. Runs of words that equal a piece's head are candidates.
-* Pairs: by the q-gram lemma such a stretch also shares at least L - 1 - 2 d word pairs with the item;
-  candidates whose surroundings hold fewer are passed over.
-* What is left is checked with the exact edit distance to the best stretch around it.
-
-Neither bound loses a match, wherever the edits lie.
+Texts are sequences of lower-cased words (of single characters for items that hold few blanks). An item of L
+words is found where some stretch of a document is within ``floor(TOLERANCE * L)`` word edits of it.
+
+* The CGK embedding walks a sequence with random bits: step j emits the current word and moves on if the bit
+  of (j, word) is set. Two sequences at a small edit distance walk in step again after an edit with good odds, so
+  their embeddings are close in Hamming distance. A walk over a whole item takes about 2 L steps; it starts
+  at ``STARTS`` places of the item, so that edits at the front spoil some walks only.
+* Bit-sampling LSH takes ``SAMPLED`` steps of an embedding as a signature. ``REPEATS`` independent walks, their
+  samples drawn from the first steps of the walk, from more of them or from all in turn, reach the target
+  recall; equal signatures of an item's walk and of a walk from a word of a document are candidates, and there are no others.
+* By the q-gram lemma a match shares at least L - 1 - 2 d word pairs with the item. Stretches with fewer pairs of
+  the benchmark are not walked, and candidates with fewer pairs of their item not verified; that loses nothing.
+* Every candidate left is checked with the exact edit distance to the best stretch around it.
+
+Items under ``MIN_WORDS`` words allow one edit at most; they are looked for in one piece or the other half.
 """
 
 from __future__ import annotations
@@ -28,12 +32,19 @@ from pyspark.sql import functions as F
 from refrank.llm.base import id_text, row_key
 
 TOLERANCE = 0.2
-MIN_WORDS = 8  # shorter items are no evidence of a leak
+MIN_WORDS = 8  # shorter items are searched exactly, by halves
+SAMPLED = 3
+REPEATS = 12
+STARTS = 8
+NEAR = 12  # steps; an edit that comes later does not spoil a sample
+STEPS = 2  # of a walk, for each word of the shortest item of its class
 BLOCK_ITEMS = 5000  # items searched for in one pass over the documents
 BLOCK_WORDS = 1_000_000  # and their words, at most; together the bound of what is broadcast
 SEED = 20240607
 CHUNK = 1 << 20  # candidates, or words around them, looked at in one go
-WORD = re.compile(r"\w+")
+# Scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han); each character is a word.
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 
 
 def edits_allowed(n: int) -> int:
@@ -87,7 +98,7 @@ class Searcher:
 
     def __init__(self, items: list[tuple[int, str]]):
         words = [(k, WORD.findall(t.lower())) for k, t in items]
-        words = [(k, w) for k, w in words if len(w) >= MIN_WORDS]
+        words = [(k, w) for k, w in words if w]
         self.vocabulary: dict[str, int] = {}
         self.items = [
             (k, np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)) for k, w in words
@@ -102,17 +113,29 @@ class Searcher:
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         own = [k * len(self.pairs) + np.searchsorted(self.pairs, p) for k, p in enumerate(pairs)]
         self.own = np.unique(np.concatenate(own)) if own else np.empty(0, np.int64)
-        # size of the seed -> hashes in order, with the item and the seed's place in it
-        seeds: dict[int, list[tuple[int, int]]] = {}
+        # items of a size class share their walks
+        classes: dict[int, list[int]] = {}
+        short: dict[int, list[tuple[int, int]]] = {}  # words of a piece -> (item, where in it) of its pieces
         for k, (n, d) in enumerate(zip(self.length.tolist(), self.most.tolist(), strict=True)):
-            seeds.setdefault(n // (d + 1), []).extend((k, j * n // (d + 1)) for j in range(d + 1))
-        self.seeds = []
-        for q, places in sorted(seeds.items()):
-            runs = np.array([self.items[k][1][o : o + q] for k, o in places])
+            if n >= MIN_WORDS:
+                classes.setdefault(n.bit_length() - 1, []).append(k)
+            else:  # one of d + 1 pieces is unchanged
+                short.setdefault(n // (d + 1), []).extend((k, j * n // (d + 1)) for j in range(d + 1))
+        self.short = []
+        for q, places in sorted(short.items()):
             place = np.array(places, np.int64)
-            sig = self._hash([runs[:, j] for j in range(q)])
+            sig = self._hash([np.array([self.items[k][1][o + j] for k, o in places]) for j in range(q)])
             order = np.argsort(sig, kind="stable")
-            self.seeds.append((q, sig[order], place[order, 0], place[order, 1]))
+            self.short.append((q, sig[order], place[order, 0], place[order, 1]))
+        self.classes = []
+        for bits, members in sorted(classes.items()):
+            n, d = self.length[members], self.most[members]
+            steps = STEPS * int(n.min())
+            moves = rng.integers(1, 1 << 63, (REPEATS, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            part = [min(steps, (NEAR, 2 * NEAR, max(4 * NEAR, steps // 4), steps)[t % 4]) for t in range(REPEATS)]
+            sample = np.array([np.sort(rng.choice(m, SAMPLED, replace=False)) for m in part])
+            index = self._index(members, moves, sample)
+            self.classes.append((int((n - 1 - 2 * d).min()), int((n + d).max()), moves, sample, index))
 
     def _hash(self, columns: list[np.ndarray]) -> np.ndarray:
         """One number for each run of words, the j-th words in column j."""
@@ -122,6 +145,37 @@ class Searcher:
             out ^= out >> np.uint64(31)
         return out
 
+    def _signatures(self, ids: np.ndarray, starts: np.ndarray, moves: np.ndarray, sample: np.ndarray) -> np.ndarray:
+        """Sampled steps of one CGK walk from every start, as one number each; a walk rests at the end of ``ids``."""
+        at, out = starts.copy(), np.zeros(len(starts), np.uint64)
+        picked, end = set(sample.tolist()), len(ids) - 1
+        for j in range(int(sample[-1]) + 1):
+            symbol = self.symbol[ids[at]]
+            if j in picked:
+                out = (out ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(31)
+            np.minimum(at + ((symbol * moves[j]) >> np.uint64(63)).astype(np.int64), end, out=at)
+        return out
+
+    def _index(self, members: list[int], moves: np.ndarray, sample: np.ndarray):
+        """For every repeat the signatures in order, with the item and the start of each walk in it."""
+        line, starts, item, offset, at = [], [], [], [], 0
+        for k in members:
+            n = int(self.length[k])
+            places = sorted({j * n // STARTS for j in range(STARTS)})
+            starts += [at + o for o in places]
+            item += [k] * len(places)
+            offset += places
+            line += [self.items[k][1], np.zeros(1, np.int64)]  # the end: a word that no item has
+            at += n + 1
+        ids, starts, item, offset = np.concatenate(line), np.array(starts), np.array(item), np.array(offset)
+        index = []
+        for t in range(REPEATS):
+            sig = self._signatures(ids, starts, moves[t], sample[t])
+            order = np.argsort(sig, kind="stable")
+            index.append((sig[order], item[order], offset[order]))
+        return index
+
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, distance, words, start, stop): matches, offsets in characters of the text."""
         if not self.items or not texts:
@@ -142,24 +196,39 @@ class Searcher:
         pair[both[known]] = at[known]
         return self._verify(texts, ids, begin, self._regions(ids, begin, pair))
 
-    def _candidates(self, ids: np.ndarray, pair: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(item, place of a seed, where the item would start) of every seed found, in bounded parts."""
-        for q, sigs, items, offsets in self.seeds:
+    def _walked(self, ids: np.ndarray, pair: np.ndarray):
+        """(places, their signatures, signatures of items, items, offsets) of every class and repeat, and of short items."""
+        held = np.concatenate(([0], np.cumsum(pair >= 0)))
+        for need, width, moves, sample, index in self.classes:
+            # words inside a stretch that holds as many pairs of the benchmark as any item of the class needs
+            reach = np.minimum(np.arange(len(ids)) + width - 1, len(ids))
+            dense = np.flatnonzero(held[reach] - held[:-1] >= max(need, 1))
+            edge = np.bincount(dense, minlength=len(ids) + 2) - np.bincount(reach[dense] + 1, minlength=len(ids) + 2)
+            starts = np.flatnonzero((np.cumsum(edge)[: len(ids)] > 0) & (pair >= 0))
+            if len(starts):
+                for t, (sigs, items, offsets) in enumerate(index):
+                    yield starts, self._signatures(ids, starts, moves[t], sample[t]), sigs, items, offsets
+        for q, sigs, items, offsets in self.short:
             n = max(len(ids) - q + 1, 0)
             ok = ids[:n] > 0
-            for j in range(q - 1):  # a seed's pairs are pairs of the block
+            for j in range(q - 1):
                 ok &= pair[j : n + j] >= 0
             at = np.flatnonzero(ok)
-            sig = self._hash([ids[at + j] for j in range(q)])
+            yield at, self._hash([ids[at + j] for j in range(q)]), sigs, items, offsets
+
+    def _candidates(self, ids: np.ndarray, pair: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place of a walk, where the item would start) of every collision, in bounded parts."""
+        for starts, sig, sigs, items, offsets in self._walked(ids, pair):
             lo, hi = np.searchsorted(sigs, sig), np.searchsorted(sigs, sig, side="right")
-            at, lo, many = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            hit = np.flatnonzero(hi > lo)
+            at, lo, many = starts[hit], lo[hit], (hi - lo)[hit]
             ends, a = np.cumsum(many), 0
             while a < len(at):
                 z = max(int(np.searchsorted(ends, ends[a] - many[a] + CHUNK, side="right")), a + 1)
                 count = many[a:z]
-                seed = np.repeat(lo[a:z] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                spot = np.repeat(lo[a:z] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
                 place = np.repeat(at[a:z], count)
-                yield items[seed], place, place - offsets[seed]
+                yield items[spot], place, place - offsets[spot]
                 a = z
 
     def _regions(self, ids: np.ndarray, begin: np.ndarray, pair: np.ndarray) -> list[list[int]]:
@@ -241,12 +310,12 @@ FOUND = "doc_id long, row_key string, item_id long, distance int, item_words int
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, row_key, item_id, distance, item_words, start, stop): one row per stretch of a document
+    """(doc_id, row_key, item_id, distance, item_words, start, stop): one row per stretch found of a document
     within ``floor(0.2 * words)`` word edits of an item; offsets are characters of the text.
 
-    Empty and NULL texts, items under ``MIN_WORDS`` words and an empty benchmark match nothing; a repeated
-    row reports its matches again; several items may match one stretch. Documents are scanned, never
-    shuffled; the benchmark is the query set, taken in blocks of bounded size."""
+    Empty and NULL texts, items without a word and an empty benchmark match nothing; a repeated row reports
+    its matches again; several items may match one stretch. Documents are scanned, never shuffled; the benchmark
+    is the query set, taken in blocks of bounded size."""
     spark = docs.sparkSession
     rows = id_text(docs).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
     result = spark.createDataFrame([], FOUND)
