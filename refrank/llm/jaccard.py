@@ -281,7 +281,7 @@ def _filter(values: DataFrame) -> np.ndarray:
     spots = values.select((F.pmod("v", F.lit(FILTER))).cast("int").alias("v")).distinct()
     octets = spots.groupBy(F.expr("v div 8").alias("at")).agg(F.expr("bit_or(shiftleft(1, v % 8))").alias("octet"))
     out = np.zeros(FILTER // 8, np.uint8)
-    for r in octets.toLocalIterator():  # FILTER / 8 rows at most
+    for r in octets.coalesce(8).toLocalIterator():  # FILTER / 8 rows at most
         out[r.at] = r.octet
     return out
 
@@ -357,7 +357,7 @@ def neighbours(docs: DataFrame, classes: DataFrame, wide: DataFrame, words: int,
 
     # only sets of the bands asked for can answer, with the segments asked for
     by_band: dict[int, set[int]] = {}
-    for r in wide.join(classes.select("cid", "n"), "cid").select("n", "slot").distinct().toLocalIterator():
+    for r in wide.join(classes.select("cid", "n"), "cid").select("n", "slot").distinct().coalesce(8).toLocalIterator():
         by_band.setdefault(probed(r.n, percent)[r.slot >> SEG], set()).add(r.slot & (1 << SEG) - 1)
     spots = docs.sparkSession.sparkContext.broadcast(  # at most the segments of the bands
         {k: np.array(sorted(v), np.int64) for k, v in by_band.items()}
@@ -584,8 +584,10 @@ def jaccard_groups(
     if wide.limit(1).count():
         members = members.union(materialise(neighbours(docs, classes, wide, words, percent)))
     links = materialise(verified(materialise(to_first(members, percent)), docs, classes, words, percent))
-    more = across(members, star_components(links), docs, classes, words, percent, block)
-    roots = star_components(links.union(more))
+    roots = star_components(links)
+    more = materialise(across(members, roots, docs, classes, words, percent, block))
+    if more.limit(1).count():
+        roots = star_components(roots.union(more))
     rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "key", "doc_id", F.coalesce("root", "cid").alias("root")
     )
