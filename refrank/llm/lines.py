@@ -91,7 +91,8 @@ def repeated_hashes(docs: DataFrame, min_words: int, min_chars: int, bits: int)
     again = id_text(docs).select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     spots = again.select(F.pmod("h", F.lit(bits)).alias("p")).distinct().withColumn("s", F.expr(f"p div {SEGMENT}"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in spots.groupBy("s").applyInArrow(pack, "s long, octets binary").toLocalIterator():  # bits / 8 bytes in all
+    packed = spots.groupBy("s").applyInArrow(pack, "s long, octets binary")
+    for r in packed.coalesce(8).toLocalIterator():  # bits / 8 bytes in all
         out[r.s * SEGMENT // 8 : (r.s + 1) * SEGMENT // 8] = np.frombuffer(bytes(r.octets), np.uint8)
     return out
 
