@@ -587,7 +587,7 @@ def jaccard_groups(
     roots = star_components(links)
     more = materialise(across(members, roots, docs, classes, words, percent, block))
     if more.limit(1).count():
-        roots = star_components(roots.union(more))
+        roots = star_components(roots.toDF("a", "b").union(more))
     rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "key", "doc_id", F.coalesce("root", "cid").alias("root")
     )
