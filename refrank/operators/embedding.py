@@ -79,17 +79,9 @@ def embed_texts(df: DataFrame, key: str, text: str = "text", dim: int = DEFAULT_
 def sparse_rows(df: DataFrame, key: str, text: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
     """(key, counts map<bucket, count>, dd): one row per text with a token, ``dd`` its squared norm.
 
-    The texts are dealt out by key once; both groupings then find their rows in place. A map holds at
-    most ``dim`` entries."""
-    buckets = (
-        df.select(key, text)
-        .repartition(key)
-        .select(key, F.explode(segments(text)).alias("segment"))
-        .select(key, F.explode(F.split("segment", TOKEN_SPLIT)).alias("tok"))
-        .where(F.length("tok") > 0)
-        .select(key, token_bucket(F.lower("tok"), dim).alias("bucket"))
-    )
-    counts = buckets.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
+    Texts stay where they are read: what is shuffled is counts, combined before, at most ``dim`` small rows a
+    text and partition however long the text. A map holds at most ``dim`` entries."""
+    counts = long_text_counts(df, key, text, dim)
     return counts.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("counts"),
         F.sum(F.col("cnt") * F.col("cnt")).alias("dd"),

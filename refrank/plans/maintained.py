@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from refrank.operators import accumulators as ACC
-from refrank.operators import ordered
+from refrank.operators import allocation, names, ordered
+from refrank.operators.mutations import ID_SPACE
+from refrank.operators.ranking import global_row_number
 from refrank.plans import oracle as O
 from refrank.plans import pruned
 from refrank.plans import queries as Q
@@ -17,8 +19,13 @@ from refrank.plans.batch import STATIC_RANKS
 from refrank.plans.queries import A, explode_vector, register, round_doubles
 from refrank.plans.surface import ORACLE as ORACLE
 from refrank.plans.surface import QUERIES as QUERIES
+from refrank.plans.surface import _landed
+from refrank.schemas import KIND_LIKED
+from refrank.sources import json_papers as J
+from refrank.sources import pages
 from refrank.sources.store import scratch_path
 from refrank.sources.testdata import TestTables
+from refrank.streaming.stateful import run_stateful_likes
 
 
 # ---------------------------------------------------------------- C2, R1 through certified clusters
@@ -97,3 +104,127 @@ def q_profile_sums_after_clear(spark, d):
     store = ACC.build_profiles(t.interactions, t.paper_embeddings, scratch_path(spark, "profiles"), buckets=16)
     store = ACC.clear(store, t.like_events.select("author_id"), t.paper_embeddings)
     return round_doubles(explode_vector(ACC.profile_vectors(store), "author_id"))
+
+
+# ---------------------------------------------------------------- R4, D5: keyed state in the stream
+@register(
+    "stream_likes_stateful",
+    O.with_(O.INTER, Q.LIKES_SQL) + "SELECT author_id, kind, paper_id FROM likes EXCEPT SELECT author_id, kind, paper_id FROM inter",
+)
+def q_stream_likes_stateful(spark, d):
+    """What the events add to the stored edges, which the stream reads once, as its initial state."""
+    sink = scratch_path(spark, "new-likes")
+    stored = TestTables(spark, d).interactions
+    run_stateful_likes(spark, f"{d.rstrip('/')}/events*.parquet", stored, sink, scratch_path(spark, "like-state"))
+    return spark.read.schema(Q.EDGES_LONG).parquet(sink)
+
+
+@register("stream_likes_stateful_out_of_order", Q.ORACLE["stream_likes"])
+def q_stream_likes_stateful_out_of_order(spark, d):
+    """Several micro-batches whose files arrive newest first, on an empty store: every late like is kept."""
+    landing, sink = scratch_path(spark, "late-events"), scratch_path(spark, "late-likes")
+    events = TestTables(spark, d).raw("events")
+    events.repartitionByRange(3, F.col("ts").desc()).sortWithinPartitions(F.col("ts").desc()).write.parquet(landing)
+    none = spark.createDataFrame([], Q.EDGES_LONG)
+    run_stateful_likes(spark, landing, none, sink, scratch_path(spark, "late-state"), max_files=1)
+    return spark.read.schema(Q.EDGES_LONG).parquet(sink).where(F.col("kind") == KIND_LIKED)
+
+
+# ---------------------------------------------------------------- P5, C6: trigram postings
+PATTERNS = {"#0000007": False, "tomer#00000_2%9": False, "MER#000000_1": True, "%7": False}
+
+
+@register(
+    "author_name_search_indexed",
+    O.with_(O.AUTHORS)
+    + " UNION ALL ".join(
+        f"SELECT '{p}' AS pattern, author_id, name FROM authors WHERE "
+        + (f"contains(lower(name), lower('{p}'))" if literal else f"name ILIKE '%{p}%'")
+        for p, literal in PATTERNS.items()
+    ),
+)
+def q_author_name_search_indexed(spark, d):
+    """Literals, wildcards, a literal with a wildcard character, and a pattern too short for a trigram."""
+    index = names.build_name_index(TestTables(spark, d).authors, scratch_path(spark, "names"))
+    found = [names.search_names(index, p, literal).select(F.lit(p).alias("pattern"), "author_id", "name") for p, literal in PATTERNS.items()]
+    return reduce(lambda a, b: a.unionAll(b), found)
+
+
+# ---------------------------------------------------------------- D8, D4: unused ids, spread
+@register(
+    "allocated_ids_spread",
+    f"""WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events),
+space AS (SELECT greatest({ID_SPACE}, (SELECT count(*) FROM customer) + n) AS space, n FROM n),
+held AS (SELECT count(DISTINCT c_custkey) AS held FROM customer, space WHERE c_custkey >= 0 AND c_custkey < space)
+SELECT n AS n_ids, n AS n_distinct, CAST(0 AS BIGINT) AS n_taken, CAST(0 AS BIGINT) AS n_outside,
+       CAST(space - held AS BIGINT) AS free_before, CAST(space - held - n AS BIGINT) AS free_after FROM space, held""",
+)
+def q_allocated_ids_spread(spark, d):
+    """D8 for as many sign-ups as the events have users: distinct, unused, and what is free before and after."""
+    t = TestTables(spark, d)
+    signups = t.raw("events").select("user_id").distinct()
+    given = allocation.sign_up_ids(signups, t.authors, ["user_id"])
+    space = F.greatest(F.lit(ID_SPACE).cast("bigint"), F.lit(t.authors.count()) + F.lit(signups.count()))
+    held = t.authors.select("author_id", F.lit(1).alias("taken"))
+    inside = (F.col("author_id") >= 0) & (F.col("author_id") < space)
+    free = space - F.lit(t.authors.where(inside).select("author_id").distinct().count())
+    return given.join(held, "author_id", "left").agg(
+        F.count("author_id").alias("n_ids"),
+        F.countDistinct("author_id").alias("n_distinct"),
+        F.count("taken").alias("n_taken"),
+        F.count_if(~inside).alias("n_outside"),
+        free.alias("free_before"),
+        (free - F.countDistinct("author_id")).alias("free_after"),
+    )
+
+
+# ---------------------------------------------------------------- S1, S3, R5: landed pages as a data source
+PAGE_ROWS = 100
+PAGE_QUERY = "Machine Learning"
+
+
+def _land(spark, d) -> str:
+    """The papers in id order, landed as named pages."""
+    path = scratch_path(spark, "landed")
+    numbered = global_row_number(TestTables(spark, d).nested_papers, ["paper_id"], "n")
+    landed = _landed(numbered.drop("n")).withColumnRenamed("paperId", "id")
+    landed = landed.join(numbered.select(F.col("paper_id").cast("string").alias("id"), (F.col("n") - 1).alias("n")), "id")
+    pages.land_pages(landed.withColumnRenamed("id", "paperId"), path, PAGE_QUERY, "n", PAGE_ROWS)
+    return path
+
+
+@register("json_pages_source", Q.ORACLE["json_roundtrip_papers"])
+def q_json_pages_source(spark, d):
+    back = J.to_store_columns(pages.read_pages(spark, _land(spark, d)))
+    ids = lambda c: F.nullif(F.array_join(F.col(c), ","), F.lit(""))
+    return back.select(
+        F.col("paper_id").cast("bigint").alias("paper_id"),
+        *[c for c in O.PAPER_COLS.split(", ") if c != "paper_id"],
+        F.size("authors").alias("n_authors"),
+        ids("authors.authorId").alias("author_ids"),
+        ids("references.paperId").alias("reference_ids"),
+    )
+
+
+@register(
+    "page_names",
+    O.with_(O.PAPERS)
+    + f"""SELECT '{PAGE_QUERY}' AS query, CAST(n // {PAGE_ROWS} * {PAGE_ROWS} AS BIGINT) AS offset_from,
+  CAST(n // {PAGE_ROWS} * {PAGE_ROWS} + {PAGE_ROWS} AS BIGINT) AS offset_to, CAST(n % {PAGE_ROWS} AS BIGINT) AS pos, paper_id
+FROM (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS n FROM papers)""",
+)
+def q_page_names(spark, d):
+    """S3: query and offsets of the page each paper came with, as values of their types."""
+    back = pages.read_pages(spark, _land(spark, d))
+    return back.select("query", "offset_from", "offset_to", "pos", F.col("paperId").cast("bigint").alias("paper_id"))
+
+
+@register("stream_pages", O.with_(O.PAPERS) + f"SELECT {O.PAPER_COLS} FROM papers")
+def q_stream_pages(spark, d):
+    """The same reader as a stream into a Parquet sink."""
+    sink = scratch_path(spark, "streamed")
+    cols = O.PAPER_COLS.split(", ")
+    rows = J.to_store_columns(pages.stream_pages(spark, _land(spark, d))).select(*cols)
+    q = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch_path(spark, "pages-state"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(sink).withColumn("paper_id", F.col("paper_id").cast("bigint"))

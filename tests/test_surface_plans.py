@@ -1,5 +1,7 @@
 """Plans and edge rows of the composite surface: search, browse pages, whole rows, exact integer ranks."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from refrank.operators.papers import page_after
@@ -26,10 +28,13 @@ def test_search_scans_a_stored_index_without_a_shuffle(spark):
     assert [r.similarity for r in search_index(index, "id", "?!").collect()] == [0.0, 0.0]
 
 
-def test_index_is_built_with_one_shuffle(spark):
-    corpus = spark.range(50).select("id", F.lit("a b c").alias("t"))
-    built = plan(text_index(corpus, "id", "t"))
-    assert built.count("Exchange hashpartitioning") == 1
+def test_no_exchange_of_the_index_build_carries_text(spark):
+    corpus = spark.sparkContext.parallelize([(i, f"a b c {i}") for i in range(50)], 64).toDF("id long, t string")
+    built = text_index(corpus, "id", "t")
+    text = spark._jvm.PythonSQLUtils.explainString(built._jdf.queryExecution(), "formatted")
+    shuffled = re.findall(r"\) Exchange\s+Input \[\d+\]: \[(.*)\]", text)
+    assert shuffled
+    assert all(c.strip().split("#")[0] in ("id", "bucket", "cnt", "count", "buf", "sum") for out in shuffled for c in out.split(","))
 
 
 def test_keyword_buckets_equal_the_column_function(spark):
