@@ -26,14 +26,23 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9])(?!\.[0-9])"
 DATE = (
     r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
-    r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9A-Za-z])"
+    r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?!(?!T[0-9])[0-9A-Za-z])"  # a time of day may follow
+)
+GROUP = "[0-9A-Fa-f]{1,4}"
+IPV6 = (
+    rf"(?<![0-9A-Za-z:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}(?::{GROUP}){{0,6}})?::(?:{GROUP}(?::{GROUP}){{0,6}})?)"
+    r"(?![0-9A-Za-z:])"
 )
 SSN = r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 KEYWORD = r"(?i:password|passwd|secret|api_key|token)"
+# keys that tell their maker by how they begin
+PREFIX = r"AKIA|gh[opsu]_|github_pat_|glpat-|sk-|xox[abprs]-|AIza"
 SECRET = (
     r"(?<![0-9A-Za-z])AKIA[A-Z0-9]{16}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?:gh[opsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,82}|glpat-[A-Za-z0-9_-]{20}|AIza[A-Za-z0-9_-]{35}"
+    r"|sk-(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,80}|xox[abprs]-(?=[A-Za-z-]*[0-9])[A-Za-z0-9-]{10,72})(?![0-9A-Za-z])"
     # after the separator, which blanks and quotes may stand around; a bare word after a colon and blanks
     # may be prose, and counts if it has a digit
     r"|(?<=[=:\"' \t])(?<=[=:][ \t]{0,4}[\"']?)"  # few places get past this, which is cheap
@@ -45,8 +54,9 @@ CARD = r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])"
 PHONE = (
     r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])"
+    r"|(?<![0-9A-Za-z-]|[0-9][ .-])[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9A-Za-z-]| [0-9])"
 )
-KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "hex": HEX, "iban": IBAN, "secret": SECRET, "card": CARD, "phone": PHONE}
+KINDS = {"email": EMAIL, "ip": IP, "ipv6": IPV6, "date": DATE, "ssn": SSN, "hex": HEX, "iban": IBAN, "secret": SECRET, "card": CARD, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 POSSIBLE = rf"[0-9@]|{KEYWORD}[\"']?[ \t]{{0,4}}[=:]"
 
@@ -209,6 +219,22 @@ def _ip(m: Column, key: str) -> Column:
     )
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    """All 32 hexadecimal digits, written in full: the same address links however its zeros were left out."""
+    groups = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+
+    def whole(s: Column) -> Column:
+        given = F.size(s["l"]) + F.size(s["r"])
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given))
+        full = F.transform(F.concat(s["l"], zeros, s["r"]), lambda g: F.lpad(F.lower(g), 4, "0"))
+        ok = m.rlike("[0-9]") & F.when(m.contains("::"), given.between(2, 7)).otherwise(given == 8)
+        new = let(permuted(F.array_join(full, ""), key, "ipv6", 6), lambda t: F.regexp_replace(t, "(....)(?=.)", "$1:"))
+        return F.when(ok, new)
+
+    sides = F.struct(groups(F.substring_index(m, "::", 1)).alias("l"), F.when(m.contains("::"), groups(F.substring_index(m, "::", -1))).otherwise(F.array().cast("array<string>")).alias("r"))
+    return let(sides, whole)
+
+
 def _date(m: Column, key: str) -> Column:
     """Days from 1800-01-01 to 2199-12-31: 146,097 = 189 * 773 of them. The order of the parts follows
     the separator: year first, else month/day/year where that is a date, else day before month."""
@@ -250,34 +276,54 @@ def _phone(m: Column, key: str) -> Column:
     return F.when(F.length(_digits(m)).between(7, 15), let(code, lambda c: F.concat(c, rest(c))))
 
 
+def _recased(new: Column, was: Column) -> Column:
+    """``new`` with capitals where ``was`` has them."""
+
+    def each(s: Column) -> Column:
+        at = lambda text, i: F.substr(s[text], i, F.lit(1))
+        one = lambda i: F.when(at("was", i).rlike("[A-Z]"), F.upper(at("new", i))).otherwise(at("new", i))
+        return F.transform(F.sequence(F.lit(1), F.length(s["was"])), one)
+
+    mixed = F.array_join(let(F.struct(new.alias("new"), was.alias("was")), each), "")
+    return F.when(was.rlike("[A-Z]"), mixed).otherwise(new)
+
+
 def _email(m: Column, key: str) -> Column:
-    """Local part and domain labels are permuted apart; the last label stays, so a domain stays linked."""
+    """Local part and domain labels are permuted apart, in lower case, so an address stays linked however it is
+    capitalised; the local part's capitals are put back. The last label stays, so a domain stays linked."""
     host = F.lower(F.substring_index(m, "@", -1))
     top = F.concat(F.lit("."), F.substring_index(host, ".", -1))
     alone = lambda c, kind: _shifted(c, _digest(key, kind, F.lit(0), F.lit("")), 26)
     one = lambda c, kind: let(c, lambda t: F.when(F.length(t) >= 2, permuted(t, key, kind)).otherwise(alone(t, kind)))
     label = F.substr(host, F.lit(1), F.length(host) - F.length(top))
-    return F.concat(one(F.substring_index(m, "@", 1), "local"), F.lit("@"), one(label, "host"), top)
+    local = F.substring_index(m, "@", 1)
+    return F.concat(_recased(one(F.lower(local), "local"), local), F.lit("@"), one(label, "host"), top)
 
 
 def _secret(m: Column, key: str) -> Column:
-    aws = F.concat(F.lit("AKIA"), permuted(F.substr(m, F.lit(5), F.length(m)), key, "secret"))
-    return F.when(m.rlike("^AKIA[A-Z0-9]{16}$"), aws).when(m.rlike("^[0-9a-f]+$"), permuted(m, key, "secret", 6)).when(
-        m.rlike("^[0-9A-F]{32,64}$"), F.upper(permuted(F.lower(m), key, "secret", 6))
-    ).otherwise(permuted(m, key, "secret"))
+    """The beginning of a key that names its maker stays."""
+    front = F.regexp_extract(m, f"^(?:{PREFIX})", 0)
+    named = let(front, lambda f: F.when(F.length(f) > 0, F.concat(f, permuted(F.substr(m, F.length(f) + 1, F.length(m)), key, "secret"))))
+    return F.coalesce(
+        named,
+        F.when(m.rlike("^[0-9a-f]+$"), permuted(m, key, "secret", 6))
+        .when(m.rlike("^[0-9A-F]{32,64}$"), F.upper(permuted(F.lower(m), key, "secret", 6)))
+        .otherwise(permuted(m, key, "secret")),
+    )
 
 
-MAKE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "iban": _iban, "secret": _secret, "card": _card, "phone": _phone}
+MAKE = {"email": _email, "ip": _ip, "ipv6": _ipv6, "date": _date, "ssn": _ssn, "iban": _iban, "secret": _secret, "card": _card, "phone": _phone}
 # The shape of a match tells its kind; kinds are tried in this order.
 SHAPES = {
     "email": "@",
     "ip": rf"^(?:{OCTET}\.){{3}}{OCTET}$",
+    "ipv6": r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$",
     "date": r"^(?:[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4})$",
     "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
     "iban": r"^(?![0-9A-F]{32,64}$)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,30}$",
     "card": r"^(?:[0-9][ -]?){12,18}[0-9]$",
-    "phone": r"^(?:\+|\([0-9]{3}\)|[0-9]{3}[.-][0-9]{3}[.-])",
-    "secret": r"^(?!(?![0-9A-F]{32,64}$)[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}$)(?=.*[A-Za-z])[A-Za-z0-9+/_-]{6,64}$",
+    "phone": r"^(?:\+|\([0-9]{3}\)|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$)",
+    "secret": r"^(?!(?![0-9A-F]{32,64}$)[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}$)(?=.*[A-Za-z])[A-Za-z0-9+/_-]{6,96}$",
 }
 
 

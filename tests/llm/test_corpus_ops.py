@@ -260,6 +260,33 @@ def test_secrets_in_capitals_and_after_blanks_and_quotes(spark):
         assert private not in got and len(got) >= len(private) + 7
 
 
+def test_pii_formats_and_links_across_notations(spark):
+    rows = [
+        (1, "mail John.Doe@Example.com or john.doe@example.com, JOHN.DOE@EXAMPLE.COM too"),
+        (2, "born 1990-02-28T10:00:00 and 1990-02-28 as well"),
+        (3, "host 2001:db8::1 is 2001:0DB8:0:0:0:0:0:1 and fe80::a1b2:c3d4"),
+        (4, "key ghp_abcdefghij0123456789ABCDEFGHIJ012345 here, token = ghp_abcdefghij0123456789ABCDEFGHIJ012345"),
+        (5, "call 555 323 4567 or 555-323-4567"),
+        (6, "std::vector a::b 12:30:45 :: 1::  ratio 100 200 3000 sk-learn xoxb-none"),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k1").collect()}
+    for i, t in rows[:5]:
+        for leak in ("john.doe", "example.", "1990-02-28", "db8", "c3d4", "abcdefghij0123", "323"):
+            assert leak not in got[i].text.lower(), (i, got[i].text)
+    a, b, c = re.findall(r"\S+@[A-Za-z.]+", got[1].text)
+    assert a.lower() == b.lower() == c.lower() and a.lower().endswith(".com") and a[0].isupper() and b == b.lower()
+    d = re.findall(r"\d{4}-\d\d-\d\d", got[2].text)
+    assert d[0] == d[1] and "T10:00:00" in got[2].text
+    six = re.findall(r"(?:[0-9a-f]{4}:){7}[0-9a-f]{4}", got[3].text)
+    assert len(six) == 3 and six[0] == six[1] != six[2]
+    keys = re.findall(r"ghp_[A-Za-z0-9]{36}", got[4].text)
+    assert len(keys) == 2 and keys[0] == keys[1]
+    one, two = re.findall(r"\d{3}[ -]\d{3}[ -]\d{4}", got[5].text)
+    assert one.replace(" ", "-") == two
+    assert got[6].text == rows[5][1] and got[6].n_found == 0
+    assert [got[i].kinds for i in range(1, 6)] == [["email"], ["date"], ["ipv6"], ["secret"], ["phone"]]
+
+
 # ------------------------------------------------------------------ 3 lines
 
 
