@@ -8,8 +8,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from refrank.functions.callback import register_callback
 from refrank.operators import accumulators as ACC
-from refrank.operators import allocation, names, ordered
+from refrank.operators import allocation, bitmaps, names, ordered
 from refrank.operators.mutations import ID_SPACE
 from refrank.operators.ranking import global_row_number
 from refrank.plans import oracle as O
@@ -21,6 +22,7 @@ from refrank.plans.surface import ORACLE as ORACLE
 from refrank.plans.surface import QUERIES as QUERIES
 from refrank.plans.surface import _landed
 from refrank.schemas import KIND_LIKED
+from refrank.session import cut_lineage
 from refrank.sources import json_papers as J
 from refrank.sources import pages
 from refrank.sources.store import scratch_path
@@ -228,3 +230,50 @@ def q_stream_pages(spark, d):
     q = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch_path(spark, "pages-state"))
     q.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(sink).withColumn("paper_id", F.col("paper_id").cast("bigint"))
+
+
+# ---------------------------------------------------------------- J2, A7, D1: exclusion sets as bitmaps
+@register(
+    "known_papers_bitmaps",
+    O.with_(O.PAPERS, O.INTER)
+    + "SELECT author_id, count(DISTINCT paper_id)::BIGINT AS n_papers FROM inter WHERE paper_id IN (SELECT paper_id FROM papers) GROUP BY author_id",
+)
+def q_known_papers_bitmaps(spark, d):
+    """A7 for all authors: one bitmap per kind, united over the kinds, counted."""
+    t = TestTables(spark, d)
+    kinds = bitmaps.paper_bitmaps(t.interactions, bitmaps.number_papers(t.papers), ("author_id", "kind"))
+    return bitmaps.sizes(bitmaps.united(kinds))
+
+
+@register(
+    "new_likes_bitmaps",
+    O.with_(O.PAPERS, O.INTER, Q.LIKES_SQL)
+    + """SELECT author_id, paper_id FROM likes WHERE NOT EXISTS (
+  SELECT 1 FROM inter i JOIN papers p ON p.paper_id = i.paper_id WHERE i.author_id = likes.author_id AND i.paper_id = likes.paper_id)""",
+)
+def q_new_likes_bitmaps(spark, d):
+    """The likes of papers that their authors do not know, by a bit instead of an anti-join on edges."""
+    t = TestTables(spark, d)
+    numbers = cut_lineage(bitmaps.number_papers(t.papers))
+    likes = t.like_events.select("author_id", "paper_id").distinct()
+    return bitmaps.not_known(likes, bitmaps.paper_bitmaps(t.interactions, numbers), numbers)
+
+
+# ---------------------------------------------------------------- S8, U3: row callbacks from SQL
+def _cited_so_far(row, state):
+    state["n"] = state.get("n", 0) + 1
+    state["cited"] = state.get("cited", 0) + row["citation_count"]
+    yield row["paper_id"], row["year"], state["n"], state["cited"]
+
+
+@register(
+    "row_callback",
+    O.with_(O.PAPERS)
+    + """SELECT paper_id, year, row_number() OVER w AS nth, CAST(sum(citation_count) OVER w AS BIGINT) AS cited
+FROM papers WINDOW w AS (PARTITION BY year ORDER BY paper_id)""",
+)
+def q_row_callback(spark, d):
+    """A callback over every paper, year by year in id order, called from SQL."""
+    TestTables(spark, d).papers.createOrReplaceTempView("callback_papers")
+    register_callback(spark, "cited_so_far", _cited_so_far, "paper_id long, year int, nth long, cited long")
+    return spark.sql("SELECT * FROM cited_so_far(TABLE(SELECT paper_id, year, citation_count FROM callback_papers) PARTITION BY year ORDER BY paper_id)")
