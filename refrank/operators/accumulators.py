@@ -179,6 +179,20 @@ def clear(store: ProfileStore, authors: DataFrame, embeddings: DataFrame, kind:
     return apply_changes(store, gone.select("author_id", "paper_id", F.lit(kind).alias("kind"), F.lit(False).alias("present")), embeddings)
 
 
+def delete(store: ProfileStore, authors: DataFrame, embeddings: DataFrame) -> ProfileStore:
+    """Every edge of the authors (author_id) goes, and with them their sums."""
+    ids = authors.select("author_id").distinct()
+    buckets = sorted(r.b for r in ids.select(_bucket(store.buckets).alias("b")).distinct().collect())
+    held = edges_long(store, buckets).join(ids, "author_id", "left_semi")
+    return apply_changes(store, held.withColumn("present", F.lit(False)), embeddings)
+
+
+def edges_long(store: ProfileStore, buckets: list[int] | None = None) -> DataFrame:
+    """(author_id, kind, paper_id): the stored edges as the other operators take them."""
+    kinds = F.array(*[F.when(F.col("kinds").bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for name, bit in BITS.items()])
+    return stored_edges(store, buckets).select("author_id", F.explode(F.array_compact(kinds)).alias("kind"), "paper_id")
+
+
 def profile_vectors(store: ProfileStore) -> DataFrame:
     """A4 from the sums: (author_id, embedding, n_embedded)."""
     scale = F.col("n") * F.lit(float(1 << SCALE_BITS))

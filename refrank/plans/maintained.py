@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 from refrank.functions.callback import register_callback
 from refrank.operators import accumulators as ACC
 from refrank.operators import allocation, bitmaps, names, ordered
+from refrank.operators import mutations as M
+from refrank.operators import profiles as PR
 from refrank.operators.mutations import ID_SPACE
 from refrank.operators.ranking import global_row_number
 from refrank.plans import oracle as O
-from refrank.plans import pruned
+from refrank.plans import pruned, recommend
 from refrank.plans import queries as Q
 from refrank.plans.batch import STATIC_RANKS
 from refrank.plans.queries import A, explode_vector, register, round_doubles
 from refrank.plans.surface import ORACLE as ORACLE
 from refrank.plans.surface import QUERIES as QUERIES
-from refrank.plans.surface import _landed
+from refrank.plans.surface import CLEARED, DELETED, _landed
 from refrank.schemas import KIND_LIKED
 from refrank.session import cut_lineage
 from refrank.sources import json_papers as J
 from refrank.sources import pages
+from refrank.sources.cache import ResultCache
 from refrank.sources.store import scratch_path
 from refrank.sources.testdata import TestTables
 from refrank.streaming.stateful import run_stateful_likes
@@ -277,3 +280,38 @@ def q_row_callback(spark, d):
     TestTables(spark, d).papers.createOrReplaceTempView("callback_papers")
     register_callback(spark, "cited_so_far", _cited_so_far, "paper_id long, year int, nth long, cited long")
     return spark.sql("SELECT * FROM cited_so_far(TABLE(SELECT paper_id, year, citation_count FROM callback_papers) PARTITION BY year ORDER BY paper_id)")
+
+
+# ---------------------------------------------------------------- D3, D5, D6, D7 as deltas; S12
+@register("profile_store_life_cycle", ORACLE["profile_life_cycle"])
+def q_profile_store_life_cycle(spark, d):
+    """Update, like, clear, delete on the stored edges and sums: every step rewrites the buckets it touches."""
+    t = TestTables(spark, d)
+    new_authors, batch = PR.profiles_from_papers(t.nested_papers)
+    authors = t.authors.unionByName(M.new_authors(t.authors, new_authors))
+    store = ACC.build_profiles(t.interactions, t.paper_embeddings, scratch_path(spark, "life"), buckets=16)
+    store = ACC.apply_changes(store, batch.withColumn("present", F.lit(True)), t.paper_embeddings)
+    liked = recommend.most_cited(t.papers).select(F.lit(A).cast("bigint").alias("author_id"), "paper_id")
+    store = ACC.like(store, liked, t.paper_embeddings)
+    ids = lambda i: spark.createDataFrame([(i,)], "author_id long")
+    store = ACC.clear(store, ids(CLEARED), t.paper_embeddings)
+    store = ACC.delete(store, ids(DELETED), t.paper_embeddings)
+    left = authors.where(F.col("author_id") != DELETED)
+    return left.join(ACC.edges_long(store), "author_id", "left").select("author_id", "name", "kind", "paper_id")
+
+
+@register("cached_recommendation", O.recommend_cosine_sql())
+def q_cached_recommendation(spark, d):
+    """Computed and stored on the first call, read on the second."""
+    t = TestTables(spark, d)
+    cache = ResultCache(spark, scratch_path(spark, "cache"))
+    key = {"author": A, "mode": "cosine", "tables": d}
+
+    def compute():
+        return recommend.recommend_to_author(t.papers, t.paper_embeddings, t.interactions, A)
+
+    def never():
+        raise AssertionError("the stored result was not read")
+
+    cache.get_or_compute(compute, **key)
+    return round_doubles(cache.get_or_compute(never, **key))

@@ -157,3 +157,12 @@ def test_last_paper_gone_and_wrong_sizes(spark, embeddings):
     big = spark.createDataFrame([(2, [500.0])], "paper_id long, embedding array<double>")
     with pytest.raises(Exception, match="not below"):
         ACC.build_profiles(spark.createDataFrame([(1, "liked", 2)], EDGES), big, scratch_path(spark, "p"), 2)
+
+
+def test_delete_takes_every_edge(spark, embeddings):
+    edges = [(1, "write", 1), (1, "liked", 2), (1, "not liked", 3), (2, "write", 1), (3, "reference", 4)]
+    store = ACC.build_profiles(spark.createDataFrame(edges, EDGES), embeddings, scratch_path(spark, "p"), 4)
+    assert sorted(tuple(r) for r in ACC.edges_long(store).collect()) == sorted(edges)
+    left = ACC.delete(store, spark.createDataFrame([(1,), (77,)], "author_id long"), embeddings)
+    assert sorted(tuple(r) for r in ACC.edges_long(left).collect()) == edges[3:]
+    assert exact(ACC.stored_sums(left)) == recomputed(spark, edges[3:], embeddings)
