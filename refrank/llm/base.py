@@ -44,16 +44,6 @@ def row_key(doc_id: Column, text: Column) -> Column:
     )
 
 
-def unused(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have in any letter case."""
-    have = {c.lower() for c in df.columns}
-    name, k = f"__{stem}", 0
-    while name.lower() in have:
-        k += 1
-        name = f"__{stem}_{k}"
-    return name
-
-
 def per_text(docs: DataFrame, fn: Callable[[list[str]], list[pa.Array]], fields: str) -> DataFrame:
     """(doc_id, *fields): ``fn`` maps the texts of one Arrow batch to one array per field."""
     names = [f.split()[0] for f in fields.split(", ")]
@@ -71,7 +61,3 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder: survives the loss of any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

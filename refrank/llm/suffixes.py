@@ -81,13 +81,6 @@ def window_keys(data: np.ndarray) -> np.ndarray:
     return h
 
 
-class Records:
-    """Runs of windows with one key: matrix of bytes, window counts, keys, and where each one is."""
-
-    def __init__(self, rows: np.ndarray, count: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray):
-        self.rows, self.count, self.key, self.doc, self.start = rows, count, key, doc, start
-
-
 def _slices(offsets: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
     """Groups of (document index, first byte, last byte) of about SLICE_BYTES; a long text is cut into
     parts that overlap by one window less a byte, so each window is in exactly one part."""
