@@ -20,12 +20,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refrank.functions.vectors import DEFAULT_WEIGHTS, check_weights, linear_score
 from refrank.operators.profiles import known_papers
-from refrank.operators.ranking import running_count, top_k
+from refrank.operators.ranking import global_row_number, running_count, top_k
 from refrank.plans import recommend
 from refrank.plans.batch import STATIC_RANKS, candidate_vectors, static_ranks
 from refrank.session import cut_lineage
@@ -61,11 +61,9 @@ def recommend_weighted_indexed(
 
     scored = recommend.scored_candidates(papers, embeddings, q, known)
     order = [F.col("similarity").desc(), F.col("paper_id").asc()]
-    # At most m rows: numbering them in one window is bounded by the depth.
-    top = cut_lineage(
-        top_k(scored, order, m).withColumn("cos_rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-        .join(index, "paper_id")
-    )
+    # m grows with the corpus (as its root), so its rows are numbered by ranges, not in one task
+    numbered = global_row_number(top_k(scored, order, m), order, "cos_rank")
+    top = cut_lineage(numbered.withColumn("cos_rank", F.col("cos_rank").cast("bigint")).join(index, "paper_id"))
     known_u = cut_lineage(known.join(index, "paper_id"))
     n_known = known_u.count()
     n_top = top.count()
