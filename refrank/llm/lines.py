@@ -30,56 +30,88 @@ MIN_WORDS = 8
 MIN_CHARS = 64
 FILTER_BITS = 1 << 26
 SEGMENT = 1 << 16
+HOT = 256  # digests that are joined by a broadcast, at most
+HOT_SEEN = 64  # times in a sample of one in 64
 
 # White space as str.split has it, marks that end a clause before white space, marks that always do.
 BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKS, WIDE_MARKS = ".,;:!?…", "。！？、，；："
 LINE_END = re.compile(r"\n")
+WIDE = re.compile(f"[{WIDE_MARKS}]")
+TOKEN = re.compile(f"[^{BLANK}{WIDE_MARKS}]*[{WIDE_MARKS}]+|[^{BLANK}{WIDE_MARKS}]+")
 CLAUSE_END = re.compile(f"[{MARKS}]+[{BLANK}]+|[{WIDE_MARKS}]+[{BLANK}]*")
 
 
-def pieces(text: str, end: re.Pattern[str]) -> list[tuple[int, str]]:
-    """(start, normalised text) of every piece with a word."""
-    out, at = [], 0
-    for m in end.finditer(text):
-        words = text[at : m.end()].lower().split()
-        if words:
-            out.append((at, " ".join(words)))
-        at = m.end()
-    words = text[at:].lower().split()
-    if words:
-        out.append((at, " ".join(words)))
+def pieces(text: str, end: re.Pattern[str]) -> list[int]:
+    """Where every piece with a word starts."""
+    cuts = [0, *(m.end() for m in end.finditer(text)), len(text)]
+    return [a for a, z in zip(cuts[:-1], cuts[1:], strict=True) if a < z and not text[a:z].isspace()]
+
+
+def line_words(text: str) -> tuple[list[str], list[int]]:
+    """(words in lower case, how many there are up to the end of every line with a word)."""
+    words: list[str] = []
+    ends = []
+    for line in text.lower().split("\n"):
+        here = line.split()
+        if here:
+            words += here
+            ends.append(len(words))
+    return words, ends
+
+
+def clause_words(text: str, words: list[str]) -> tuple[list[str], list[int]]:
+    """The same up to the end of every clause; ``words`` are those of the text, which wide marks cut further."""
+    marks = MARKS
+    if WIDE.search(text):
+        words, marks = [m.group() for m in TOKEN.finditer(text.lower())], MARKS + WIDE_MARKS
+    ends = [k for k, w in enumerate(words, 1) if w[-1] in marks]
+    if words and (not ends or ends[-1] < len(words)):
+        ends.append(len(words))
+    return words, ends
+
+
+def word_ends(words: list[str]) -> np.ndarray:
+    """Characters of the words before each word, and of all."""
+    return np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+
+
+def runs(words: list[str], size: np.ndarray, ends: list[int], min_words: int, min_chars: int) -> tuple[list[int], list[int], list[str]]:
+    """(first piece, piece after the last, normalised text) of the shortest run from every piece on that is long enough.
+
+    Characters are those of the words and the blanks inside a piece."""
+    upto = np.array([0, *ends])
+    chars = size[upto] + upto - np.arange(len(upto))
+    last = np.minimum(np.searchsorted(upto, upto[:-1] + min_words), np.searchsorted(chars, chars[:-1] + min_chars))
+    n = int(np.searchsorted(last, len(upto)))  # a run that does not fit is followed by none that does
+    first, stop = range(n), last[:n].tolist()
+    return list(first), stop, [" ".join(words[a:z]) for a, z in zip(upto[:n].tolist(), upto[last[:n]].tolist(), strict=True)]
+
+
+def text_units(text: str, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> list[tuple[re.Pattern[str], list[int], list[int], list[bytes]]]:
+    """For lines and for clauses: (end of a piece, first pieces, pieces after the last, units in UTF-8 after a byte for their kind)."""
+    words, ends = line_words(text)
+    if not words:
+        return []
+    size = word_ends(words)
+    parts, cuts = clause_words(text, words)
+    own = size if parts is words else word_ends(parts)
+    out = []
+    for kind, end, one in (
+        ("l", LINE_END, runs(words, size, ends, min_words, min_chars)),
+        ("c", CLAUSE_END, runs(parts, own, cuts, min_words, min_chars)),
+    ):
+        first, stop, found = one
+        out.append((end, first, stop, [(kind + u).encode("utf-8", "surrogatepass") for u in found]))
     return out
 
 
-def runs(text: str, end: re.Pattern[str], min_words: int, min_chars: int) -> Iterator[tuple[int, int, str]]:
-    """(start, stop, normalised text) of the shortest run from every piece on that is long enough.
-
-    A run stops where the next piece with a word starts. Blanks between pieces count for nothing."""
-    found = pieces(text, end)
-    words = np.cumsum([0] + [p.count(" ") + 1 for _, p in found])
-    chars = np.cumsum([0] + [len(p) for _, p in found])
-    last = np.minimum(np.searchsorted(words, words[:-1] + min_words), np.searchsorted(chars, chars[:-1] + min_chars))
-    for i, z in enumerate(last.tolist()):
-        if z > len(found):
-            return
-        stop = found[z][0] if z < len(found) else len(text)
-        yield found[i][0], stop, found[i][1] if z == i + 1 else " ".join(p for _, p in found[i:z])
-
-
-def text_units(text: str, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, stop, normalised text in UTF-8 after a byte for its kind) of all units of a text."""
-    for kind, end in ((b"l", LINE_END), (b"c", CLAUSE_END)):
-        for start, stop, unit in runs(text, end, min_words, min_chars):
-            yield start, stop, kind + unit.encode("utf-8", "surrogatepass")
-
-
 def repeated_hashes(docs: DataFrame, min_words: int, min_chars: int, bits: int) -> np.ndarray:
     """Packed filter of ``bits`` positions: those of the 64-bit hashes that more than one unit has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [xxhash.xxh3_64_intdigest(u) for t in b.column(0).to_pylist() for *_, u in text_units(t, min_words, min_chars)]
+            hashes = [xxhash.xxh3_64_intdigest(u) for t in b.column(0).to_pylist() for *_, found in text_units(t, min_words, min_chars) for u in found]
             different, times = np.unique(np.array(hashes, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(different.view(np.int64)), pa.array(times.astype(np.int32))], ["h", "n"])
 
@@ -105,20 +137,20 @@ def units(docs: DataFrame, passing: np.ndarray, min_words: int = MIN_WORDS, min_
         octets = shared.value
         bits = 8 * len(octets)
         for b in batches:
-            row, start, stop, text = [], [], [], []
+            row, start, stop, digest = [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
-                for a, z, u in text_units(t, min_words, min_chars):
-                    row.append(k)
-                    start.append(a)
-                    stop.append(z)
-                    text.append(u)
-            h = np.array([xxhash.xxh3_64_intdigest(u) for u in text], np.uint64).view(np.int64) % bits
-            left = np.flatnonzero((octets[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
-            at = pa.array(np.array(row, np.int64)[left])
-            digest = [hashlib.blake2b(text[k], digest_size=16).digest() for k in left.tolist()]
-            place = [pa.array(np.array(x, np.int32)[left]) for x in (start, stop)]
+                for end, first, last, found in text_units(t, min_words, min_chars):
+                    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).view(np.int64) % bits
+                    left = np.flatnonzero((octets[h >> 3] >> (h & 7).astype(np.uint8)) & 1).tolist()
+                    if left:  # offsets only where they are wanted
+                        at = [*pieces(t, end), len(t)]
+                        row += [k] * len(left)
+                        start += [at[first[i]] for i in left]
+                        stop += [at[last[i]] for i in left]
+                        digest += [hashlib.blake2b(found[i], digest_size=16).digest() for i in left]
+            at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(digest, pa.binary()), *place],
+                [b.column(0).take(at), b.column(1).take(at), pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())],
                 ["rank", "row", "digest", "start", "stop"],
             )
 
@@ -133,21 +165,31 @@ def repeated_spans(
     """(row, spans array<struct<start, stop>>): the units of each distinct row that are cut.
 
     Occurrences of a digest are counted and their minimum taken with map-side combining; only digests that
-    occur again go back to their units, by a join that adaptive execution can split on a hot unit."""
+    occur again go back to their units."""
     found = materialise(units(docs, repeated_hashes(docs, min_words, min_chars, bits), min_words, min_chars))
     place = F.struct("rank", "row", "start")
-    again = (
-        found.groupBy("digest")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .select("digest", "first")
-    )
-    return (
-        found.join(again, "digest")
-        .where(place != F.col("first"))
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    )
+
+    def cut(rows: DataFrame, small: bool) -> DataFrame:
+        again = (
+            rows.groupBy("digest")
+            .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+            .where(F.col("first") != F.col("last"))
+            .select("digest", "first")
+        )
+        joined = rows.join(F.broadcast(again) if small else again, "digest")
+        return joined.where(place != F.col("first")).select("row", "start", "stop")
+
+    hot = hot_digests(found)
+    spans = cut(found.where(~F.col("digest").isin(hot)), False).union(cut(found.where(F.col("digest").isin(hot)), True)) if hot else cut(found, False)
+    return spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+
+
+def hot_digests(found: DataFrame) -> list[bytearray]:
+    """The most frequent digests of a sample of the units, ``HOT`` at most: they are joined by a broadcast of as many rows
+    instead of meeting in one task. Which ones are found changes the plan, not the result."""
+    some = found.where(F.pmod(F.xxhash64("row", "start"), F.lit(64)) == 0)
+    counts = some.groupBy("digest").count().where(F.col("count") > HOT_SEEN)
+    return [r.digest for r in counts.orderBy(F.desc("count")).limit(HOT).collect()]
 
 
 def dedup_lines(

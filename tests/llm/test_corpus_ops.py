@@ -335,6 +335,14 @@ def test_line_dedup_equals_brute_force(docs, texts, bits):
         assert r.n_spans == len(want[i])
 
 
+def test_line_dedup_joins_hot_units_alike(docs, texts, monkeypatch):
+    """Units joined by a broadcast and units joined by a shuffle give the same cuts."""
+    monkeypatch.setattr(lines, "HOT_SEEN", 0)
+    monkeypatch.setattr(lines, "HOT", 7)
+    got = {r.doc_id: [tuple(s) for s in r.removed] for r in lines.dedup_lines(docs).collect()}
+    assert got == slow_spans(texts)
+
+
 def test_line_dedup_catches_passages_in_mid_line_and_rewrapped(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
