@@ -75,3 +75,15 @@ def test_callback_state_is_bounded(spark):
     spark.createDataFrame([(0, i) for i in range(10)], "g int, k int").createOrReplaceTempView("callback_many")
     with pytest.raises(Exception, match="beyond 5"):
         spark.sql("SELECT * FROM hoard(TABLE(callback_many) PARTITION BY g)").collect()
+
+
+def test_a_paper_known_alone_takes_a_word_not_a_range(spark, tables):
+    edges, numbers = tables
+    lone = spark.createDataFrame([(a, 3 * (17 * a % 70_000)) for a in range(1, 500)], "author_id long, paper_id long")
+    bits = B.paper_bitmaps(lone, numbers)
+    assert bits.count() == 499 and bits.agg(F.max(F.size("bits"))).first()[0] == 1
+    hot = B.paper_bitmaps(edges.where("author_id = 1"), numbers)
+    assert hot.agg(F.max(F.size("bits"))).first()[0] <= 512
+    every = numbers.select(F.lit(7).alias("author_id"), "paper_id")
+    assert B.sizes(B.paper_bitmaps(every, numbers)).collect()[0].n_papers == 70_000
+    assert B.not_known(every, B.paper_bitmaps(every, numbers), numbers).count() == 0
