@@ -24,6 +24,7 @@ from refrank.session import cut_lineage
 from refrank.sources.parts import new_part, read_directory, read_parts, write_directory, write_parts
 
 BUCKETS = 256
+CHUNK = 64  # components summed in one row
 SCALE_BITS = 32
 LIMIT = 128.0  # components are smaller; then 2^24 papers an author cannot overflow, nor 2^31 of unit vectors
 BITS = {KIND_WRITE: 1, KIND_REFERENCE: 2, KIND_LIKED: 4, KIND_NOT_LIKED: 8}
@@ -63,18 +64,22 @@ def _bit(kind: Column) -> Column:
 def fixed_sums(signed: DataFrame, embeddings: DataFrame) -> DataFrame:
     """(author_id, n, sums) of ``signed`` (author_id, paper_id, sign): the vectors of its papers, added or taken away.
 
-    Sums of integers by (author, component), combined before the shuffle: a hot author is reduced in every task.
-    Papers without an embedding count for nothing."""
+    Sums of integers by (author, ``CHUNK`` components), combined before the shuffle: a hot author is reduced in every
+    task, and a vector is one row a chunk. Papers without an embedding count for nothing."""
 
     def fixed(x: Column) -> Column:
         wrong = F.raise_error(F.lit(f"a component is not below {LIMIT}")).cast("double")
         return F.round(F.when(F.abs(x) < F.lit(LIMIT), x).otherwise(wrong) * F.lit(float(1 << SCALE_BITS))).cast("bigint")
 
     vectors = embeddings.where(F.col("embedding").isNotNull()).select("paper_id", F.transform("embedding", fixed).alias("q"))
-    each = signed.join(vectors, "paper_id").select("author_id", "sign", F.posexplode("q").alias("i", "x"))
-    totals = each.groupBy("author_id", "i").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("x")).alias("s"))
-    line = F.array_sort(F.collect_list(F.struct("i", "s")))  # one entry a component
-    return totals.groupBy("author_id").agg(F.max("n").alias("n"), F.transform(line, lambda c: c["s"]).alias("sums"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("q"), F.lit(1)), F.lit(CHUNK))
+    chunks = F.transform(starts, lambda at: F.slice("q", at, CHUNK))
+    each = signed.join(vectors.where(F.size("q") > 0), "paper_id").select("author_id", "sign", F.posexplode(chunks).alias("i", "x"))
+    held = [F.sum(F.col("sign") * F.get("x", F.lit(j))).alias(f"s{j}") for j in range(CHUNK)]
+    totals = each.groupBy("author_id", "i").agg(F.sum("sign").alias("n"), F.max(F.size("x")).alias("width"), *held)
+    chunk = F.slice(F.array(*[f"s{j}" for j in range(CHUNK)]), F.lit(1), F.col("width")).alias("s")
+    line = F.array_sort(F.collect_list(F.struct("i", chunk)))  # one entry a chunk
+    return totals.groupBy("author_id").agg(F.max("n").alias("n"), F.flatten(F.transform(line, lambda c: c["s"])).alias("sums"))
 
 
 def _commit(store: ProfileStore, edges: DataFrame, sums: DataFrame, touched: list[int]) -> ProfileStore:

@@ -166,3 +166,20 @@ def test_delete_takes_every_edge(spark, embeddings):
     left = ACC.delete(store, spark.createDataFrame([(1,), (77,)], "author_id long"), embeddings)
     assert sorted(tuple(r) for r in ACC.edges_long(left).collect()) == edges[3:]
     assert exact(ACC.stored_sums(left)) == recomputed(spark, edges[3:], embeddings)
+
+
+@pytest.mark.parametrize("dim", [1, ACC.CHUNK, 2 * ACC.CHUNK + 3])
+def test_sums_take_one_row_a_chunk_whatever_the_width(spark, dim):
+    rnd = random.Random(dim)
+    vectors = {p: [rnd.uniform(-1, 1) for _ in range(dim)] for p in range(12)}
+    emb = spark.createDataFrame([*vectors.items(), (12, []), (13, None)], "paper_id long, embedding array<double>")
+    signed = sorted({(rnd.randrange(5), rnd.randrange(14)): rnd.choice([1, -1]) for _ in range(60)}.items())
+    got = ACC.fixed_sums(spark.createDataFrame([(*k, s) for k, s in signed], "author_id long, paper_id long, sign long"), emb)
+    want = {}
+    for (a, p), sign in signed:
+        if p < 12:
+            n, line = want.get(a, (0, [0] * dim))
+            want[a] = (n + sign, [x + sign * round(v * 2**32) for x, v in zip(line, vectors[p], strict=True)])
+    assert {r.author_id: (r.n, r.sums) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(transform(" in plan and "posexplode(q" not in plan
