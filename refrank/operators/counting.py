@@ -1,7 +1,9 @@
 """The weighted model for all authors (R2) by counting ranks, at any corpus size.
 
 A score needs the rank of every candidate among all candidates of its author, but no pair has to leave
-the (author block, paper block) cell it is computed in. Three passes over the same cells:
+the (author block, paper block) cell it is computed in. Authors, each with the known papers, and papers are packed and
+written once, and Spark's Cartesian product reads the pairs of them (``operators.blocked``): no block is
+replicated through a shuffle. Three passes over the same cells:
 
 1. **Histograms.** Every cell counts its similarities per author in a fixed grid, and the static ranks
    of the author's known papers in another. Summed over cells they are at most ``BINS`` counts per
@@ -13,8 +15,8 @@ the (author block, paper block) cell it is computed in. Three passes over the sa
 3. **Exact ranks.** Survivors go back to all cells of their author; every cell counts the candidates
    ahead of them and the known papers with a smaller static rank, and the counts add up.
 
-Cells are bounded by the block sizes and worked through in tiles; a hot author's known papers are split
-over the paper blocks. Authors and papers are sorted by id inside a cell and similarities rounded to
+Cells are bounded by the block sizes and worked through in tiles; an author's known papers are one list of
+candidates, each once. Authors and papers are sorted by id inside a cell and similarities rounded to
 twelve places, so every pass sees the same numbers. How many pairs survive depends on how finely the grid
 parts the similarities; the result does not, and an author whose candidates all share one similarity
 keeps all pairs that their static ranks cannot rule out.
@@ -27,12 +29,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from refrank.functions.vectors import linear_score
-from refrank.operators.blocked import _block_of, _no_rows
+from refrank.operators.blocked import PACK, PACKS, _block_of, _no_rows, ids_of, known_pairs, matrix, pack, pairs, with_known
 from refrank.operators.ranking import top_k_per_group
 from refrank.session import cut_lineage
 
@@ -58,12 +62,17 @@ def _cell(left: pd.DataFrame, right: pd.DataFrame) -> tuple[pd.DataFrame, pd.Dat
 
 
 def _tiles(authors: pd.DataFrame, papers: pd.DataFrame, a: np.ndarray, p: np.ndarray) -> Iterator[tuple]:
-    """(first author, similarities, known mask) of a cell, some authors at a time."""
+    """(first author, similarities, known mask) of a cell, some authors at a time; products of the papers of ``attrs``
+    at a time, if it says so."""
     amat = np.stack(authors["embedding"].to_numpy()).astype(np.float64, copy=False)
     pmat = np.stack(papers["embedding"].to_numpy()).astype(np.float64, copy=False)
     step = max(1, TILE // len(pmat))
     for at in range(0, len(amat), step):
-        sims = np.round(amat[at : at + step] @ pmat.T, PLACES)
+        some, block = amat[at : at + step], papers.attrs.get("block", len(pmat))
+        sims = np.empty((len(some), len(pmat)))
+        for c in range(0, len(pmat), block):
+            sims[:, c : c + block] = some @ pmat[c : c + block].T
+        np.round(sims, PLACES, out=sims)
         mask = np.zeros(sims.shape, dtype=bool)
         here = (a >= at) & (a < at + len(sims))
         mask[a[here] - at, p[here]] = True
@@ -105,7 +114,7 @@ def _bound(k: int, weights: Sequence[float], static: Sequence[str], width: int)
         held = np.zeros((len(authors), (1 + len(static)) * BINS), dtype=np.int64)
         for row, (codes, counts) in enumerate(zip(authors["codes"], authors["counts"], strict=True)):
             if codes is not None:
-                held[row, np.asarray(codes, dtype=np.int64)] = counts
+                np.add.at(held[row], np.asarray(codes, dtype=np.int64), counts)  # a code once a task of pass 1
         return held.reshape(len(authors), 1 + len(static), BINS)
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -180,6 +189,64 @@ def _exact(static: Sequence[str]) -> Kernel:
     return run
 
 
+def _lists(kernel: Kernel) -> Kernel:
+    """Pass 1 with one row an author: (author_id, codes, counts)."""
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = kernel(key, left, right).sort_values("author_id", kind="stable")
+        at = np.flatnonzero(rows["author_id"].ne(rows["author_id"].shift()))
+        split = lambda c: np.split(rows[c].to_numpy().astype(np.int32), at[1:]) if len(at) else []
+        return pd.DataFrame({"author_id": rows["author_id"].to_numpy()[at], "codes": split("code"), "counts": split("n")})
+
+    return run
+
+
+def _over_pairs(kernel: Kernel, schema: T.StructType, paper_block: int):
+    """``kernel`` over each packed row of authors and all paper rows that a task pairs it with, as one cell."""
+
+    def left_of(authors: pa.StructArray) -> pd.DataFrame:
+        ids = ids_of(authors.field("author_id"))
+        frame = {"_kind": VECTOR, "author_id": ids, "embedding": list(matrix(authors.field("embedding")))}
+        names = {f.name for f in authors.type}
+        if "codes" in names:
+            frame |= {c: authors.field(c).to_pandas().to_numpy() for c in ("codes", "counts")}
+        who, paper = known_pairs(authors)
+        parts = [pd.DataFrame(frame), pd.DataFrame({"_kind": KNOWN, "author_id": ids[who], "paper_id": paper})]
+        if "found" in names:
+            lists = authors.field("found")
+            who = np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy())
+            rows = lists.flatten()
+            found = {f.name: ids_of(rows.field(f.name)) for f in rows.type}
+            parts.append(pd.DataFrame({"_kind": SURVIVOR, "author_id": ids[who]} | found))
+        return pd.concat([x for x in parts if len(x)])
+
+    def right_of(papers: list[pa.StructArray]) -> pd.DataFrame:
+        rows = pa.concat_arrays(papers)
+        vectors = {"embedding": list(matrix(rows.field("embedding")))}
+        out = pd.DataFrame({f.name: ids_of(rows.field(f.name)) for f in rows.type if f.name != "embedding"} | vectors)
+        out.attrs["block"] = paper_block
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, held, now, cell = to_arrow_schema(schema), [], None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                out = kernel(None, left_of(cell), right_of(held))
+                if len(out):
+                    yield from pa.Table.from_pandas(out[arrow.names], arrow, preserve_index=False).to_batches(max_chunksize=8192)
+
+        for b in batches:
+            for i, ab in enumerate(b.column("ab").to_pylist()):
+                if ab != now:  # a task takes its author rows one after the other
+                    yield from done()
+                    held, now, cell = [], ab, b.column("authors")[i].values
+                held.append(b.column("papers")[i].values)
+        yield from done()
+
+    return run
+
+
 def weighted_top_k(
     authors: DataFrame,
     papers: DataFrame,
@@ -203,39 +270,27 @@ def weighted_top_k(
     long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
     double = lambda *names: [T.StructField(n, T.DoubleType()) for n in names]
     width = max(1, math.ceil(n_papers / BINS))
-    nb = max(1, math.ceil(n_papers / paper_block))
-    na = max(1, math.ceil(n_authors / author_block), min(n_authors, math.ceil(spark.sparkContext.defaultParallelism / nb)))
-    own, every = F.lit(0).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    known = known.select(
-        _block_of("author_id", na).alias("_ab"), _block_of("paper_id", nb).alias("_pb"),
-        (own + KNOWN).alias("_kind"), "author_id", "paper_id",
-    )
-    right = papers.select(
-        F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("_ab"), _block_of("paper_id", nb).alias("_pb"),
-        "paper_id", "embedding", *columns,
-    )
-
-    def everywhere(rows: DataFrame, kind: int) -> DataFrame:
-        """Rows of an author in each of the author's cells."""
-        return rows.select(_block_of("author_id", na).alias("_ab"), every.alias("_pb"), (own + kind).alias("_kind"), "*")
+    nb = max(1, math.ceil(n_papers / PACK))
+    parts = math.ceil(nb / PACKS)
+    na = max(1, math.ceil(n_authors / author_block), min(n_authors, math.ceil(spark.sparkContext.defaultParallelism / parts)))
+    right = pack(papers.select("paper_id", "embedding", *columns), _block_of("paper_id", nb), parts)
+    whole = cut_lineage(with_known(authors, known, id_types[1].dataType))
 
     def cells(rows: DataFrame, kernel: Kernel, schema: list[T.StructField]) -> DataFrame:
-        left = rows.unionByName(known, allowMissingColumns=True).groupBy("_ab", "_pb")
-        return left.cogroup(right.groupBy("_ab", "_pb")).applyInPandas(kernel, T.StructType(schema))
+        left = pack(rows, _block_of("author_id", na), na)
+        out = T.StructType(schema)
+        return pairs(left, right).mapInArrow(_over_pairs(kernel, out, paper_block), out)
 
-    vectors = everywhere(authors.select("author_id", "embedding"), VECTOR)
+    ints = T.ArrayType(T.IntegerType())
     counted = cells(
-        vectors.withColumn("paper_id", F.lit(None).cast(id_types[1].dataType)), _count(columns, width),
-        [id_types[0], T.StructField("code", T.IntegerType()), *long("n")],
+        whole, _lists(_count(columns, width)), [id_types[0], T.StructField("codes", ints), T.StructField("counts", ints)]
     )
-    # One shuffle by author serves both sums and the join; at most (1 + ranks) * BINS entries per author.
-    held = (
-        counted.repartition("author_id").groupBy("author_id", "code").agg(F.sum("n").alias("n"))
-        .groupBy("author_id").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
+    # At most (1 + ranks) * BINS entries an author and task.
+    held = counted.groupBy("author_id").agg(
+        F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("counts")).alias("counts")
     )
     maybe = cells(
-        everywhere(authors.select("author_id", "embedding").join(held, "author_id", "left"), VECTOR),
-        _bound(k, [float(w) for w in weights], columns, width),
+        whole.join(held, "author_id", "left"), _bound(k, [float(w) for w in weights], columns, width),
         [*id_types, *double("similarity", "low", "high"), *long(*columns)],
     )
     maybe = cut_lineage(maybe)
@@ -245,8 +300,9 @@ def weighted_top_k(
     survivors = cut_lineage(
         maybe.join(limits, "author_id").where(F.col("low") <= limit + _slack(limit, F.abs)).select(*maybe.columns)
     )
+    found = survivors.groupBy("author_id").agg(F.collect_list(F.struct("paper_id", "similarity", *columns)).alias("found"))
     counts = cells(
-        vectors.unionByName(everywhere(survivors.drop("low", "high"), SURVIVOR), allowMissingColumns=True),
+        whole.join(found, "author_id"),
         _exact(columns), [*id_types, *long("ahead", *[f"x_{c}" for c in columns])],
     )
     summed = counts.groupBy("author_id", "paper_id").agg(*[F.sum(c).alias(c) for c in counts.columns[2:]])

@@ -203,3 +203,18 @@ def test_blocked_top_k_replicates_nothing_through_a_shuffle(spark, monkeypatch):
     sims = np.round(unit(a) @ unit(p).T, 12)
     want = {i: [j for _, j in sorted((-sims[i, j], j) for j in range(150) if (i, j) not in known)[:7]] for i in range(30)}
     assert got == want and len(got[0]) <= 4
+
+
+def test_batch_weighted_over_many_packed_rows(spark, tables, monkeypatch):
+    """Many packed rows and tasks: the same rows as in one, and no block is replicated through a shuffle."""
+    from refrank.operators import counting
+
+    t = tables
+    one = B.batch_recommend_weighted(t.papers, t.paper_embeddings, t.interactions).collect()
+    monkeypatch.setattr(counting, "PACK", 32)
+    monkeypatch.setattr(counting, "PACKS", 3)
+    many = B.batch_recommend_weighted(t.papers, t.paper_embeddings, t.interactions, paper_block=7)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    strip = lambda rows: sorted((r.author_id, r.paper_id, r.cos_rank, r.ref_rank, r.year_rank, r.rank) for r in rows)
+    assert strip(many.collect()) == strip(one)
