@@ -5,7 +5,7 @@ Importing this module adds them to ``refrank.plans.queries.QUERIES`` and ``ORACL
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refrank.functions.text import DEFAULT_DIM
@@ -190,14 +190,15 @@ def q_profile_life_cycle(spark, d):
 
 
 # ---------------------------------------------------------------- S2, S4, C7, S9/U1/U2, U6
-def _landed(nested: DataFrame) -> DataFrame:
-    """Nested papers as the search interface lands them: camelCase names and string ids."""
+def _landed(nested: DataFrame, *more: Column) -> DataFrame:
+    """Nested papers as the search interface lands them: camelCase names and string ids; ``more`` columns go along."""
     return nested.select(
         F.col("paper_id").cast("string").alias("paperId"), "title", "abstract", "year",
         F.col("reference_count").alias("referenceCount"), F.col("citation_count").alias("citationCount"),
         F.col("influential_citation_count").alias("influentialCitationCount"),
         F.transform("authors", lambda a: F.struct(a["authorId"].cast("string").alias("authorId"), a["name"].alias("name"))).alias("authors"),
         F.transform("references", lambda r: F.struct(r["paperId"].cast("string").alias("paperId"))).alias("references"),
+        *more,
     )
 
 

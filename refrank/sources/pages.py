@@ -31,6 +31,8 @@ from refrank.sources.json_papers import PAGE_NAME
 FORMAT = "paper_pages"
 CHUNK = 1 << 20  # bytes read at a time
 BATCH = 1000  # records of an Arrow batch
+TOGETHER = 64  # pages of a task at most
+TASK_BYTES = 1 << 23  # a task takes no further page beyond
 MAX_RECORD = 1 << 26
 PLACE = T.StructType(
     [
@@ -109,8 +111,8 @@ def _name(path: str) -> tuple[str | None, int | None, int | None]:
 
 
 @dataclass
-class Page(InputPartition):
-    uri: str
+class Pages(InputPartition):
+    uris: list[str]
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -124,6 +126,11 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 def list_pages(folder: str) -> list[tuple[int, str]]:
     """(modification time in ns, uri) of the files below a folder, hidden and marker files aside."""
+    return [found[:2] for found in _listed(folder)]
+
+
+def _listed(folder: str) -> list[tuple[int, str, int]]:
+    """The same with the size of each."""
     system, root = _opened(folder)
     # what from_uri took off: "file://", "hdfs://host", or nothing of a plain path
     head = folder[: folder.index(root)] if root in folder else ""
@@ -131,10 +138,22 @@ def list_pages(folder: str) -> list[tuple[int, str]]:
     for f in system.get_file_info(pafs.FileSelector(root, recursive=True)):
         below = f.path[len(root) :].strip("/").split("/")
         if f.type == pafs.FileType.File and not any(p[0] in "_." and "=" not in p for p in below):
-            out.append((f.mtime_ns or 0, head + f.path))
+            out.append((f.mtime_ns or 0, head + f.path, f.size or 0))
     return sorted(out)
 
 
+def together(pages: list[tuple[int, str, int]]) -> list[Pages]:
+    """Small pages share a task, so that tasks grow with the bytes and not with the files."""
+    out, held = [], 0
+    for _, uri, size in pages:
+        if not out or held >= TASK_BYTES or len(out[-1].uris) >= TOGETHER:
+            out.append(Pages([]))
+            held = 0
+        out[-1].uris.append(uri)
+        held += size
+    return out
+
+
 def read_page(uri: str, schema: T.StructType, most: int) -> Iterator[pa.RecordBatch]:
     """The records of one page in order, with the name's query and offsets and their position."""
     system, path = _opened(uri)
@@ -167,12 +186,12 @@ class PagesReader(DataSourceReader):
     def __init__(self, folder: str, schema: T.StructType, most: int):
         self.folder, self.schema, self.most = folder, schema, most
 
-    def partitions(self) -> list[Page]:
-        return [Page(uri) for _, uri in list_pages(self.folder)]
+    def partitions(self) -> list[Pages]:
+        return together(_listed(self.folder))
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        if partition is not None:
-            yield from read_page(partition.uri, self.schema, self.most)
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        for uri in partition.uris if partition is not None else ():
+            yield from read_page(uri, self.schema, self.most)
 
 
 class PagesStream(DataSourceStreamReader):
@@ -188,12 +207,13 @@ class PagesStream(DataSourceStreamReader):
         pages = list_pages(self.folder)
         return {"mtime": pages[-1][0], "uri": pages[-1][1]} if pages else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         low, high = ((o["mtime"], o["uri"]) for o in (start, end))
-        return [Page(uri) for mtime, uri in list_pages(self.folder) if low < (mtime, uri) <= high]
+        return together([p for p in _listed(self.folder) if low < p[:2] <= high])
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        yield from read_page(partition.uri, self.schema, self.most)
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        for uri in partition.uris:
+            yield from read_page(uri, self.schema, self.most)
 
     def commit(self, end: dict) -> None:
         pass

@@ -112,3 +112,10 @@ def test_landed_pages_are_read_back(spark):
         ("big query", 0, 100, 100), ("big query", 100, 200, 100), ("big query", 200, 300, 50)
     ]
     assert back.where(F.col("paperId").cast("long") != F.col("offset_from") + F.col("pos")).count() == 0
+
+
+def test_small_pages_share_a_task_and_large_ones_do_not():
+    small = P.together([(i, f"p{i}", 1000) for i in range(1000)])
+    assert len(small) == -(-1000 // P.TOGETHER) and [u for p in small for u in p.uris] == [f"p{i}" for i in range(1000)]
+    assert [p.uris for p in P.together([(0, "a", P.TASK_BYTES), (1, "b", 5), (2, "c", 5)])] == [["a"], ["b", "c"]]
+    assert P.together([]) == []
