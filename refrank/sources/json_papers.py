@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refrank.schemas import PAPER_JSON
+from refrank.session import cut_lineage
 
 FAIL = {"mode": "FAILFAST"}
 # Fixed value: landed page names are "<query>-<from>-<to>.json".
@@ -89,6 +90,7 @@ def write_paper_pages(
     if page_key is not None:
         page = F.lpad(F.floor(F.col(page_key) / F.lit(page_size)).cast("string"), 12, "0")
     else:
+        df = cut_lineage(df)  # counted, then landed
         pages = max(1, -(-df.count() // page_size))
         page = F.pmod(F.xxhash64("paperId"), F.lit(pages)).cast("string")
     cols = [c for c in df.columns if c not in {page_key, sort_key} or c == "paperId"]

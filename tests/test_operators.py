@@ -290,3 +290,18 @@ def test_known_papers_unknown_author_raises(spark):
     assert PR.author_known_papers(inter, "2", authors).count() == 0  # exists, knows nothing
     with pytest.raises(ValueError):
         PR.author_known_papers(inter, "3", authors)
+
+
+def test_landing_pages_computes_its_input_once(spark, tmp_path):
+    from refrank.sources.json_papers import write_paper_pages
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(250).selectExpr("cast(id as string) AS paperId", "cast(id as int) AS year")
+    write_paper_pages(rows.mapInArrow(watch, rows.schema), str(tmp_path / "pages"))
+    assert seen.value == 250
