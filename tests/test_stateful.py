@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from refrank.sources.store import scratch_path
 from refrank.streaming.likes import EVENTS_SCHEMA
@@ -61,3 +62,34 @@ def test_no_batch_reads_the_store_again(spark, run):
     run_stateful_likes(spark, source, empty, sink, checkpoint)
     assert [tuple(r) for r in spark.read.schema(EDGES).parquet(sink).collect()] == [(5, "liked", 2)]
     assert run([]) == before
+
+
+def test_state_is_kept_without_python_and_stored_edges_come_first(spark):
+    """No Python worker in the stream's plan, and one batch of stored edges before the first like."""
+    from refrank.streaming.likes import like_stream
+    from refrank.streaming.stateful import new_likes
+
+    source, sink, checkpoint, known = (scratch_path(spark, n) for n in ("events", "likes", "state", "known"))
+    likes = [(a, p, 0) for a in range(20) for p in range(30)] + [(7, p, 1) for p in range(2000)]
+    land(spark, source, likes, 0)
+    edges = [(a, "liked", p) for a in range(20) for p in range(0, 30, 2)] + [(7, "liked", p) for p in range(0, 2000, 2)]
+    stored = spark.createDataFrame([*edges, (8, "not liked", 1), (None, "liked", 1)], EDGES)
+    run_stateful_likes(spark, source, stored, sink, checkpoint)
+    got = [tuple(r) for r in spark.read.schema(EDGES).parquet(sink).collect()]
+    assert sorted(got) == sorted({(a, "liked", p) for a, p, _ in likes} - {e for e in edges})
+    spark.createDataFrame([], "author_id long, paper_id long").write.parquet(known)
+    stream = spark.readStream.schema("author_id long, paper_id long").parquet(known)
+    plan = new_likes(like_stream(spark, source), stream)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "InPandas" not in plan and "Python" not in plan
+
+
+def test_a_first_batch_that_failed_is_run_again(spark):
+    """What is stored was written, its batch not committed: it still comes before the likes, from the same files."""
+    source, sink, checkpoint = (scratch_path(spark, n) for n in ("events", "likes", "state"))
+    land(spark, source, [(1, 10, 0), (1, 11, 0)], 0)
+    stored = spark.createDataFrame([(1, "liked", 10)], EDGES)
+    blocked = stored.withColumn("paper_id", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        run_stateful_likes(spark, source, blocked, sink, checkpoint)
+    run_stateful_likes(spark, source, stored, sink, checkpoint)
+    assert [tuple(r) for r in spark.read.schema(EDGES).parquet(sink).collect()] == [(1, "liked", 11)]
