@@ -19,10 +19,15 @@ from refrank.schemas import KIND_LIKED, KIND_WRITE
 EDGE_COLUMNS = ("author_id", "kind", "paper_id")
 
 
-def new_edges(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Distinct batch edges not yet stored — the delta to append (idempotent)."""
+def new_edges(existing: DataFrame, batch: DataFrame, trim: bool = True) -> DataFrame:
+    """Distinct batch edges not yet stored — the delta to append (idempotent).
+
+    ``trim=False`` is for a batch of most stored authors: the batch is then computed once, not a second time for
+    its authors, and the store meets it by the three columns alone."""
     cols = list(EDGE_COLUMNS)
     fresh = batch.select(*cols).where(F.col("paper_id").isNotNull()).distinct()
+    if not trim:
+        return fresh.join(existing.select(*cols), cols, "left_anti")
     # Only the stored edges of the batch's authors can match: a semi-join on the batch's author
     # ids (the side AQE may broadcast) trims the store before the anti-join shuffles it.
     relevant = existing.select(*cols).join(fresh.select("author_id").distinct(), "author_id", "left_semi")
@@ -42,10 +47,11 @@ def upsert_profiles(
     batch_authors: DataFrame,
     batch_edges: DataFrame,
     order: Sequence[str] = ("name",),
+    trim: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """D3: insert new authors, union their edges per kind; applying it twice equals once."""
+    """D3: insert new authors, union their edges per kind; applying it twice equals once. ``trim`` as in ``new_edges``."""
     authors2 = authors.unionByName(new_authors(authors, batch_authors, order))
-    interactions2 = interactions.select(*EDGE_COLUMNS).unionByName(new_edges(interactions, batch_edges))
+    interactions2 = interactions.select(*EDGE_COLUMNS).unionByName(new_edges(interactions, batch_edges, trim))
     return authors2, interactions2
 
 

@@ -179,10 +179,11 @@ WHERE x.author_id <> {DELETED}""",
 def q_profile_life_cycle(spark, d):
     """Update, like, clear, delete: every step writes the next version and the following one reads it."""
     t = TestTables(spark, d)
-    batch = PR.profiles_from_papers(t.nested_papers)
-    authors, edges = M.upsert_profiles(t.authors, t.interactions, *batch)
+    nested = persist(t.nested_papers, "nested")  # names, edges and the most cited come from it
+    batch = PR.profiles_from_papers(nested)
+    authors, edges = M.upsert_profiles(t.authors, t.interactions, *batch, trim=False)
     authors, edges = persist(authors, "authors"), persist(edges, "edges")
-    liked = recommend.most_cited(t.papers).select("paper_id")
+    liked = recommend.most_cited(nested).select("paper_id")
     edges = persist(M.like_papers(authors, edges, A, liked)[1], "edges")
     edges = persist(M.clear_liked(edges, CLEARED), "edges")
     authors, edges = (persist(x, "deleted") for x in M.delete_profiles(authors, edges, [DELETED]))

@@ -305,3 +305,19 @@ def test_landing_pages_computes_its_input_once(spark, tmp_path):
     rows = spark.range(250).selectExpr("cast(id as string) AS paperId", "cast(id as int) AS year")
     write_paper_pages(rows.mapInArrow(watch, rows.schema), str(tmp_path / "pages"))
     assert seen.value == 250
+
+
+def test_upsert_of_most_authors_reads_its_batch_once(spark):
+    """Without the trim the same edges are new, and neither side meets the other's authors."""
+    schema = "author_id long, kind string, paper_id long"
+    store = [(1, "write", 1), (1, "write", 1), (1, None, 2), (None, "liked", 3), (2, "liked", None), (3, "write", 9)]
+    batch = [(1, "write", 1), (1, "write", 2), (1, "write", 2), (1, None, 2), (None, "liked", 3), (2, "liked", None), (4, "liked", 9)]
+    store, batch = spark.createDataFrame(store, schema), spark.createDataFrame(batch, schema)
+    rows = lambda df: sorted(df.collect(), key=str)
+    fresh = M.new_edges(store, batch, trim=False)
+    assert rows(fresh) == rows(M.new_edges(store, batch)) and fresh.where("author_id = 1 and paper_id = 1").isEmpty()
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+    names = spark.createDataFrame([(4, "d")], "author_id long, name string")
+    got = M.upsert_profiles(names.limit(0), store, names, batch, trim=False)[1]
+    assert rows(got) == rows(M.upsert_profiles(names.limit(0), store, names, batch)[1])
