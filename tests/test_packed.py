@@ -101,3 +101,20 @@ def test_error_of_float32_products(dim):
     a, p = _unit(rng.normal(size=(50, dim))), _unit(np.abs(rng.normal(size=(400, dim))))
     off = np.abs(a.astype(np.float32) @ p.astype(np.float32).T - a @ p.T).max()
     assert off <= K.error(dim)
+
+
+@pytest.mark.parametrize("block", [7, 128])
+def test_paper_block_bounds_a_product_and_not_the_tile(monkeypatch, block):
+    """Small paper blocks (``batch_recommend_weighted_rounds``): many products, the counts of one tile taken at once."""
+    rng = np.random.default_rng(4)
+    n, width = 1000, 4
+    authors, papers, known = _cells(rng, 10, n, _unit(rng.normal(size=(n, 8))))
+    cell = C._cell(pd.concat([authors, known]), papers, STATIC)
+    want = C._count(STATIC, width)(None, cell)
+    cell.block, products, tiles = block, [], []
+    matmul, bincount = np.matmul, np.bincount
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: products.append(b.shape[1]) or matmul(a, b, out=out))
+    monkeypatch.setattr(np, "bincount", lambda x, minlength: tiles.append(len(x)) or bincount(x, minlength=minlength))
+    got = C._count(STATIC, width)(None, cell)
+    assert got.equals(want)
+    assert max(products) == block and sum(products) == n and tiles == [10 * n]
