@@ -118,3 +118,22 @@ def test_paper_block_bounds_a_product_and_not_the_tile(monkeypatch, block):
     got = C._count(STATIC, width)(None, cell)
     assert got.equals(want)
     assert max(products) == block and sum(products) == n and tiles == [10 * n]
+
+
+def test_string_ids_stay_out_of_the_kernels(spark, monkeypatch):
+    """String ids (``batch_recommend_weighted_string_ids``): numbered in their order, so kernels hold numbers alone."""
+    rng = np.random.default_rng(6)
+    text = lambda df, key: df.withColumn(key, F.format_string("id%03d", key))
+    papers = text(frame(spark, "paper_id", _unit(rng.normal(size=(40, 4)))), "paper_id")
+    papers = K.numbered(papers.orderBy(F.desc("paper_id")))
+    assert [r.paper_id for r in papers.orderBy("_no").collect()] == [f"id{i:03d}" for i in range(40)]
+    known = spark.createDataFrame([("id001", "id005"), ("id001", "id039"), ("id001", "id005"), ("id002", "none")], "author_id string, paper_id string")
+    authors = K.with_known(text(frame(spark, "author_id", _unit(rng.normal(size=(3, 4)))), "author_id"), known, papers)
+    held = K.pack(authors, F.lit(0), 1)
+    row = K.Row(held.toArrow().to_batches()[0], 0, "")
+    ids = row.ids("author_id").to_pylist()
+    assert row.numbers("known").tolist() == [5, 39] and [ids[i] for i in row.numbers("known_at")] == ["id001", "id001"]
+    ranked = papers.select("paper_id", "embedding", (F.col("_no") + 1).alias("_r1"))
+    top = C.weighted_top_k(authors.select("author_id", "embedding"), ranked, known, 2, [0.0, 1.0], {"r": "_r1"}).collect()
+    best = {(r.author_id, r.paper_id) for r in top}
+    assert best == {(f"id{i:03d}", p) for i in range(3) for p in ("id000", "id001")}
