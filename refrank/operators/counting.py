@@ -355,10 +355,10 @@ def _over_pairs(kernel: Kernel, static: Sequence[str], schema: T.StructType, pap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = []
 
-        def done(state: tuple, held: list[Row]) -> Iterator[pa.RecordBatch]:
+        def done(state: tuple, held: dict) -> Iterator[pa.RecordBatch]:
             if not whole:
-                whole.append(papers_of(held))
-                held[:] = [None] * len(held)
+                whole.append(papers_of(list(held.values())))
+                held.update(dict.fromkeys(held))
             return results(*state, whole[0])
 
         return over_pairs(batches, lambda row: row, lambda ab, authors: (ab, authors), lambda state, papers: None, done)
